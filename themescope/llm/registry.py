@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, quality_rules, toxicity
+from . import bpe, fingerprints, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
