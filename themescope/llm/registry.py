@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, quality_model, quality_rules, toxicity
+from . import archives, bpe, fingerprints, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_warc": archives.op10_warc,
 }
-ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL}
+ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL, "op10_warc": archives.OP10_SQL}
