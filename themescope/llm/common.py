@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: they need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_themescope_sent", False):
+        context._themescope_sent = True
+        top = Path(__file__).resolve().parents[1]
+        name = f"{tempfile.mkdtemp()}/themescope.zip"
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe, fingerprints, mixing, quality_model, quality_rules, toxicity
+from . import archives, bpe, fingerprints, hidden_markov, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_hidden_markov": hidden_markov.op9_hidden_markov,
     "op10_warc": archives.op10_warc,
 }
 ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL, "op10_warc": archives.OP10_SQL}
