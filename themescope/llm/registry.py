@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import archives, bpe, fingerprints, hidden_markov, mixing, quality_model, quality_rules, toxicity
+from . import archives, bpe, chosen_path, fingerprints, hidden_markov, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_ngram_jaccard": chosen_path.op5_ngram_jaccard,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_hidden_markov": hidden_markov.op9_hidden_markov,
