@@ -117,6 +117,7 @@ class Lexicon:
 def learn(rows: list[tuple[int, str, int]]) -> Lexicon:
     """A lexicon from (doc_id, text, toxic); near copies of a document that came before are left out."""
     hashes, seen, kept = WordHashes(), set(), []
+    has: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
     for _, text, y in rows:
         folded = fold_text(text)
         tokens = folded.split()
@@ -126,13 +127,11 @@ def learn(rows: list[tuple[int, str, int]]) -> Lexicon:
             if any(m in seen for m in marks):
                 continue
             seen.update(marks)
-        kept.append((text, set(tokens), y))
-    n = Counter(y for *_, y in kept)
+        has[y].update(set(tokens))
+        kept.append((text, y))
+    n = Counter(y for _, y in kept)
     if not n[0] or not n[1]:
         return Lexicon({fold_text(w).strip(): 4.0 for w in GENERAL})
-    has = {0: Counter(), 1: Counter()}
-    for _, tokens, y in kept:
-        has[y].update(tokens)
     weights = {}
     for word, a in has[1].items():
         b = has[0][word]
@@ -142,8 +141,8 @@ def learn(rows: list[tuple[int, str, int]]) -> Lexicon:
             weights[word] = w
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS])
     lex = Lexicon(weights)
-    x = np.array([lex.strength(t)[0] for t, _, _ in kept])
-    y = np.array([y for *_, y in kept], float)
+    x = np.array([lex.strength(t)[0] for t, _ in kept])
+    y = np.array([y for _, y in kept], float)
     each = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
     a, b = 1.0, -1.0
     for _ in range(50):  # Newton steps, slightly drawn to 0 so that separable classes end too
