@@ -41,6 +41,8 @@ SMALL, FIRST, DEPTH, RECALL = 24, 2, 8, 0.99
 GATE = 0.6
 #: Nodes of a component that meet in one task; columns of its incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
+#: Binary logarithm of the size of the bit map that tells which texts are wanted again.
+BITS = 24
 
 _factors = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -260,21 +262,36 @@ def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return near
 
 
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A bit map of 2^BITS bits, whatever the number of rows (h): a fuller one only lets more pass that a join then drops."""
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    words = hashes.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) % 64 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
 def exact_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(copy, links) and edges (u, v) of a spanning forest of the links, from the components ``found`` (node, least)."""
     sizes = found.groupBy("least").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = found.join(sizes, "least").select("node", "least", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))
     members = stored(members.join(nodes.select(F.col("copy").alias("node"), "at"), "node"), "members")
 
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(members.select(F.xxhash64("node", "at").alias("h"))))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), sent.value
         for b in batches:
+            place = b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            on = pa.array((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
+            b = b.filter(on)
             out = [shingle_set(t, hashes).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), b.column("blocks"), b.column("b"), pa.array(out, pa.binary())], names=["node", "least", "blocks", "b", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(out, pa.binary())], names=["doc_id", "copy", "shingles"])
 
-    texts = with_copy(docs)
-    texts = texts.join(members, (texts.copy == members.node) & texts.doc_id.eqNullSafe(members["at"])).dropDuplicates(["copy"])
-    rows = texts.select("text", "node", "least", "blocks", "b").mapInArrow(sets, "node binary, least binary, blocks int, b int, shingles binary")
+    texts = with_copy(docs).withColumn("h", F.xxhash64("copy", "doc_id"))
+    texts = texts.select("doc_id", "copy", "h", "text").mapInArrow(sets, "doc_id long, copy binary, shingles binary")
+    rows = texts.join(members, (texts["copy"] == members.node) & texts.doc_id.eqNullSafe(members["at"])).dropDuplicates(["copy"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("node", "least", "b", "shingles", other.alias("o")).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
     dealt = rows.select("least", "i", "j", "b", "node", "shingles").repartition("least", "i", "j").sortWithinPartitions("least", "i", "j", "node")
