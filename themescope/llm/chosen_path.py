@@ -3,10 +3,10 @@
 Equal texts become one node. A node's shingles are embedded as COORDINATES MinHash tokens. In each run, the nodes
 are split recursively: a bucket's path decides, for all of its members alike, which one or two coordinates (1.25 on
 average, that is 1 / threshold) split it, and members go on together where they share the token. Buckets of at most
-SMALL members are compared by brute force. In a larger one all members are compared with the one of the least
-number; if all are like it the bucket is done, else it is split further, and at DEPTH its remainders are compared
-with further such pivots until they are small. Runs are repeated until the chance that a pair at the threshold
-stays together along some path is RECALL. No step makes pairs of rows: each bucket yields at most one candidate edge
+SMALL members are compared by brute force. In a larger one all members are compared with a pivot, one of them; if all
+are like it the bucket is done, else it is split further, without those that are so like the pivot that nothing
+unlike it can be linked to them. Runs are repeated until the chance that a pair at the threshold
+stays together for DEPTH levels of some path is RECALL; few paths are as deep. No step makes pairs of rows: each bucket yields at most one candidate edge
 a member, and a bucket's members never meet in one task unless they are few.
 
 Candidate edges form components, by star contraction. Inside each, every two nodes are compared exactly, on their
@@ -35,10 +35,14 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, shingles, spread, stored, table, words
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
-#: Members of a bucket compared by brute force, levels split before buckets are first counted, most levels, target recall at those.
-SMALL, FIRST, DEPTH, RECALL = 24, 2, 8, 0.99
+#: Members of a bucket compared by brute force, levels split before buckets are first counted, levels for which the runs are to reach the target recall.
+SMALL, FIRST, DEPTH, RECALL = 24, 2, 5, 0.99
 #: Share of equal coordinates from which a pair is a candidate: 4 standard errors below the threshold.
 GATE = 0.6
+#: Share of coordinates in common with a pivot from which a row can have no link to one under GATE (distances add up).
+CORE = 0.85
+#: GATE from DEPTH on: what still shares a large bucket there becomes a candidate sooner; the exact comparison decides.
+LOOSE = 0.4
 #: Nodes of a component that meet in one task; columns of its incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
 #: Binary logarithm of the size of the bit map that tells which texts are wanted again.
@@ -179,15 +183,15 @@ def _compare_small(rows: DataFrame) -> DataFrame:
 
 
 def _compare_pivot(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets with the pivot of each and whether they are like it."""
-    pivots = rows.groupBy("key").agg(F.min(F.struct("copy", "sig")).alias("p"))
+    """Rows of large buckets with the pivot of each, one by chance, and the share of coordinates they have in common."""
+    pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "copy").alias("chance"), "copy", "sig")).alias("p"))
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array((_sigs(a) == _sigs(b)).mean(1) >= GATE)
+        return pa.array((_sigs(a) == _sigs(b)).mean(1))
 
     joined = rows.join(pivots.select("key", F.col("p.copy").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "key")
-    return joined.select("key", "copy", "sig", "pivot", alike("sig", "pivot_sig").alias("ok"))
+    return joined.select("key", "copy", "sig", "pivot", alike("sig", "pivot_sig").alias("share"))
 
 
 def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
@@ -196,8 +200,8 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
     sigs = nodes.select("copy", "sig")
     level, depth = stored(_first_paths(nodes, runs), "paths"), FIRST
     edges: list[DataFrame] = []
-    signed, settled = False, False  # settled: at DEPTH, the remainders are compared with pivot after pivot
-    while True:
+    signed = False
+    while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = level.join(sizes, "key")
         rows = rows if signed else rows.join(sigs, "copy")
@@ -207,14 +211,10 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
         if large.isEmpty():
             break
         seen = stored(_compare_pivot(large), "pivots")
-        edges.append(seen.where("ok and copy <> pivot").select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
-        if settled or depth >= DEPTH:
-            settled = True
-            level = seen.where("not ok").select("key", "copy", "sig")
-            continue
-        mixed = seen.groupBy("key").agg(F.bool_and("ok").alias("all")).where("not all").select("key")
-        level = _next_paths(seen.join(mixed, "key", "left_semi"))
-        depth += 1
+        gate = GATE if depth < DEPTH else LOOSE
+        edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
+        mixed = seen.where(F.col("share") < gate).select("key").distinct()
+        level, depth = _next_paths(seen.where(F.col("share") < (CORE if depth < DEPTH else gate)).join(mixed, "key", "left_semi")), depth + 1
     return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges")
 
 
