@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe, chosen_path, fingerprints, hidden_markov, mixing, quality_model, quality_rules, toxicity
+from . import archives, bpe, chosen_path, fingerprints, hidden_markov, license_scan, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_ngram_jaccard": chosen_path.op5_ngram_jaccard,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_hidden_markov": hidden_markov.op9_hidden_markov,
