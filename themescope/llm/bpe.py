@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import spread, table
 
 #: Bytes up to which a piece is merged in a matrix; pieces kept for later batches in a worker.
-LONGEST, ROOM = 512, 400_000
+LONGEST, ROOM = 512, 150_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -96,7 +96,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for at most ``room`` words."""
 
-    def __init__(self, room: int = 1 << 20):
+    def __init__(self, room: int = 1 << 18):
         super().__init__()
         import xxhash
 

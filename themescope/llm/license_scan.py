@@ -1,15 +1,14 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 Words are runs of letters and digits in lower case; shingles are runs of SHINGLE words. A template is cut into
-windows of WINDOW words, each STRIDE after the one before; a text is cut the same way, by half a window, so that
+windows of WINDOW shingles, each STRIDE after the one before; a text is cut the same way, by half a window, so that
 every place of a template in a text is nearly aligned with some window of it. Each window has BANDS x ROWS MinHash
 values; two windows that agree on a whole band are candidates. With a window likeness of EXPECTED or more the chance
-of agreement in some band is at least ``collision(EXPECTED)``, which the settings keep above 0.999. A candidate is
+of agreement in some band is at least ``collision(EXPECTED)``, 0.999 with these settings. A candidate is
 verified on the text: the share of the template's shingles in the text's span around the window, exactly.
 
-Short notices (a line that names a license) are shorter than a window; they are one window of the words they have,
-and the windows of a text are then also taken at the notice's length around its first word, found by the rarest
-word of the notice. All of it is exact containment in the end.
+Short notices (a line that names a license) are shorter than a window; their windows, and those of the texts that they
+are looked up with, have the notice's own length. All of it is exact containment in the end.
 
 The templates are a parameter, a bounded list: TEMPLATES holds short public notices. They are broadcast; a text meets
 them in its own row, so nothing is shuffled and no text is held together with another.
