@@ -64,13 +64,10 @@ def duck():
 @pytest.mark.parametrize("name", ["combine_text", "skip_empty", "shipped_evidence", "network_summary", "retry_resolution", "backoff_seconds", "class_distribution", "score_vector"])
 def test_queries_match_duckdb(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
-    want = duck.execute(queries.oracle_sql()[name]).fetch_arrow_table() if hasattr(duck, "fetch_arrow_table") else None
     columns = sorted(got.columns)
-    if want is None:
-        frame = duck.execute(queries.oracle_sql()[name]).fetchdf()
-        rows = [tuple(None if v != v or v is None else v for v in r) for r in frame[columns].astype(object).itertuples(index=False)]
-    else:
-        rows = [tuple(r[c] for c in columns) for r in want.to_pylist()]
+    found = duck.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    rows = [tuple(dict(zip(names, r, strict=True))[c] for c in columns) for r in found.fetchall()]
     mine = [tuple(r[c] for c in columns) for r in got.collect()]
     assert sorted(map(repr, mine)) == sorted(map(repr, rows))
 
