@@ -73,7 +73,7 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("byte-level BPE", encode_tokens),
 ]
-#: SQL can't express the trained stages; tests/llm hold run() against a version in plain Python.
+#: SQL can't express the trained stages; a version of run() in plain Python to test it against is still to be written.
 ORACLE_SQL = None
 
 
