@@ -15,11 +15,13 @@ Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +104,10 @@ class Codec:
         self.widths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.cumsum(self.widths) - self.widths
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        numbers = [b"%d " % i for i in range(len(self.tokens))]
+        self.number_widths = np.array([len(n) for n in numbers], np.int64)
+        self.number_starts = np.cumsum(self.number_widths) - self.number_widths
+        self.numbers = np.frombuffer(b"".join(numbers), np.uint8)
         self.forget()
 
     def forget(self) -> None:
@@ -216,6 +222,11 @@ class Codec:
         flat, ends = gather(self.bytes, self.starts[ids], self.widths[ids])
         return np.concatenate([[0], ends])[offsets], flat
 
+    def spell(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts, and all their ids in decimal digits, with a space after each."""
+        flat, ends = gather(self.numbers, self.number_starts[ids], self.number_widths[ids])
+        return np.concatenate([[0], ends])[offsets], flat
+
 
 def gather(source: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """source[start : start + count] of each one after another, and where each ends."""
@@ -249,6 +260,10 @@ def _parts(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _sizes(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int> of ids."""
 
@@ -256,10 +271,9 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for batch in batches:
-            texts = batch.to_pylist()
             offsets, ids, base = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], 0
-            for a, b in _parts([len(t or "") for t in texts]):
-                o, x = c.encode(texts[a:b])
+            for a, b in _parts(_sizes(batch)):
+                o, x = c.encode(batch.slice(a, b - a).to_pylist())
                 offsets.append(o[1:] + base)
                 ids.append(x)
                 base += len(x)
@@ -289,12 +303,32 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return run(ids)
 
 
+def digest(text: Column, path: str, pattern: str) -> Column:
+    """A struct of n_tokens and the digests of the ids and of what they decode to.
+
+    Encoding and decoding take place in one worker, a run of texts at a time: ids never leave it.
+    """
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = codec(path, pattern)
+        for batch in batches:
+            counts: list[int] = []
+            marks: tuple[list[str], list[str]] = [], []
+            for a, b in _parts(_sizes(batch)):
+                offsets, ids = c.encode(batch.slice(a, b - a).to_pylist())
+                counts.extend(np.diff(offsets).tolist())
+                for out, (ends, flat), after in zip(marks, (c.spell(offsets, ids), c.decode(offsets, ids)), (1, 0), strict=True):
+                    out.extend(hashlib.sha256(flat[x : max(x, y - after)]).hexdigest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(marks[0], pa.string()), pa.array(marks[1], pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run(text)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", encode(F.col("text"), path, pattern).alias("ids"))
-    rows = rows.select("doc_id", "ids", decode(F.col("ids"), path, pattern).alias("bytes"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    rows = docs.select("doc_id", digest(F.coalesce("text", F.lit("")), path, pattern).alias("d"))
+    return rows.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
