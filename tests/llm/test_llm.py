@@ -97,6 +97,18 @@ def test_bpe_matches_tiktoken_and_decodes():
         assert flat[ends[i] : ends[i + 1]].tobytes() == (t or "").encode()
 
 
+def test_bpe_digests_on_edge_cases(spark, edges):
+    path, pattern = bpe.public()
+    c = bpe.Codec(path, pattern)
+    got = bpe.digests(edges, path, pattern).collect()
+    want = []
+    for doc, text, *_ in EDGES:
+        ids = " ".join(map(str, c.encode([text])[1].tolist()))
+        want.append((doc, len(ids.split()), *(hashlib.sha256(x.encode()).hexdigest() for x in (ids, text or ""))))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert bpe.digests(edges.limit(0), path, pattern).count() == 0
+
+
 def test_join_matches_brute_force(spark):
     rng = random.Random(4)
     texts = []
