@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themescope.operators import lexical
-from themescope.plans.ontology import HYBRID_WEIGHT, PROXY, SHIPPED, THEMES
+from themescope.operators.index import row_index
+from themescope.operators.network import clusters_sql, network_sql
+from themescope.operators.responses import backoff_sql, resolved_sql, stripped_sql
+from themescope.plans.dialects import Duck, Spark
+from themescope.plans.ontology import PROXY, SHIPPED, THEMES
 
 #: Own texts for the shipped ontology, which the synthetic tables don't contain.
 TEXTS = [
@@ -29,53 +33,6 @@ TEXTS = [
 ]
 
 
-class Duck:
-    name = "duck"
-
-    def json(self, x: str, key: str) -> str:
-        return f"json_extract_string({x}, '$.{key}')"
-
-    def strip(self, x: str) -> str:
-        return rf"regexp_replace({x}, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
-
-    def ordered(self, value: str, order: str) -> str:
-        return f"string_agg({value}, ', ' ORDER BY {order})"
-
-    def valid(self, x: str) -> str:
-        return f"(json_valid({x}) AND starts_with({x}, '{{{{'))"
-
-    def quantile(self, x: str, q: float) -> str:
-        return f"quantile_cont({x}, {q})"
-
-    def split1(self, x: str) -> str:
-        return f"split_part({x}, ',', 1)"
-
-
-class Spark(Duck):
-    name = "spark"
-
-    def json(self, x: str, key: str) -> str:
-        return f"get_json_object({x}, '$.{key}')"
-
-    def strip(self, x: str) -> str:
-        return rf"regexp_replace({x}, r'(?U)^\s+|\s+$', '')"
-
-    def ordered(self, value: str, order: str) -> str:
-        desc = order.endswith(" DESC")
-        key = order.removesuffix(" DESC")
-        return f"array_join(transform(sort_array(collect_list(struct({key} AS k, {value} AS v)), {'false' if desc else 'true'}), x -> x.v), ', ')"
-
-    def valid(self, x: str) -> str:
-        return f"(coalesce(json_array_length(concat('[', {x}, ']')), 0) = 1 AND startswith({x}, '{{{{'))"
-
-    def quantile(self, x: str, q: float) -> str:
-        return f"percentile({x}, {q})"
-
-    def split1(self, x: str) -> str:
-        return f"split_part({x}, ',', 1)"
-
-
-D = Duck
 Query = Callable[[Duck], str]
 
 THEORIES = [*THEMES, "UND"]
@@ -107,26 +64,14 @@ def attempts(d: Duck) -> str:
     )
 
 
-def stripped(d: Duck) -> str:
-    return f"(SELECT *, {d.strip('''CASE WHEN starts_with(body, '```json') THEN replace(replace(body, '```json', ''), '```', '') ELSE body END''') if d.name == 'duck' else d.strip('''CASE WHEN startswith(body, '```json') THEN replace(replace(body, '```json', ''), '```', '') ELSE body END''')} AS clean FROM {attempts(d)})"
-
-
-def resolved(d: Duck) -> str:
-    """The result of each row's attempts: the first good answer, else the error of the last attempt."""
-    good = f"exception IS NULL AND http_status = 200 AND {d.valid('clean')}"
-    return (
-        f"(SELECT row_id, min(CASE WHEN {good} THEN attempt END) AS used, max(CASE WHEN attempt = 2 THEN CASE WHEN exception IS NOT NULL THEN exception WHEN http_status = 200 THEN 'invalid JSON' ELSE 'Max retries exceeded' END END) AS last_error, "
-        f"CAST(sum(CASE WHEN exception IS NULL AND http_status = 429 THEN power(2, attempt) WHEN (exception IS NOT NULL OR (http_status = 200 AND NOT {d.valid('clean')})) AND attempt < 2 THEN power(2, attempt) ELSE 0 END) AS DOUBLE) AS all_sleeps FROM {stripped(d)} GROUP BY row_id)"
-    )
-
-
 def results(d: Duck) -> str:
     """A result row for each document: classified, failed or skipped."""
+    answered = "r.row_id % 37 <> 0 AND r.used IS NOT NULL"
     return (
-        f"(SELECT r.row_id, CASE WHEN r.row_id % 37 = 0 THEN 'UND' WHEN r.used IS NULL THEN 'UND' ELSE {d.json('s.clean', 'primary_class')} END AS primary_class, CASE WHEN r.row_id % 37 <> 0 AND r.used IS NOT NULL THEN {d.json('s.clean', 'confidence')} END AS confidence, "
-        f"CASE WHEN r.row_id % 37 <> 0 AND r.used IS NOT NULL THEN CASE {d.json('s.clean', 'is_hybrid')} WHEN 'true' THEN TRUE ELSE FALSE END END AS is_hybrid, "
+        f"(SELECT r.row_id, CASE WHEN {answered} THEN {d.json('r.answer', 'primary_class')} ELSE 'UND' END AS primary_class, CASE WHEN {answered} THEN {d.json('r.answer', 'confidence')} END AS confidence, "
+        f"CASE WHEN {answered} THEN CASE {d.json('r.answer', 'is_hybrid')} WHEN 'true' THEN TRUE ELSE FALSE END END AS is_hybrid, "
         "CASE WHEN r.row_id % 37 = 0 THEN 'skipped' WHEN r.used IS NULL THEN 'error' END AS status, CASE WHEN r.row_id % 37 = 0 THEN 'Empty description' WHEN r.used IS NULL THEN r.last_error END AS error, CASE WHEN r.row_id % 37 <> 0 THEN CAST(length(t.text) AS BIGINT) END AS description_length "
-        f"FROM {resolved(d)} r JOIN (SELECT doc_id, text FROM {{documents}}) t ON t.doc_id = r.row_id LEFT JOIN {stripped(d)} s ON s.row_id = r.row_id AND s.attempt = r.used)"
+        f"FROM {resolved_sql(d, attempts(d))} r JOIN (SELECT doc_id, text FROM {{documents}}) t ON t.doc_id = r.row_id)"
     )
 
 
@@ -141,26 +86,6 @@ def scores(d: Duck) -> str:
 MANY = "(SELECT doc_id, theory, theory_ord * 2 + v.k AS rank, semantic_field, CASE WHEN v.k = 0 THEN level WHEN doc_id % 2 = 0 THEN 'meta_metaphor' ELSE 'scientific_metaphor' END AS level, type, weight FROM {evidence} CROSS JOIN (VALUES (0), (1)) AS v(k))"
 
 
-def clusters(source: str = "{evidence}", rank: str = "theory_ord") -> str:
-    count = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
-    return (
-        f"(SELECT doc_id, theory, count(*) AS total_evidence, {count('''level = 'meta_metaphor' ''')} AS meta_metaphor_count, {count('''level = 'scientific_metaphor' ''')} AS scientific_metaphor_count, "
-        f"{count('''type = 'ontological' ''')} AS ontological_count, round(sum(weight), 9) AS total_weight, min({rank}) AS first_rank FROM {source} GROUP BY doc_id, theory)"
-    )
-
-
-def network(d: Duck, source: str, rank: str) -> str:
-    c = clusters(source, rank)
-    hybrid = f"CASE WHEN total_weight >= {lexical.real(HYBRID_WEIGHT)} THEN theory END"
-    joined = d.ordered("theory", "first_rank")
-    return (
-        f"SELECT a.doc_id, a.meta_metaphor_detected, b.theory AS dominant_pattern, CASE WHEN h.n > 1 THEN h.names ELSE '' END AS hybrid_theories FROM "
-        f"(SELECT doc_id, max(CASE WHEN meta_metaphor_count >= 1 AND scientific_metaphor_count >= 1 THEN 1 ELSE 0 END) = 1 AS meta_metaphor_detected FROM {c} GROUP BY doc_id) a "
-        f"JOIN (SELECT doc_id, theory FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total_weight DESC, first_rank) AS rn FROM {c}) WHERE rn = 1) b ON a.doc_id = b.doc_id "
-        f"LEFT JOIN (SELECT doc_id, count(*) AS n, {joined} AS names FROM (SELECT *, {hybrid} AS hy FROM {c}) WHERE hy IS NOT NULL GROUP BY doc_id) h ON a.doc_id = h.doc_id"
-    )
-
-
 def top(k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theory_ord) AS rn FROM {{evidence}}) WHERE rn <= {k}"
 
@@ -188,8 +113,8 @@ QUERIES_SQL: dict[str, Query] = {
     "text_column_selection": lambda d: f"SELECT row_id, descr, descr_en, descr_clean FROM {rows_(d)}",
     "combine_text": lambda d: f"SELECT row_id, combined_description FROM {combined(d)}",
     "skip_empty": lambda d: f"SELECT row_id, CASE WHEN {d.strip('combined_description')} = '' THEN 'skipped' END AS status, CASE WHEN {d.strip('combined_description')} = '' THEN 'UND' END AS primary_class, CASE WHEN {d.strip('combined_description')} = '' THEN 'Empty description' END AS error FROM {combined(d)}",
-    "default_title": lambda d: f"SELECT row_id, coalesce(title, concat('Item_', CAST(row_number() OVER (ORDER BY row_id) - 1 AS STRING))) AS title FROM {rows_(d)}",
-    "row_index": lambda d: f"SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS idx FROM {rows_(d)}",
+    "default_title": lambda d: "SELECT row_id, coalesce(title, concat('Item_', CAST(idx AS STRING))) AS title FROM {indexed}",
+    "row_index": lambda d: "SELECT row_id, CAST(idx AS BIGINT) AS idx FROM {indexed}",
     "description_length": lambda d: f"SELECT row_id, CAST(length(combined_description) AS BIGINT) AS description_length FROM {combined(d)}",
     "success_filter": lambda d: f"SELECT row_id, primary_class, status FROM {results(d)} WHERE {OK}",
     "error_filter": lambda d: f"SELECT row_id, primary_class, error FROM {results(d)} WHERE status = 'error'",
@@ -209,21 +134,21 @@ QUERIES_SQL: dict[str, Query] = {
     "shipped_evidence": lambda d: "SELECT doc_id, theory, score, semantic_field, level, span, type, weight FROM {shipped}",
     "evidence_preview": lambda d: f"SELECT doc_id, rn AS position, theory, concat(substring(span, 1, 100), '...') AS span FROM {top(3)}",
     "topk_evidence": lambda d: f"SELECT doc_id, rn AS position, theory, weight FROM {top(5)}",
-    "theory_clusters": lambda d: f"SELECT doc_id, theory, total_evidence, meta_metaphor_count, scientific_metaphor_count, ontological_count, total_weight FROM {clusters()}",
-    "meta_pattern": lambda d: f"SELECT doc_id, max(CASE WHEN meta_metaphor_count >= 1 AND scientific_metaphor_count >= 1 THEN 1 ELSE 0 END) = 1 AS meta_metaphor_detected FROM {clusters(MANY, 'rank')} GROUP BY doc_id",
-    "dominant_theory": lambda d: f"SELECT doc_id, dominant_pattern FROM ({network(d, '{evidence}', 'theory_ord')})",
-    "hybrid_theories": lambda d: f"SELECT doc_id, hybrid_theories FROM ({network(d, MANY, 'rank')})",
-    "network_summary": lambda d: network(d, MANY, "rank"),
-    "shipped_network": lambda d: network(d, "{shipped}", "theory_ord"),
-    "pre_analysis": lambda d: f"SELECT n.doc_id, e.detected_metaphors, n.meta_metaphor_detected AS meta_metaphor_present, n.dominant_pattern AS dominant_theory FROM ({network(d, '{evidence}', 'theory_ord')}) n JOIN (SELECT doc_id, count(*) AS detected_metaphors FROM {{evidence}} GROUP BY doc_id) e ON n.doc_id = e.doc_id",
+    "theory_clusters": lambda d: f"SELECT doc_id, theory, total_evidence, meta_metaphor_count, scientific_metaphor_count, ontological_count, total_weight FROM {clusters_sql('{evidence}', 'theory_ord')}",
+    "meta_pattern": lambda d: f"SELECT doc_id, max(CASE WHEN meta_metaphor_count >= 1 AND scientific_metaphor_count >= 1 THEN 1 ELSE 0 END) = 1 AS meta_metaphor_detected FROM {clusters_sql(MANY, 'rank')} GROUP BY doc_id",
+    "dominant_theory": lambda d: f"SELECT doc_id, dominant_pattern FROM ({network_sql(d, '{evidence}', 'theory_ord')})",
+    "hybrid_theories": lambda d: f"SELECT doc_id, hybrid_theories FROM ({network_sql(d, MANY, 'rank')})",
+    "network_summary": lambda d: network_sql(d, MANY, "rank"),
+    "shipped_network": lambda d: network_sql(d, "{shipped}", "theory_ord"),
+    "pre_analysis": lambda d: f"SELECT n.doc_id, e.detected_metaphors, n.meta_metaphor_detected AS meta_metaphor_present, n.dominant_pattern AS dominant_theory FROM ({network_sql(d, '{evidence}', 'theory_ord')}) n JOIN (SELECT doc_id, count(*) AS detected_metaphors FROM {{evidence}} GROUP BY doc_id) e ON n.doc_id = e.doc_id",
     "ontology_theta_join": lambda d: f"SELECT t.doc_id, o.theory, count(*) AS hits FROM (SELECT doc_id, lower(coalesce(text, '')) AS text_lc FROM {{documents}}) t JOIN (VALUES {_dim}) AS o(theory, term_ord, term) ON contains(t.text_lc, o.term) GROUP BY t.doc_id, o.theory",
     # requests and responses
     "build_prompt": lambda d: f"SELECT row_id, concat('{PROMPT}', ' Description: ', combined_description) AS prompt FROM {combined(d)}",
     "prompt_extension": lambda d: "SELECT doc_id, replace(concat('Task. ANSWER FORMAT: ', source), 'ANSWER FORMAT:', 'Levels and types apply. ANSWER FORMAT:') AS prompt FROM {documents}",
-    "strip_fence": lambda d: f"SELECT row_id, attempt, clean FROM {stripped(d)}",
-    "parse_classification": lambda d: f"SELECT row_id, attempt, {d.valid('clean')} AS valid, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'primary_class')} END AS primary_class, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'confidence')} END AS confidence FROM {stripped(d)}",
-    "retry_resolution": lambda d: f"SELECT row_id, CAST(used AS INT) AS attempt_used, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved(d)}",
-    "backoff_seconds": lambda d: f"SELECT s.row_id, CAST(sum(CASE WHEN s.attempt < coalesce(r.used, 3) THEN CASE WHEN s.exception IS NULL AND s.http_status = 429 THEN power(2, s.attempt) WHEN s.exception IS NULL AND s.http_status <> 200 THEN 0 WHEN s.attempt < 2 THEN power(2, s.attempt) ELSE 0 END ELSE 0 END) AS DOUBLE) AS seconds FROM {stripped(d)} s JOIN {resolved(d)} r ON s.row_id = r.row_id GROUP BY s.row_id",
+    "strip_fence": lambda d: f"SELECT row_id, attempt, clean FROM {stripped_sql(d, attempts(d))}",
+    "parse_classification": lambda d: f"SELECT row_id, attempt, {d.valid('clean')} AS valid, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'primary_class')} END AS primary_class, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'confidence')} END AS confidence FROM {stripped_sql(d, attempts(d))}",
+    "retry_resolution": lambda d: f"SELECT row_id, CAST(used AS INT) AS attempt_used, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(d, attempts(d))}",
+    "backoff_seconds": lambda d: backoff_sql(d, attempts(d)),
     "contract_check": lambda d: f"SELECT row_id, max(score) >= CAST(0.5 AS DOUBLE) AS classified, sum(CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) >= 2 AS hybrid FROM {scores(d)} GROUP BY row_id",
     "attach_results": lambda d: f"SELECT i.row_id, i.title, r.primary_class AS result_primary_class, r.status AS result_status FROM {rows_(d)} i JOIN {results(d)} r ON i.row_id = r.row_id",
     # aggregations and reports
@@ -231,7 +156,7 @@ QUERIES_SQL: dict[str, Query] = {
     "run_totals": lambda d: f"SELECT count(*) AS processed, CAST(sum(CASE WHEN {OK} THEN 1 ELSE 0 END) AS BIGINT) AS successful, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM {results(d)}",
     "primary_class_hist": hist("primary_class", results, "primary_class"),
     "confidence_hist": hist("confidence", results, "confidence"),
-    "meta_rate": lambda d: f"SELECT meta_metaphor_detected, count(*) AS n FROM ({network(d, MANY, 'rank')}) GROUP BY meta_metaphor_detected",
+    "meta_rate": lambda d: f"SELECT meta_metaphor_detected, count(*) AS n FROM ({network_sql(d, MANY, 'rank')}) GROUP BY meta_metaphor_detected",
     "hybrid_rate": lambda d: f"SELECT coalesce(is_hybrid, FALSE) AS is_hybrid, count(*) AS n FROM {results(d)} WHERE {OK} GROUP BY coalesce(is_hybrid, FALSE)",
     "explode_scores": lambda d: f"SELECT row_id, theory, score FROM {scores(d)}",
     "explode_evidence": lambda d: "SELECT doc_id, theory, level, type FROM {evidence}",
@@ -254,6 +179,8 @@ def _query(make: Query) -> Callable[[SparkSession, str], DataFrame]:
         documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
         if "{documents}" in sql:
             inputs["documents"] = documents
+        if "{indexed}" in sql:
+            inputs["indexed"] = row_index(spark.sql(f"SELECT row_id, title FROM {rows_(Spark())}", documents=documents), "row_id")
         if "{fields}" in sql:
             inputs["fields"] = lexical.fields(documents, PROXY)
         if "{evidence}" in sql:
@@ -269,5 +196,6 @@ QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    given = {"documents": "documents", "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "shipped": lexical.evidence_sql(_texts, SHIPPED)}
+    indexed = f"(SELECT row_id, title, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM {rows_(Duck()).format(documents='documents')})"
+    given = {"documents": "documents", "indexed": indexed, "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "shipped": lexical.evidence_sql(_texts, SHIPPED)}
     return {name: make(Duck()).format(**given) for name, make in QUERIES_SQL.items()}
