@@ -54,11 +54,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    times = mixing.mix(docs).where("epochs > 0").select(F.col("doc_id").alias("taken_id"), "epochs")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    copies = _free("copy_number", docs)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias(copies)).select(*docs.columns)
+    """Each document as often as the mix of sources takes it; rows that are equal in all columns share their copies."""
+    mark, taken_mark, times = (_free(name, docs) for name in ("row_mark", "taken_mark", "times_taken"))
+    rows = docs.withColumn(mark, F.unhex(F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))))
+    taken = mixing.mix(rows, carry=(mark,)).groupBy(F.col(mark).alias(taken_mark)).agg(F.sum("epochs").cast("int").alias(times)).where(F.col(times) > 0)
+    joined = rows.dropDuplicates([mark]).join(taken, F.col(mark) == F.col(taken_mark))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(mark)).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("byte-level BPE", encode_tokens),
 ]
-#: SQL can't express the trained stages; a version of run() in plain Python to test it against is still to be written.
+#: SQL can't express the trained stages; tests/llm/test_pipeline.py holds run() against the same steps in plain Python.
 ORACLE_SQL = None
 
 

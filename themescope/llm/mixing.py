@@ -41,12 +41,15 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     return s.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, parts: int = PARTS, bins: int = BINS, max_epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``docs`` (doc_id, text, source) with size, source_size, target and epochs: how often the mix takes the document."""
+def mix(docs: DataFrame, seed: str = SEED, parts: int = PARTS, bins: int = BINS, max_epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, source) with size, source_size, target and epochs: how often the mix takes the document.
+
+    Columns named in ``carry`` come along; their names must not be those of the columns made here.
+    """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     part = F.floor(F.conv(F.substring("k", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("k")).withColumn("part", part), "sizes")
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("k"), *carry).withColumn("part", part), "sizes")
 
     ranges = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, seed: str = SEED, parts: int = PARTS, bins: int = BINS,
     for e in range(1, max_epochs):
         total = total + taken(e)
     epochs = F.when(F.col("size") > 0, total).otherwise(F.lit(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), *carry)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
