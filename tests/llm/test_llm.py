@@ -219,6 +219,36 @@ def test_license_windows_collide_and_verify():
     assert t.scan(None, h) == [] and t.scan("plain words only " * 50, h) == []
 
 
+@pytest.fixture(scope="module")
+def licenses():
+    return license_scan.Templates(license_scan.TEMPLATES)
+
+
+@pytest.mark.parametrize(
+    ("license", "line"),
+    [
+        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "Licensed under the GPL version 2"), ("GPL-3.0", "released under the GPLv3"),
+        ("LGPL-2.1", "the terms of the GNU Lesser General Public License version 2.1 or later"), ("AGPL-3.0", "GNU Affero General Public License v3.0"),
+        *[(f"CC-{c}-{v}", f"Licensed under CC {c} {v}.") for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")],
+        ("CC-BY-NC", "Licensed under CC BY-NC"), ("CC-BY-NC-ND-4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+        ("BSD", "Distributed under the BSD license"), ("BSD-3-Clause", "Distributed under the BSD 3-Clause license"), ("ISC", "under the ISC license"), ("MPL-2.0", "Mozilla Public License 2.0"),
+        ("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("rights-reserved", "All rights reserved."), ("CC0-1.0", "CC0 1.0 Universal"),
+    ],
+)
+def test_each_kind_of_license_line_is_found(licenses, license, line):
+    text = "Some prose before. " * 30 + line + " And after." * 20
+    assert [m[0] for m in licenses.scan(text, license_scan.WordHashes())] == [license]
+
+
+def test_full_license_texts_are_found_whole(licenses):
+    h = license_scan.WordHashes()
+    for p in license_scan.FULL.glob("*.txt"):
+        words = p.read_text(encoding="utf-8").split()
+        words[len(words) // 2] = "changed"
+        text = " ".join(words)
+        assert [(m[0], m[2] - m[1] > 0.95 * len(text)) for m in licenses.scan("Before. " * 30 + text + " After." * 30, h)] == [(p.stem, True)]
+
+
 def test_classifier_learns_and_is_calibrated():
     rng = random.Random(6)
     rows = [(k, random_text(rng, 60) if k % 4 else " | ".join(random_text(rng, 60).split()), int(k % 4 > 0)) for k in range(400)]
