@@ -135,6 +135,44 @@ def test_join_matches_brute_force(spark):
         assert got[k].copy_id == min(i for i, u in enumerate(texts) if (u or "") == (t or ""))
 
 
+def test_runs_reach_the_target_at_every_depth():
+    for depth in (5, 8, 12, 15):
+        assert chosen_path.recall_of(chosen_path.runs_for(depth=depth), depth) >= chosen_path.RECALL
+    assert chosen_path.core(chosen_path.GATE) == 1.0
+
+
+def test_pairs_inside_a_large_group_that_shares_passages(spark):
+    rng = random.Random(8)
+    passages = [random_text(rng, 60) for _ in range(4)]
+    texts, pairs = [], []
+    for k in range(700):
+        own = " ".join(passages[: rng.randrange(2, 5)]) + " " + random_text(rng, 200)
+        texts.append(own)
+        if k % 10 == 0:
+            near = own.split()
+            for _ in range(6):
+                near[rng.randrange(len(near))] = "changed"
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(" ".join(near))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    hashes = chosen_path.WordHashes()
+    sets = [chosen_path.shingle_set(t, hashes) for t in texts]
+    true = [(a, b) for a, b in pairs if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    rows, nodes = chosen_path.nodes_of(docs)
+    copies = {r.doc_id: bytes(r["copy"]) for r in rows.collect()}
+    parent = {c: c for c in copies.values()}
+
+    def least(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for r in chosen_path.candidates(nodes).collect():
+        parent[least(bytes(r.u))] = least(bytes(r.v))
+    assert len(true) > 50
+    assert sum(least(copies[a]) == least(copies[b]) for a, b in true) >= 0.99 * len(true)
+
+
 def test_join_on_edge_cases(spark, edges):
     rows = chosen_path.join(edges).select("doc_id", "class_id", "n_copies").collect()
     assert len(rows) == len(EDGES)

@@ -5,8 +5,8 @@ are split recursively: a bucket's path decides, for all of its members alike, wh
 average, that is 1 / threshold) split it, and members go on together where they share the token. Buckets of at most
 SMALL members are compared by brute force. In a larger one all members are compared with a pivot, one of them; if all
 are like it the bucket is done, else it is split further, without those that are so like the pivot that nothing
-unlike it can be linked to them. Runs are repeated until the chance that a pair at the threshold
-stays together for DEPTH levels of some path is RECALL; few paths are as deep. No step makes pairs of rows: each bucket yields at most one candidate edge
+unlike it can be linked to them. Runs are repeated until the chance that a pair at the threshold, whose sketch is by
+chance better or worse, stays together in some run down to the deepest level that any bucket reached is RECALL. No step makes pairs of rows: each bucket yields at most one candidate edge
 a member, and a bucket's members never meet in one task unless they are few.
 
 Candidate edges form components, by star contraction. Inside each, every two nodes are compared exactly, on their
@@ -23,6 +23,7 @@ are documents too, but name a class only if none of it has one. Empty table: no
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -35,12 +36,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, shingles, spread, stored, table, words
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
-#: Members of a bucket compared by brute force, levels split before buckets are first counted, levels for which the runs are to reach the target recall.
+#: Members of a bucket compared by brute force, levels split before buckets are first counted, levels from which candidates are chosen loosely and for which the first runs reach the target recall.
 SMALL, FIRST, DEPTH, RECALL = 24, 2, 5, 0.99
 #: Share of equal coordinates from which a pair is a candidate: 4 standard errors below the threshold.
 GATE = 0.6
-#: Share of coordinates in common with a pivot from which a row can have no link to one under GATE (distances add up).
-CORE = 0.85
 #: GATE from DEPTH on: what still shares a large bucket there becomes a candidate sooner; the exact comparison decides.
 LOOSE = 0.4
 #: Nodes of a component that meet in one task; columns of its incidence matrix at a time.
@@ -60,8 +59,22 @@ def survival(depth: int, likeness: float = THRESHOLD) -> float:
     return s
 
 
+def recall_of(runs: int, depth: int) -> float:
+    """The chance that a pair at the threshold becomes a candidate in so many runs of this depth, over all sketches it may have."""
+    total = 0.0
+    for k in range(math.ceil(GATE * COORDINATES), COORDINATES + 1):
+        chance = math.comb(COORDINATES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (COORDINATES - k)
+        total += chance * (1 - (1 - survival(depth, k / COORDINATES)) ** runs)
+    return total
+
+
 def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
+    return next(r for r in itertools.count(1) if recall_of(r, depth) >= recall)
+
+
+def core(gate: float) -> float:
+    """Share in common with a pivot from which a row has no pair over GATE with one that is under ``gate`` (distances add up)."""
+    return 1 - GATE + gate
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -122,13 +135,13 @@ def with_copy(docs: DataFrame) -> DataFrame:
 # ---- candidates
 
 
-def _first_paths(nodes: DataFrame, runs: int) -> DataFrame:
+def _first_paths(nodes: DataFrame, runs: range) -> DataFrame:
     """(key, copy) after FIRST levels of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, names = _sigs(b.column("sig")), b.column("copy")
-            for r in range(runs):
+            for r in runs:
                 rows = np.arange(len(sig))
                 keys = np.full(len(sig), mix64(np.array([r + 1], np.uint64))[0])
                 for _ in range(FIRST):
@@ -194,9 +207,8 @@ def _compare_pivot(rows: DataFrame) -> DataFrame:
     return joined.select("key", "copy", "sig", "pivot", alike("sig", "pivot_sig").alias("share"))
 
 
-def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
-    """Edges (u, v) between nodes that some path brought together and whose signatures are alike."""
-    runs = runs or runs_for()
+def _edges_of(nodes: DataFrame, runs: range) -> tuple[list[DataFrame], int]:
+    """Candidate edges (u, v) of some runs, and the deepest level at which a bucket was compared."""
     sigs = nodes.select("copy", "sig")
     level, depth = stored(_first_paths(nodes, runs), "paths"), FIRST
     edges: list[DataFrame] = []
@@ -209,12 +221,23 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
         edges.append(stored(_compare_small(rows.where(F.col("size") <= SMALL)), "small"))
         large = rows.where(F.col("size") > SMALL)
         if large.isEmpty():
-            break
+            return edges, depth
         seen = stored(_compare_pivot(large), "pivots")
         gate = GATE if depth < DEPTH else LOOSE
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
         mixed = seen.where(F.col("share") < gate).select("key").distinct()
-        level, depth = _next_paths(seen.where(F.col("share") < (CORE if depth < DEPTH else gate)).join(mixed, "key", "left_semi")), depth + 1
+        level, depth = _next_paths(seen.where(F.col("share") < core(gate)).join(mixed, "key", "left_semi")), depth + 1
+
+
+def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
+    """Edges (u, v) between nodes that some path brought together and whose signatures are alike."""
+    done, want, deepest = 0, runs or runs_for(), 0
+    edges: list[DataFrame] = []
+    while done < want:
+        found, depth = _edges_of(nodes, range(done, want))
+        edges += found
+        done, deepest = want, max(deepest, depth)
+        want = runs or max(want, runs_for(depth=deepest))
     return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges")
 
 
