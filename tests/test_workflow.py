@@ -102,3 +102,15 @@ def test_a_stream_gives_the_rows_of_its_table(spark, tmp_path):
     for _ in range(2):
         stream.write_evidence(stream.read_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert [(r.doc_id, r.theory) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "COMP")]
+
+
+def test_text_columns_are_whole(spark):
+    from themescope.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["text_column_selection"](spark, sf).collect()
+    assert any(len(t or "") > 60 for t in texts.values())
+    for r in rows:
+        assert r.descr == (None if r.row_id % 7 == 0 else texts[r.row_id])
+        assert r.row_id % 3 == 0 or r.row_id % 11 == 0 or r.descr_en == texts[r.row_id].replace(" ", "_")

@@ -43,8 +43,8 @@ _values = ", ".join(f"({k}, '{t}')" for k, t in enumerate(THEORIES))
 def rows_(d: Duck) -> str:
     """Input rows with holes: title and three text columns, made from documents."""
     return (
-        "(SELECT doc_id AS row_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('T', CAST(doc_id AS STRING)) END AS title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE substring(text, 1, 40) END AS descr, "
-        "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '  ' ELSE substring(text, 41, 20) END AS descr_en, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS descr_clean FROM {documents})"
+        "(SELECT doc_id AS row_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('T', CAST(doc_id AS STRING)) END AS title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS descr, "
+        "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '  ' ELSE replace(text, ' ', '_') END AS descr_en, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS descr_clean FROM {documents})"
     )
 
 
