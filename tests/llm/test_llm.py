@@ -225,6 +225,16 @@ def test_base_scores_match_a_plain_count(spark, edges):
     assert sorted(r.base_score for r in got) == pytest.approx(sorted(want))
 
 
+def test_all_rounds_see_all_training_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b c d{k}") for k in range(3)], "doc_id long, text string")
+    seen, plain = [], hidden_markov.round_of
+    monkeypatch.setattr(hidden_markov, "round_of", lambda texts, *rest: (seen.append(texts.count()), plain(texts, *rest))[1])
+    hidden_markov.fit(docs, warm=1)
+    assert seen == [3, 3]
+    none = hidden_markov.fit(docs.limit(0), warm=1).chain
+    assert (none.emit[:, 0] != none.emit[:, 1]).any()
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a b/", "x" * 200), (2, None, "x" * 200), (None, "u", None), (3, "http://é", "日本\r\n\r\nz" * 50), (4, "q", "short"), (5, "q", "short")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

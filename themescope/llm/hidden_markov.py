@@ -8,7 +8,8 @@ count c and the class's tokens n and distinct words v: a proper distribution wit
 
 Baum-Welch: every task runs the scaled forward and backward recursions over its documents and emits the expected
 counts by symbol and state, which are summed by symbol in a shuffle; the driver gets SYMBOLS + CLASSES + 1 rows,
-whatever the corpus. WARM rounds over a fixed fraction of the training documents come before one over all.
+whatever the corpus. All WARM + 1 rounds go over all training documents; a round without
+any counts keeps the chain before it.
 
 Scoring: the forward recursion of a text is exact, in numpy over many documents at once, longest first. Counts of
 the FREQUENT most frequent words go along as a table of that bound; the rare words of each document, written with
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import fold, spread, stored, table
 
 STATES, SYMBOLS, CLASSES, FREQUENT = 8, 16384, 256, 131_072
-#: Rounds of Baum-Welch over one in WARM_PART training documents, before the one over all.
-WARM, WARM_PART, SMOOTH, SEED = 8, 12, 20.0, 3
+#: Rounds of Baum-Welch before the last one.
+WARM, SMOOTH, SEED = 8, 20.0, 3
 #: Tokens whose recursions run together; distinct words counted before they are passed on.
 GROUP, HELD = 400_000, 300_000
 
@@ -243,6 +244,8 @@ def round_of(texts: DataFrame, v, m: Chain, counts: Vocabulary) -> Chain:
     total = np.zeros((size + STATES + 1, STATES))
     total[sums["i"].to_numpy()] = sums[states].to_numpy()
     sent.unpersist()
+    if sums.empty:
+        return m
     share = (counts.symbol_counts + 0.5) / (counts.symbol_counts + 0.5).sum()
     emit = total[:size] + SMOOTH * share[:, None]
     moves = total[size : size + STATES] + 0.1
@@ -257,17 +260,16 @@ class Fitted:
     chain: Chain
 
 
-def fit(texts: DataFrame, key: str = "doc_id", warm: int = WARM) -> Fitted:
-    """Counts and model of the training rows ``texts`` (doc_id, text)."""
+def fit(texts: DataFrame, warm: int = WARM) -> Fitted:
+    """Counts and model of the training rows ``texts`` (column text)."""
     spark = texts.sparkSession
     counts = stored(word_counts(texts), "counts")
     voc = vocabulary(counts, texts.count())
     sent = spark.sparkContext.broadcast(voc)
     chain = first_chain(voc)
-    few = stored(spread(texts.where(F.pmod(F.xxhash64(F.coalesce(F.col(key), F.lit(0))), F.lit(WARM_PART)) == 0).select("text")), "warm")
-    for _ in range(warm):
-        chain = round_of(few, sent, chain, voc)
-    return Fitted(counts, voc, round_of(texts, sent, chain, voc))
+    for _ in range(warm + 1):
+        chain = round_of(texts, sent, chain, voc)
+    return Fitted(counts, voc, chain)
 
 
 # ---- scores
