@@ -173,6 +173,11 @@ def test_pairs_inside_a_large_group_that_shares_passages(spark):
     assert sum(least(copies[a]) == least(copies[b]) for a, b in true) >= 0.99 * len(true)
 
 
+def test_join_refuses_a_smaller_threshold():
+    with pytest.raises(ValueError):
+        chosen_path.join(None, 0.6)
+
+
 def test_join_on_edge_cases(spark, edges):
     rows = chosen_path.join(edges).select("doc_id", "class_id", "n_copies").collect()
     assert len(rows) == len(EDGES)

@@ -355,6 +355,8 @@ def exact_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, threshold:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, copy_id, n_copies, n_links for every row of ``docs`` (doc_id, text), and copy, the text's digest."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"runs and gates are made for {THRESHOLD} or more, a smaller threshold would lose pairs")
     docs = spread(docs.select("doc_id", "text"))
     rows, nodes = nodes_of(docs)
     counts, edges = exact_links(docs, nodes, components(candidates(nodes)), threshold)
