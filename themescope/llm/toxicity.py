@@ -7,8 +7,9 @@ exception phrase don't count. The summed weights are divided by a slowly growing
 and a logistic curve makes that a score.
 
 The lexicon and the curve are learned from a bounded sample of labelled rows: the weight of a word is its
-smoothed log odds among toxic and other documents, and it enters if the difference is far from chance and no
-clean language would lose it. Near copies count once in training. Without labels, a small general list is used.
+smoothed log odds among toxic and other documents, and it enters if the difference is far from chance,
+the weight large enough and the word in three toxic documents or more. Near copies count once in
+training. Without labels, a small general list is used.
 
 Null and empty texts: no hits, the lowest score. Very long texts are scanned whole in linear time. Repeated rows
 are scored each. Empty table: no rows. Other columns are ignored.
