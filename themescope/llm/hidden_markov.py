@@ -6,26 +6,30 @@ of the SYMBOLS most frequent words, one for each of CLASSES classes of the other
 characters), and the end. A word of a class has the probability of the class times (c + 1) / (n + v + 1), with its
 count c and the class's tokens n and distinct words v: a proper distribution with one place for the unseen.
 
-Baum-Welch: every task runs the scaled forward and backward recursions over its documents and emits the expected
+Texts are cut into words twice: to count them, and to write each row's symbols and rare words to the shared folder.
+
+Baum-Welch: every task runs the scaled forward and backward recursions over its rows' symbols and emits the expected
 counts by symbol and state, which are summed by symbol in a shuffle; the driver gets SYMBOLS + CLASSES + 1 rows,
-whatever the corpus. All WARM + 1 rounds go over all training documents; a round without
-any counts keeps the chain before it.
+whatever the corpus. Every round goes over all training documents. Rounds end when one has raised the likelihood by
+less than SETTLED a token, at the latest after ROUNDS; a round without any counts keeps the chain before it.
 
 Scoring: the forward recursion of a text is exact, in numpy over many documents at once, longest first. Counts of
-the FREQUENT most frequent words go along as a table of that bound; the rare words of each document, written with
-its other results, meet the rest of the counts in a shuffled join.
+the FREQUENT most frequent words go along as a table of that bound; the rare words of each document meet the rest of
+the counts in a shuffled join.
 
 Null and empty texts are the end alone. Texts of any length are scored whole. Repeated rows are scored each, under
 a row number of their own. Empty table: no rows; without training documents all counts are 0. A null doc_id counts
-as the empty text in the fold. Other columns are ignored.
+as the empty text in the fold. Words of equal count take their symbols in the order of their characters. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -33,14 +37,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, spread, stored, table
 
 STATES, SYMBOLS, CLASSES, FREQUENT = 8, 16384, 256, 131_072
-#: Rounds of Baum-Welch before the last one.
-WARM, SMOOTH, SEED = 8, 20.0, 3
+#: Rounds of Baum-Welch at most; rise of the decimal log likelihood a token under which they end; smoothing tokens a state.
+ROUNDS, SETTLED, SMOOTH, SEED = 8, 0.02, 20.0, 3
 #: Tokens whose recursions run together; distinct words counted before they are passed on.
 GROUP, HELD = 400_000, 300_000
 
@@ -161,13 +165,13 @@ class Group:
         self.doc[self.at[step] + doc] = doc
         self.count = len(docs)
 
-    def forward(self, m: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward(self, m: Chain, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward values and scales of all tokens, emission probabilities."""
-        emit = m.emit[self.symbols]
-        alpha, scale = np.empty_like(emit), np.empty(len(emit))
+        emit, moves = m.emit.astype(kind, copy=False)[self.symbols], m.moves.astype(kind, copy=False)
+        alpha, scale = np.empty_like(emit), np.empty(len(emit), kind)
         for t, k in enumerate(self.live):
             a, b = self.at[t], self.at[t] + k
-            x = m.start * emit[a:b] if t == 0 else alpha[self.at[t - 1] : self.at[t - 1] + k] @ m.moves * emit[a:b]
+            x = (m.start * emit[a:b]).astype(kind, copy=False) if t == 0 else alpha[self.at[t - 1] : self.at[t - 1] + k] @ moves * emit[a:b]
             s = x.sum(1)
             scale[a:b] = s
             np.divide(x, s[:, None], out=alpha[a:b])
@@ -177,22 +181,24 @@ class Group:
         """log10 probability of each document's symbols."""
         return np.bincount(self.doc, np.log10(self.forward(m)[1]), self.count)
 
-    def expected(self, m: Chain, by_symbol: np.ndarray, moves: np.ndarray, start: np.ndarray) -> float:
-        """Adds expected counts to the last three; returns the natural log likelihood."""
-        alpha, scale, emit = self.forward(m)
+    def expected(self, m: Chain, by_symbol: np.ndarray, moves: np.ndarray, start: np.ndarray, kind: type = np.float32) -> float:
+        """Adds expected counts to the last three; returns the natural log likelihood. Values are scaled, so ``kind`` may be short."""
+        alpha, scale, emit = self.forward(m, kind)
+        back, way = np.ascontiguousarray(m.moves.T, kind), m.moves.astype(kind)
         beta = np.ones_like(alpha)
         emit /= scale[:, None]
         for t in range(len(self.live) - 2, -1, -1):
             k, a, b = self.live[t + 1], self.at[t], self.at[t + 1]
-            beta[a : a + k] = (emit[b : b + k] * beta[b : b + k]) @ m.moves.T
+            emit[b : b + k] *= beta[b : b + k]
+            np.matmul(emit[b : b + k], back, out=beta[a : a + k])
         gamma = alpha * beta
         for state in range(gamma.shape[1]):
             by_symbol[:, state] += np.bincount(self.symbols, gamma[:, state], len(by_symbol))
         start += gamma[: self.live[0]].sum(0)
         if len(self.live) > 1:
-            rows = np.concatenate([np.arange(self.at[t], self.at[t] + self.live[t + 1]) for t in range(len(self.live) - 1)])
-            moves += m.moves * (alpha[rows].T @ (emit * beta)[self.at[1] :])
-        return float(np.log(scale).sum())
+            rows = np.repeat(self.at[:-2] - self.at[1:-1], self.live[1:]) + np.arange(self.live[0], len(self.symbols))
+            moves += way * (alpha[rows].T @ emit[self.at[1] :])
+        return float(np.log(scale, dtype=np.float64).sum())
 
 
 def grouped(docs: list[np.ndarray]) -> Iterator[tuple[list[int], Group]]:
@@ -220,114 +226,149 @@ def first_chain(v: Vocabulary) -> Chain:
     return Chain(np.full(STATES, 1 / STATES), moves, emit / emit.sum(0))
 
 
-def round_of(texts: DataFrame, v, m: Chain, counts: Vocabulary) -> Chain:
-    """One round of Baum-Welch over a table with column text. v: the vocabulary as a broadcast."""
-    spark = texts.sparkSession
+def round_of(rows: DataFrame, m: Chain, counts: Vocabulary) -> tuple[Chain, float]:
+    """One round of Baum-Welch over a table with column symbols: the next chain, and the log10 likelihood a token of this one."""
+    spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(m)
     size = len(m.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, chain = v.value, sent.value
-        by_symbol, moves, start = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+        chain = sent.value
+        by_symbol, moves, start, logs = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), 0.0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for _, g in grouped([voc.read(t)[0] for t in texts]):
-                g.expected(chain, by_symbol, moves, start)
+            column = b.column(0)
+            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            for _, g in grouped([values[x:y] for x, y in itertools.pairwise(offsets.tolist())]):
+                logs += g.expected(chain, by_symbol, moves, start)
         seen = np.flatnonzero(by_symbol.sum(1) > 0)
         if len(seen):
-            rows = np.concatenate([by_symbol[seen], moves, start[None]])
-            ids = np.concatenate([seen, size + np.arange(STATES + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(STATES)]], names=["i", *[f"s{k}" for k in range(STATES)]])
+            last = np.zeros((1, STATES))
+            last[0, :2] = logs, by_symbol.sum()
+            parts = np.concatenate([by_symbol[seen], moves, start[None], last])
+            ids = np.concatenate([seen, size + np.arange(STATES + 2)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(np.ascontiguousarray(parts[:, k])) for k in range(STATES)]], names=["i", *[f"s{k}" for k in range(STATES)]])
 
     states = [f"s{k}" for k in range(STATES)]
-    sums = texts.select("text").mapInArrow(run, "i long, " + ", ".join(f"{s} double" for s in states)).groupBy("i").agg(*[F.sum(s).alias(s) for s in states]).toPandas()
-    total = np.zeros((size + STATES + 1, STATES))
+    sums = rows.select("symbols").mapInArrow(run, "i long, " + ", ".join(f"{s} double" for s in states)).groupBy("i").agg(*[F.sum(s).alias(s) for s in states]).toPandas()
+    total = np.zeros((size + STATES + 2, STATES))
     total[sums["i"].to_numpy()] = sums[states].to_numpy()
     sent.unpersist()
     if sums.empty:
-        return m
+        return m, 0.0
     share = (counts.symbol_counts + 0.5) / (counts.symbol_counts + 0.5).sum()
     emit = total[:size] + SMOOTH * share[:, None]
     moves = total[size : size + STATES] + 0.1
     start = total[size + STATES] + 0.1
-    return Chain(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
+    logs, tokens = total[-1, :2]
+    return Chain(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)), float(logs / tokens / math.log(10))
+
+
+def baum_welch(rows: DataFrame, counts: Vocabulary, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[Chain, list[float]]:
+    """A chain trained on all rows (column symbols), and the likelihood a token before each round."""
+    chain, found = first_chain(counts), []
+    for _ in range(rounds):
+        chain, likelihood = round_of(rows, chain, counts)
+        found.append(likelihood)
+        if len(found) > 1 and found[-1] - found[-2] < settled:
+            break
+    return chain, found
 
 
 @dataclass
 class Fitted:
+    """counts: as from word_counts(); rows: as from encode(); likelihoods: a token before each round."""
+
     counts: DataFrame
     vocabulary: Vocabulary
+    rows: DataFrame
     chain: Chain
+    likelihoods: list[float]
 
 
-def fit(texts: DataFrame, warm: int = WARM) -> Fitted:
-    """Counts and model of the training rows ``texts`` (column text)."""
-    spark = texts.sparkSession
+def fit(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> Fitted:
+    """Counts and model of the rows of ``docs`` (doc_id, text) that ``train`` admits, and all rows encoded."""
+    texts = docs.where(train).select("text")
     counts = stored(word_counts(texts), "counts")
     voc = vocabulary(counts, texts.count())
-    sent = spark.sparkContext.broadcast(voc)
-    chain = first_chain(voc)
-    for _ in range(warm + 1):
-        chain = round_of(texts, sent, chain, voc)
-    return Fitted(counts, voc, chain)
+    rows = stored(encode(docs, train, voc), "encoded")
+    chain, likelihoods = baum_welch(rows.where("train"), voc, rounds)
+    return Fitted(counts, voc, rows, chain, likelihoods)
 
 
-# ---- scores
+# ---- rows
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, model double, rare array<struct<word:string,n:int>>"
+#: A row of ``docs`` in symbols. base, single: logs of counts, of all frequent words and the end, and of what single words add to their classes.
+ENCODED = "row long, doc_id long, train boolean, n_known long, base double, single double, symbols array<int>, rare array<struct<word:string,n:int>>"
 
 
-def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((fitted.vocabulary, fitted.chain))
+def encode(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
+    """ENCODED for every row of ``docs`` (doc_id, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, chain = sent.value
+        v = sent.value
         row = TaskContext.get().partitionId() << 33
         log_count = np.append(np.log10(v.counts + 1.0), 0.0)  # rank -1 takes the last
         own = len(v.symbol_counts) - CLASSES - 1
         class_log = np.concatenate([np.zeros(own), v.class_log, [0.0]])
         single = np.append(np.arange(len(v.counts)) >= own, False) * log_count
-        end_log = math.log10(v.symbol_counts[-1] + 1.0)
-        names, kinds = [c.split(" ")[0] for c in SCORED.split(", ")], [pa.int64()] * 4 + [pa.float64()] * 2
-        kind = pa.struct([("word", pa.string()), ("n", pa.int32())])
+        end_log, ends = math.log10(v.symbol_counts[-1] + 1.0), int(v.symbol_counts[-1] > 0)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, kept, texts = (c.to_pylist() for c in b.columns)
             for k in range(0, len(texts), 2000):
                 read = [v.read(t) for t in texts[k : k + 2000]]
-                model = np.zeros(len(read))
-                for at, g in grouped([s for s, _, _ in read]):
-                    model[at] = g.log10(chain)
-                base, known, size, rare = [], [], [], []
-                for i, (symbols, rank, words) in enumerate(read):
-                    model[i] += single[rank].sum() - class_log[symbols].sum()
-                    base.append(log_count[rank].sum() + end_log)
-                    known.append(int((rank >= 0).sum()) + int(v.symbol_counts[-1] > 0))
-                    size.append(len(symbols))
-                    rare.append(Counter(words[j] for j in np.flatnonzero(rank < 0)))
+                known = [int((rank >= 0).sum()) + ends for _, rank, _ in read]
+                base = [log_count[rank].sum() + end_log for _, rank, _ in read]
+                more = [single[rank].sum() - class_log[symbols].sum() for symbols, rank, _ in read]
+                rare = [Counter(words[j] for j in np.flatnonzero(rank < 0)) for _, rank, words in read]
                 flat = [x for c in rare for x in c.items()]
-                offsets = np.concatenate([[0], np.cumsum([len(c) for c in rare])]).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array([w.decode() for w, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int32())], fields=list(kind))
-                rows = [row + i for i in range(len(read))]
+                pairs = pa.StructArray.from_arrays([pa.array([w.decode() for w, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int32())], names=["word", "n"])
+                rows = np.arange(row, row + len(read))
                 row += len(read)
-                columns = [pa.array(c, t) for c, t in zip((rows, ids[k : k + 2000], size, known, base, model), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rows, pa.int64()), pa.array(ids[k : k + 2000], pa.int64()), pa.array(kept[k : k + 2000], pa.bool_()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(more, pa.float64()),
+                        pa.ListArray.from_arrays(_offsets(symbols for symbols, _, _ in read), pa.array(np.concatenate([symbols for symbols, _, _ in read]))), pa.ListArray.from_arrays(_offsets(rare), pairs),
+                    ],
+                    names=["row", "doc_id", "train", "n_known", "base", "single", "symbols", "rare"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), train.alias("train"), "text").mapInArrow(run, ENCODED)
+
+
+def _offsets(parts: Iterable) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
+
+
+# ---- scores
+
+
+def score(fitted: Fitted) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row that was encoded."""
+    spark = fitted.rows.sparkSession
+    sent = spark.sparkContext.broadcast(fitted.chain)
+
+    @F.arrow_udf("double")
+    def forward(symbols: pa.Array) -> pa.Array:
+        values, offsets = symbols.values.to_numpy(), symbols.offsets.to_numpy().tolist()
+        out = np.zeros(len(symbols))
+        for at, g in grouped([values[x:y] for x, y in itertools.pairwise(offsets)]):
+            out[at] = g.log10(sent.value)
+        return pa.array(out)
 
-    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED), "scored")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    rare = fitted.rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     rare = rare.join(fitted.counts.select("word", "c"), "word")
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_log"), F.sum("n").alias("rare_known"))
     v = fitted.vocabulary
-    more = F.coalesce("rare_log", F.lit(0.0))
-    per_token = math.log10(v.n + v.v + 1)
-    return rows.drop("rare").join(rare, "row", "left").select(
+    more, per_token = F.coalesce("rare_log", F.lit(0.0)), math.log10(v.n + v.v + 1)
+    rows = fitted.rows.select("row", "doc_id", "n_known", "base", "single", F.size("symbols").cast("long").alias("n_tokens"), forward("symbols").alias("model"))
+    return rows.join(rare, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * per_token).alias("base_score"), (F.col("model") + more).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * per_token).alias("base_score"), (F.col("model") + F.col("single") + more).alias("score"),
     )
 
 
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    s = score(docs, fit(docs.where(fold(7) != 2)))
+    s = score(fit(docs, fold(7) != 2))
     return s.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
