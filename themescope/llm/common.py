@@ -70,20 +70,66 @@ def stored(df: DataFrame, label: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: Column, per_class: int, max_chars: int, seed: int = 17) -> list:
-    """At most ``per_class`` labelled rows of each class as (doc_id, text, target), in a fixed order.
+#: Keys that are salted at most; rows of a key that no salt parts.
+HOT, FLOOR = 10_000, 256
 
-    Rows are chosen by a hash of doc_id among those that ``keep`` admits; texts over ``max_chars`` code points
-    only miss the training. Null ids, texts and labels are left out.
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key) so that no key, however many rows have it, ends up in one task.
+
+    ``count`` is the number of rows with a key, ``total`` at least the number of all rows. A key with more than
+    total / HOT rows (and FLOOR) is hot: its row in ``keyed`` is repeated, and each copy meets about so many rows,
+    chosen by their hash. There are at most HOT such keys, whatever the table; this list is broadcast, unless ``rows``
+    has the column ``count`` too.
+    """
+    least = max(FLOOR, total // HOT)
+    pieces = F.when(F.col(count) > least, F.ceil(F.col(count) / least).cast("int")).otherwise(1)
+    if count in rows.columns:
+        keyed, marked = keyed.withColumn("pieces_", pieces), rows.withColumn("pieces_", pieces)
+    else:
+        keyed = keyed.withColumn("pieces_", pieces)
+        marked = rows.join(F.broadcast(keyed.where("pieces_ > 1").select(key, "pieces_")), key, "left")
+    own = [c for c in rows.columns if c != key] or [key]
+    salt = F.when(F.col("pieces_") > 1, F.pmod(F.xxhash64(*own), F.col("pieces_"))).otherwise(0).cast("int")
+    marked = marked.withColumn("salt_", salt).drop("pieces_", *([count] if count in rows.columns else []))
+    keyed = keyed.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.col("pieces_") - 1))).drop("pieces_")
+    return marked.join(keyed, [key, "salt_"]).drop("salt_")
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, target: str, keep: Column, per_class: int, max_chars: int, max_lines: int | None = None, seed: int = 17) -> DataFrame:
+    """At most ``per_class`` labelled documents of each class as (doc_id, text, y), written to the shared folder.
+
+    Ids are chosen by a hash among those that ``keep`` admits. Texts over ``max_chars`` code points or ``max_lines``
+    lines only miss the training. Of rows that share a doc_id the least text counts, of labels the greater. Null ids,
+    texts and labels are left out.
     """
     ids = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(keep)
-    order = (F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = None
     for y in (0, 1):
-        part = ids.where(F.col("y") == y).orderBy(*order).limit(per_class)
+        part = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").collect()
-    return sorted(((r.doc_id, r.text, r.y) for r in rows))
+    fits = F.length("text") <= max_chars
+    if max_lines:
+        fits &= F.regexp_count("text", F.lit("\n")) < max_lines
+    rows = docs.select("doc_id", "text").where(fits).join(F.broadcast(picked), "doc_id")
+    return stored(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), "sample")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: Column, per_class: int, max_chars: int, max_total: int, seed: int = 17) -> list:
+    """The rows of sample_rows() on the driver, in the order of doc_id: of each class as many as have ``max_total`` / 2 code points together."""
+    rows = sample_rows(docs, labels, target, keep, per_class, max_chars, seed=seed)
+    sized = sorted(rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "y", F.length("text").alias("n")).collect())
+    held, wanted = [0, 0], []
+    for r in sized:
+        held[r.y] += r.n
+        if held[r.y] <= max_total // 2:
+            wanted.append((r.doc_id,))
+    if not wanted:
+        return []
+    if len(wanted) < len(sized):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(wanted, rows.select("doc_id").schema)), "doc_id")
+    return sorted((r.doc_id, r.text, r.y) for r in rows.select("doc_id", "text", "y").collect())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
