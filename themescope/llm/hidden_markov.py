@@ -25,11 +25,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, spread, stored, table
 
-STATES, SYMBOLS, CLASSES, FREQUENT = 8, 16384, 256, 131_072
+STATES, SYMBOLS, CLASSES, FREQUENT = 8, 16384, 256, 131_072  # SYMBOLS + CLASSES under 65,536: two bytes a symbol
 #: Rounds of Baum-Welch at most; rise of the decimal log likelihood a token under which they end; smoothing tokens a state.
 ROUNDS, SETTLED, SMOOTH, SEED = 8, 0.02, 20.0, 3
 #: Tokens whose recursions run together; distinct words counted before they are passed on.
@@ -236,9 +235,7 @@ def round_of(rows: DataFrame, m: Chain, counts: Vocabulary) -> tuple[Chain, floa
         chain = sent.value
         by_symbol, moves, start, logs = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), 0.0
         for b in batches:
-            column = b.column(0)
-            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-            for _, g in grouped([values[x:y] for x, y in itertools.pairwise(offsets.tolist())]):
+            for _, g in grouped(symbols_of(b.column(0))):
                 logs += g.expected(chain, by_symbol, moves, start)
         seen = np.flatnonzero(by_symbol.sum(1) > 0)
         if len(seen):
@@ -297,8 +294,8 @@ def fit(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> Fitted:
 
 # ---- rows
 
-#: A row of ``docs`` in symbols. base, single: logs of counts, of all frequent words and the end, and of what single words add to their classes.
-ENCODED = "row long, doc_id long, train boolean, n_known long, base double, single double, symbols array<int>, rare array<struct<word:string,n:int>>"
+#: A row of ``docs``; symbols: two bytes each. base, single: logs of counts, of all frequent words and the end, and of what single words add to their classes.
+ENCODED = "row long, doc_id long, train boolean, n_known long, base double, single double, symbols binary, rare array<struct<word:string,n:int>>"
 
 
 def encode(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
@@ -315,8 +312,8 @@ def encode(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
         end_log, ends = math.log10(v.symbol_counts[-1] + 1.0), int(v.symbol_counts[-1] > 0)
         for b in batches:
             ids, kept, texts = (c.to_pylist() for c in b.columns)
-            for k in range(0, len(texts), 2000):
-                read = [v.read(t) for t in texts[k : k + 2000]]
+            for k in range(0, len(texts), 500):
+                read = [v.read(t) for t in texts[k : k + 500]]
                 known = [int((rank >= 0).sum()) + ends for _, rank, _ in read]
                 base = [log_count[rank].sum() + end_log for _, rank, _ in read]
                 more = [single[rank].sum() - class_log[symbols].sum() for symbols, rank, _ in read]
@@ -327,8 +324,8 @@ def encode(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
                 row += len(read)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows, pa.int64()), pa.array(ids[k : k + 2000], pa.int64()), pa.array(kept[k : k + 2000], pa.bool_()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(more, pa.float64()),
-                        pa.ListArray.from_arrays(_offsets(symbols for symbols, _, _ in read), pa.array(np.concatenate([symbols for symbols, _, _ in read]))), pa.ListArray.from_arrays(_offsets(rare), pairs),
+                        pa.array(rows, pa.int64()), pa.array(ids[k : k + 500], pa.int64()), pa.array(kept[k : k + 500], pa.bool_()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(more, pa.float64()),
+                        pa.array([symbols.astype("<u2").tobytes() for symbols, _, _ in read], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32)), pairs),
                     ],
                     names=["row", "doc_id", "train", "n_known", "base", "single", "symbols", "rare"],
                 )
@@ -336,8 +333,8 @@ def encode(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), train.alias("train"), "text").mapInArrow(run, ENCODED)
 
 
-def _offsets(parts: Iterable) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
+def symbols_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
 
 
 # ---- scores
@@ -350,9 +347,8 @@ def score(fitted: Fitted) -> DataFrame:
 
     @F.arrow_udf("double")
     def forward(symbols: pa.Array) -> pa.Array:
-        values, offsets = symbols.values.to_numpy(), symbols.offsets.to_numpy().tolist()
         out = np.zeros(len(symbols))
-        for at, g in grouped([values[x:y] for x, y in itertools.pairwise(offsets)]):
+        for at, g in grouped(symbols_of(symbols)):
             out[at] = g.log10(sent.value)
         return pa.array(out)
 
@@ -361,7 +357,7 @@ def score(fitted: Fitted) -> DataFrame:
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_log"), F.sum("n").alias("rare_known"))
     v = fitted.vocabulary
     more, per_token = F.coalesce("rare_log", F.lit(0.0)), math.log10(v.n + v.v + 1)
-    rows = fitted.rows.select("row", "doc_id", "n_known", "base", "single", F.size("symbols").cast("long").alias("n_tokens"), forward("symbols").alias("model"))
+    rows = fitted.rows.select("row", "doc_id", "n_known", "base", "single", (F.octet_length("symbols") / 2).cast("long").alias("n_tokens"), forward("symbols").alias("model"))
     return rows.join(rare, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * per_token).alias("base_score"), (F.col("model") + F.col("single") + more).alias("score"),
