@@ -9,9 +9,10 @@ unlike it can be linked to them. Runs are repeated until the chance that a pair
 chance better or worse, stays together in some run down to the deepest level that any bucket reached is RECALL. No step makes pairs of rows: each bucket yields at most one candidate edge
 a member, and a bucket's members never meet in one task unless they are few.
 
-Candidate edges form components, by star contraction. Inside each, every two nodes are compared exactly, on their
-whole shingle sets: components of up to BLOCK nodes in one task, larger ones in pairs of blocks, whose tasks return
-numbers of links and a spanning forest of them. So a pair that no path found is still found through a third text.
+Candidate edges form components, by star contraction. Inside each, every two nodes whose sizes allow a link are
+compared exactly, on their whole shingle sets: components of up to BLOCK nodes in one task, larger ones in pairs of
+blocks, whose tasks return numbers of links and a spanning forest of them. So a pair that no path found is still found
+through a third text. Buckets, hubs, classes and copies that many rows share are joined in salted pieces.
 
 Results: for each document the smallest doc_id of its class (texts connected by links), the smallest doc_id with an
 equal text, the number of rows with an equal text, and the number of different texts linked to it.
@@ -30,10 +31,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, shingles, spread, stored, table, words
+from .common import WordHashes, join_counted, mix64, shingles, spread, stored, table, words
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
 #: Members of a bucket compared by brute force, levels split before buckets are first counted, levels from which candidates are chosen loosely and for which the first runs reach the target recall.
@@ -195,15 +196,15 @@ def _compare_small(rows: DataFrame) -> DataFrame:
     return grouped.select("m").distinct().mapInArrow(run, "u binary, v binary")  # runs find the same groups again
 
 
-def _compare_pivot(rows: DataFrame) -> DataFrame:
+def _compare_pivot(rows: DataFrame, total: int) -> DataFrame:
     """Rows of large buckets with the pivot of each, one by chance, and the share of coordinates they have in common."""
-    pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "copy").alias("chance"), "copy", "sig")).alias("p"))
+    pivots = rows.groupBy("key", "size").agg(F.min(F.struct(F.xxhash64("key", "copy").alias("chance"), "copy", "sig")).alias("p"))
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array((_sigs(a) == _sigs(b)).mean(1))
 
-    joined = rows.join(pivots.select("key", F.col("p.copy").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "key")
+    joined = join_counted(rows, pivots.select("key", "size", F.col("p.copy").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "key", "size", total)
     return joined.select("key", "copy", "sig", "pivot", alike("sig", "pivot_sig").alias("share"))
 
 
@@ -215,18 +216,21 @@ def _edges_of(nodes: DataFrame, runs: range) -> tuple[list[DataFrame], int]:
     signed = False
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = level.join(sizes, "key")
+        rows = join_counted(level, sizes, "key", "size", level.count())
         rows = rows if signed else rows.join(sigs, "copy")
         rows, signed = stored(rows, "buckets"), True
         edges.append(stored(_compare_small(rows.where(F.col("size") <= SMALL)), "small"))
         large = rows.where(F.col("size") > SMALL)
-        if large.isEmpty():
+        total = large.count()
+        if not total:
             return edges, depth
-        seen = stored(_compare_pivot(large), "pivots")
+        seen = stored(_compare_pivot(large, total), "pivots")
         gate = GATE if depth < DEPTH else LOOSE
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
-        mixed = seen.where(F.col("share") < gate).select("key").distinct()
-        level, depth = _next_paths(seen.where(F.col("share") < core(gate)).join(mixed, "key", "left_semi")), depth + 1
+        # buckets that end here: all are like the pivot. A bucket goes on only with the rows that are not like it enough.
+        mixed = seen.groupBy("key").agg(F.min("share").alias("least"), F.count_if(F.col("share") < core(gate)).alias("rest")).where(F.col("least") < gate)
+        on = join_counted(seen.where(F.col("share") < core(gate)), mixed.select("key", "rest"), "key", "rest", total)
+        level, depth = stored(_next_paths(on), "paths"), depth + 1
 
 
 def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
@@ -243,14 +247,14 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, least): each node of the edges (u, v) and the least of its component, by alternating large and small stars."""
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    total, before = 2 * e.count(), None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("m", "u"))
+        e = join_counted(both, low, "u", "degree", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = join_counted(e, low, "u", "degree", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -295,11 +299,35 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def _blocks(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Members (node, least) of components with their block b, and others: the blocks with which b is compared.
+
+    In a component of more than BLOCK nodes, sets are parted into classes of size, each a little wider than the
+    threshold allows two linked sets to differ, and classes by hash into blocks of about BLOCK; a block is compared
+    with those of its own class and of the two beside it.
+    """
+    total = found.count()
+    sizes = found.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
+    members = join_counted(found, sizes, "least", "size", total).join(nodes.select(F.col("copy").alias("node"), "at", "n"), "node")
+    kind = F.when(F.col("size") > BLOCK, F.floor(F.log(F.col("n")) / -math.log(threshold - 0.01))).otherwise(0).cast("long")
+    members = stored(members.select("node", "least", "at", F.struct("least", kind.alias("kind")).alias("class")), "sized")
+    classes = members.groupBy("class").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    beside = lambda k, name: classes.select(F.struct(F.col("class.least").alias("least"), (F.col("class.kind") + k).alias("kind")).alias("class"), F.col("blocks").alias(name))
+    classes = classes.join(beside(1, "under"), "class", "left").join(beside(-1, "over"), "class", "left")
+    members = join_counted(members, classes, "class", "rows", total)
+
+    def numbers(k: int, blocks: str) -> Column:
+        """Blocks of a class: its number in the upper half, theirs in the lower."""
+        first = F.shiftleft(F.col("class.kind") + k, 32)
+        return F.when(F.col(blocks) > 0, F.sequence(first, first + F.col(blocks) - 1)).otherwise(F.array().cast("array<long>"))
+
+    b = F.shiftleft(F.col("class.kind"), 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    return stored(members.select("node", "least", "at", b.alias("b"), F.concat(numbers(0, "blocks"), numbers(-1, "under"), numbers(1, "over")).alias("others")), "members")
+
+
 def exact_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(copy, links) and edges (u, v) of a spanning forest of the links, from the components ``found`` (node, least)."""
-    sizes = found.groupBy("least").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = found.join(sizes, "least").select("node", "least", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))
-    members = stored(members.join(nodes.select(F.col("copy").alias("node"), "at"), "node"), "members")
+    members = _blocks(stored(found, "found"), nodes, threshold)
 
     sent = docs.sparkSession.sparkContext.broadcast(_bits(members.select(F.xxhash64("node", "at").alias("h"))))
 
@@ -315,8 +343,7 @@ def exact_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, threshold:
     texts = with_copy(docs).withColumn("h", F.xxhash64("copy", "doc_id"))
     texts = texts.select("doc_id", "copy", "h", "text").mapInArrow(sets, "doc_id long, copy binary, shingles binary")
     rows = texts.join(members, (texts["copy"] == members.node) & texts.doc_id.eqNullSafe(members["at"])).dropDuplicates(["copy"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("node", "least", "b", "shingles", other.alias("o")).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    rows = rows.select("node", "least", "b", "shingles", F.explode("others").alias("o")).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
     dealt = rows.select("least", "i", "j", "b", "node", "shingles").repartition("least", "i", "j").sortWithinPartitions("least", "i", "j", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +390,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = components(edges)
     named = nodes.select("copy", "doc", "copies").join(least.withColumnRenamed("node", "copy"), "copy", "left").join(counts, "copy", "left")
     named = named.select("copy", "doc", "copies", F.coalesce("least", "copy").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = named.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "copy")).alias("c"))
-    named = stored(named.join(classes, "class").select("copy", F.col("c.doc").alias("class_id"), F.col("doc").alias("copy_id"), F.col("copies").alias("n_copies"), F.col("links").cast("long").alias("n_links"), F.col("c.copy").alias("class_copy")), "named")
-    return rows.join(named, "copy")
+    named = stored(named, "classes")
+    classes = named.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "copy")).alias("c"), F.count(F.lit(1)).alias("texts"))
+    named = join_counted(named, classes, "class", "texts", named.count()).select("copy", F.col("c.doc").alias("class_id"), F.col("doc").alias("copy_id"), F.col("copies").alias("n_copies"), F.col("links").cast("long").alias("n_links"), F.col("c.copy").alias("class_copy"))
+    return join_counted(rows, stored(named, "named"), "copy", "n_copies", rows.count())
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
