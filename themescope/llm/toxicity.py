@@ -6,13 +6,15 @@ a letter or digit parts words. Whole words and phrases of the lexicon are found
 exception phrase don't count. The summed weights are divided by a slowly growing function of the number of words,
 and a logistic curve makes that a score.
 
-The lexicon and the curve are learned from a bounded sample of labelled rows: the weight of a word is its
+The lexicon and the curve are learned from a bounded sample of labelled rows, which stays on the executors: the driver
+gets a sketch and a number for each of its documents, and the words of the lexicon. The weight of a word is its
 smoothed log odds among toxic and other documents, and it enters if the difference is far from chance,
-the weight large enough and the word in three toxic documents or more. Near copies count once in
-training. Without labels, a small general list is used.
+the weight large enough and the word in LEAST_DOCS toxic documents or more. Near copies (SKETCH MinHash values, ALIKE
+of them equal) count once in training. Without labels of both classes, a small general list is used.
 
 Null and empty texts: no hits, the lowest score. Very long texts are scanned whole in linear time. Repeated rows
-are scored each. Empty table: no rows. Other columns are ignored.
+are scored each; in training the least of the texts of a doc_id counts. Ties: of near copies the one with the smallest
+doc_id counts. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold as fold_of
-from .common import labelled_sample, mix64, shingles, spread, table, WordHashes
+from .common import WordHashes, mix64, sample_rows, shingles, spread, table
 
 #: Training takes at most so many rows of each class, each of at most so many code points.
 PER_CLASS, MAX_CHARS = 5000, 40_000
-#: A word enters the lexicon at this many standard errors and this weight; the lexicon holds at most MAX_WORDS.
-LEAST_Z, LEAST_WEIGHT, MAX_WORDS = 5.0, 2.5, 20_000
+#: A word enters the lexicon at this many standard errors, this weight and this many toxic documents.
+LEAST_Z, LEAST_WEIGHT, LEAST_DOCS = 5.0, 2.5, 3
+#: MinHash values of a training document, values in a band, share of equal values from which two are near copies.
+SKETCH, BAND, ALIKE = 64, 4, 0.8
 # Look-alikes. Each letter or sign on the left counts as the Latin letter on the right.
 LOOKALIKES = {
     "а": "a", "ɑ": "a", "α": "a", "в": "b", "β": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ε": "e", "є": "e", "ɡ": "g", "һ": "h", "н": "h",
@@ -115,36 +119,59 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * x + self.base))))
 
 
-def learn(rows: list[tuple[int, str, int]]) -> Lexicon:
-    """A lexicon from (doc_id, text, toxic); near copies of a document that came before are left out."""
-    hashes, seen, kept = WordHashes(), set(), []
-    has: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-    for _, text, y in rows:
-        folded = fold_text(text)
-        tokens = folded.split()
-        sig = shingles(hashes.of([w.encode() for w in tokens]))
-        if len(sig):
-            marks = [(k, int(mix64(sig + np.uint64(k)).min())) for k in range(4)]
-            if any(m in seen for m in marks):
-                continue
-            seen.update(marks)
-        has[y].update(set(tokens))
-        kept.append((text, y))
-    n = Counter(y for _, y in kept)
-    if not n[0] or not n[1]:
-        return Lexicon({fold_text(w).strip(): 4.0 for w in GENERAL})
-    weights = {}
-    for word, a in has[1].items():
-        b = has[0][word]
-        z = (a / n[1] - b / n[0]) / math.sqrt((a + b) / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
-        w = math.log((a + 0.5) / (n[1] + 1) * (n[0] + 1) / (b + 0.5))
-        if z >= LEAST_Z and w >= LEAST_WEIGHT and a >= 3:
-            weights[word] = w
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS])
-    lex = Lexicon(weights)
-    x = np.array([lex.strength(t)[0] for t, _ in kept])
-    y = np.array([y for _, y in kept], float)
-    each = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+_factors = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch(folded: str, hashes: WordHashes) -> bytes:
+    """MinHash values of a folded text's shingles; none for a text without words."""
+    s = shingles(hashes.of([w.encode() for w in folded.split()]))
+    if not len(s):
+        return b""
+    low = np.full(SKETCH, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(s), 4096):
+            low = np.minimum(low, (s[k : k + 4096, None] * _factors).min(0))
+    return (low >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def first_of_copies(rows: list[tuple[int, bytes]]) -> list[int]:
+    """Ids of (doc_id, sketch) without those that are a near copy of one before them."""
+    kept, bands, sketches = [], {}, []
+    for doc_id, raw in sorted(rows):
+        mine = np.frombuffer(raw, "<u4")
+        keys = [(k, raw[4 * k : 4 * (k + BAND)]) for k in range(0, len(mine), BAND)]
+        near = {i for key in keys for i in bands.get(key, ())}
+        if any((sketches[i] == mine).mean() >= ALIKE for i in near):
+            continue
+        for key in keys:
+            bands.setdefault(key, []).append(len(sketches))
+        sketches.append(mine)
+        kept.append(doc_id)
+    return kept
+
+
+def word_weights(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:
+    """Weights of the words that enter, from (text, y); n: documents by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(w, y) for t, y in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in set(fold_text(t).split())]
+            if found:
+                words, toxic = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["word", "toxic"])
+
+    counts = rows.select("text", "y").mapInArrow(run, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    z = (a / n[1] - b / n[0]) / F.sqrt((a + b) / (n[0] + n[1]) * (1 / n[0] + 1 / n[1]))
+    w = F.log((a + 0.5) / (n[1] + 1) * (n[0] + 1) / (b + 0.5))
+    # a word of all documents has the variance 0 and no weight
+    found = counts.where(a >= LEAST_DOCS).withColumn("w", w).where((w >= LEAST_WEIGHT) & (z >= LEAST_Z)).select("word", "w").collect()
+    return {r.word: r.w for r in sorted(found)}
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and base of the logistic curve; both classes weigh the same."""
+    each = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     a, b = 1.0, -1.0
     for _ in range(50):  # Newton steps, slightly drawn to 0 so that separable classes end too
         p = 1 / (1 + np.exp(-(a * x + b)))
@@ -152,12 +179,34 @@ def learn(rows: list[tuple[int, str, int]]) -> Lexicon:
         h = each * p * (1 - p)
         step = np.linalg.solve(np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-4]]), g)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
-    lex.slope, lex.base = max(a, 1e-3), min(b, -1e-3)
+    return max(a, 1e-3), min(b, -1e-3)
+
+
+def learn(rows: DataFrame) -> Lexicon:
+    """A lexicon from a bounded table (doc_id, text, y)."""
+    spark = rows.sparkSession
+
+    @F.arrow_udf("binary")
+    def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield pa.array([sketch(fold_text(t), hashes) for t in texts.to_pylist()], pa.binary())
+
+    found = rows.select("doc_id", "y", sketches("text").alias("s")).collect()
+    firsts = set(first_of_copies([(r.doc_id, bytes(r.s)) for r in found]))
+    n = Counter(r.y for r in found if r.doc_id in firsts)
+    if not n[0] or not n[1]:
+        return Lexicon({fold_text(w).strip(): 4.0 for w in GENERAL})
+    ids = spark.createDataFrame([(d,) for d in sorted(firsts)], rows.select("doc_id").schema)
+    rows = rows.join(F.broadcast(ids), "doc_id")
+    lex = Lexicon(word_weights(rows, n))
+    seen = rows.select("doc_id", "y", toxicity(F.col("text"), lex, spark).strength.alias("x")).orderBy("doc_id").collect()
+    lex.slope, lex.base = curve(np.array([r.x for r in seen]), np.array([r.y for r in seen], float))
     return lex
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    return learn(labelled_sample(docs, labels, "toxic", fold_of(5) != 0, PER_CLASS, MAX_CHARS))
+    return learn(sample_rows(docs, labels, "toxic", fold_of(5) != 0, PER_CLASS, MAX_CHARS))
 
 
 def toxicity(text: Column, lexicon: Lexicon, spark: SparkSession) -> Column:
