@@ -4,12 +4,13 @@ Every line that has a word becomes a row of features; a two-state conditional ra
 and learned transitions is decoded by Viterbi. A document stays if it passes the base rules and at least
 ``least_share`` of its words stand in content lines.
 
-The field is trained by gradient ascent on the exact conditional likelihood (forward and backward in numpy) over
-a bounded sample of labelled documents, whose label all of their lines take. Without labels, fixed weights that
-say the same in outline are used.
+The field is trained by gradient ascent on the exact conditional likelihood (forward and backward in numpy, chains
+side by side) over a bounded sample of labelled documents, whose label all of their lines take; the driver gets their
+features. Without labels of both classes, fixed weights that say the same in outline are used.
 
 Null and empty texts: no words, base_failed, not kept. Lines without a word are no part of the chain. Texts of
-any length are decoded whole. Repeated rows are judged each. Empty table: no rows. Other columns are ignored.
+any length are decoded whole. Repeated rows are judged each; in training the least of the texts of a doc_id counts.
+Ties: of two paths of the same weight the one with boilerplate last. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, spread, table
+from .common import sample_rows, spread, table
 
-#: Training takes at most so many documents of each class, each of at most so many code points.
-PER_CLASS, MAX_CHARS = 1000, 20_000
+#: Training takes at most so many documents of each class, each of at most so many code points and lines.
+PER_CLASS, MAX_CHARS, MAX_LINES = 1000, 20_000, 400
 LEAST_SHARE, MIN_WORDS, REPEATED_PERCENT = 0.5, 10, 20
 # The characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -129,44 +130,61 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
+def marginals(up: np.ndarray, moves: np.ndarray, first: list[int], live: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of both states of each line, and of each move into it (0 for first lines); lines by place, then by chain.
+
+    up: log weight of both states; first[t], live[t]: where place t begins and how many chains reach it.
+    """
+    alpha, beta = up.copy(), np.zeros_like(up)
+    for t in range(1, len(live)):
+        a, b, k = first[t - 1], first[t], live[t]
+        alpha[b : b + k] += _log_sum(alpha[a : a + k, :, None] + moves, 1)
+    for t in range(len(live) - 2, -1, -1):
+        a, b, k = first[t], first[t + 1], live[t + 1]
+        beta[a : a + k] = _log_sum(moves + (up[b : b + k] + beta[b : b + k])[:, None, :], 2)
+    both = alpha + beta
+    p = np.exp(both - _log_sum(both, 1)[:, None])
+    pair = np.zeros((len(up), 2, 2))
+    if len(live) > 1:
+        before = np.concatenate([np.arange(first[t - 1], first[t - 1] + live[t]) for t in range(1, len(live))])
+        way = alpha[before][:, :, None] + moves + (up + beta)[live[0] :, None, :]
+        pair[live[0] :] = np.exp(way - _log_sum(way.reshape(-1, 4), 1)[:, None, None])
+    return p, pair
+
+
 def train(chains: list[np.ndarray], states: list[int], rounds: int = 120, rate: float = 0.5, shrink: float = 1e-3) -> Field:
     """Maximum conditional likelihood for chains whose lines all have one state; content weighs 0.7, boilerplate 0.3."""
-    chains, states = zip(*[(c, s) for c, s in zip(chains, states, strict=True) if len(c)], strict=True)
-    longest, y = max(map(len, chains)), np.array(states)
-    x = np.zeros((len(chains), longest, len(FEATURES)), np.float32)
-    on = np.zeros((len(chains), longest), bool)
-    for i, c in enumerate(chains):
-        x[i, : len(c)], on[i, : len(c)] = c, True
-    each = (np.where(y == 1, 0.7 / max(1, (y == 1).sum()), 0.3 / max(1, (y == 0).sum())) / on.sum(1))[:, None]
+    order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: -len(chains[i]))
+    sizes, y = np.array([len(chains[i]) for i in order]), np.array([states[i] for i in order])
+    live = [int((sizes > t).sum()) for t in range(int(sizes[0]))]
+    first = np.concatenate([[0], np.cumsum(live)[:-1]]).tolist()
+    x = np.concatenate([np.array([chains[i][t] for i in order[:k]], np.float64) for t, k in enumerate(live)])
+    doc = np.concatenate([np.arange(k) for k in live])
+    each = (np.where(y == 1, 0.7 / max(1, (y == 1).sum()), 0.3 / max(1, (y == 0).sum())) / sizes)[doc]
+    state = y[doc]
+    rest = slice(live[0], None)
+    seen = np.diag([each[rest][state[rest] == s].sum() for s in (0, 1)])
     w, m = np.zeros(len(FEATURES)), np.zeros((2, 2))
     speed_w, speed_m = np.zeros_like(w), np.zeros_like(m)
     for _ in range(rounds):
-        up = np.stack([np.zeros(on.shape), x @ w], 2)
-        alpha, beta = np.zeros(up.shape), np.zeros(up.shape)
-        alpha[:, 0] = up[:, 0]
-        for t in range(1, longest):
-            step = _log_sum(alpha[:, t - 1, :, None] + m, 1) + up[:, t]
-            alpha[:, t] = np.where(on[:, t, None], step, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            step = _log_sum(m + (up[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(on[:, t + 1, None], step, 0.0)
-        z = _log_sum(alpha[:, -1], 1)[:, None]
-        p = np.exp(alpha + beta - z[..., None]) * on[..., None]
-        gw = ((y[:, None] * on - p[..., 1]) * each)[..., None] * x
-        both = on[:, 1:] if longest > 1 else np.zeros((len(y), 0), bool)
-        pair = np.exp(alpha[:, :-1, :, None] + m + (up + beta)[:, 1:, None, :] - z[..., None, None]) * (both * each)[..., None, None]
-        seen = np.array([[(both * (y == 0)[:, None] * each).sum(), 0], [0, (both * (y == 1)[:, None] * each).sum()]])
-        speed_w = 0.9 * speed_w + gw.sum((0, 1)) - shrink * w
-        speed_m = 0.9 * speed_m + seen - pair.sum((0, 1)) - shrink * m
+        p, pair = marginals(np.stack([np.zeros(len(x)), x @ w], 1), m, first, live)
+        speed_w = 0.9 * speed_w + ((state - p[:, 1]) * each) @ x - shrink * w
+        speed_m = 0.9 * speed_m + seen - (pair * each[:, None, None]).sum(0) - shrink * m
         w, m = w + rate * speed_w, np.clip(m + rate * speed_m, -2, 2)
     return Field(w, m)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    rows = labelled_sample(docs, labels, "quality", F.lit(True), PER_CLASS, MAX_CHARS)
-    if len({y for *_, y in rows}) < 2:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [features(lines_of(t)[0]).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "x"])
+
+    sample = sample_rows(docs, labels, "quality", F.lit(True), PER_CLASS, MAX_CHARS, MAX_LINES)
+    rows = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").where("octet_length(x) > 0").orderBy("doc_id").collect()
+    if len({r.y for r in rows}) < 2:
         return Field(np.array(OUTLINE), np.array([[0.5, -0.5], [-0.5, 0.5]]))
-    return train([features(lines_of(t)[0][:400]) for _, t, _ in rows], [y for *_, y in rows])
+    return train([np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)) for r in rows], [r.y for r in rows])
 
 
 #: What judge() returns of each text.
