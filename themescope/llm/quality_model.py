@@ -10,7 +10,8 @@ Everything is learned from a bounded sample of labelled rows outside the held-ou
 Without labels of both classes every text scores 0.5.
 
 Null and empty texts have the zero vector and are scored as such. Texts of any length are read whole. Repeated rows
-are scored each. Empty table: no rows. Other columns are ignored.
+are scored each; in training the least of the texts of a doc_id counts. Ties: words of equal count enter the vocabulary
+in the order of their characters. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, mix64, spread, table
 
-#: Training takes at most so many rows of each class, each of at most so many code points.
-PER_CLASS, MAX_CHARS = 2500, 20_000
+#: Training takes at most so many rows of each class, each of at most so many code points, all together of MAX_TOTAL.
+PER_CLASS, MAX_CHARS, MAX_TOTAL = 2500, 20_000, 48_000_000
 #: Entries of a word vector, those of its random vector that aren't 0, neighbours at each side, words with a learned vector, hashed rows for the rest.
 DIM, ENTRIES, SIDE, VOCABULARY, ROWS = 48, 4, 2, 8192, 4096
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 24, 60, 3e-3, 1e-3, 5
@@ -185,7 +186,7 @@ def train(rows: list[tuple[int, str, int]], shares: tuple[float, float] = (0.5,
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     keep = fold(4) != 2
-    rows = labelled_sample(docs, labels, "quality", keep, PER_CLASS, MAX_CHARS)
+    rows = labelled_sample(docs, labels, "quality", keep, PER_CLASS, MAX_CHARS, MAX_TOTAL)
     count = {r.quality: r["count"] for r in labels.where(keep & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
     total = sum(count.values()) or 1
     return train(rows, (count.get(0, 0) / total, count.get(1, 0) / total))
