@@ -8,14 +8,14 @@ likeness (m - c) / (1 - c) with the share m of equal values and c = 2^-BITS corr
 
 Null and empty texts, and those without a word, have the empty fingerprint: like each other (1), unlike the rest
 (0). Texts of fewer than five words are one shingle. Very long texts are taken whole. Equal texts have equal
-fingerprints, repeated rows each their own row. Empty table: no rows. Other columns are ignored.
+fingerprints, repeated rows each their own row. Ties: rows of one doc_id stand in the order of a hash of their text,
+the greatest first; a null doc_id is the last. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, shingles, table, words
 
 BINS, BITS = 512, 4
+#: Rows that tell where to cut ranges of documents, bytes of text in a range at most.
+SAMPLE, PART_BYTES = 20_000, 64 << 20
 _EMPTY = np.uint64(2**64 - 1)
 _LOW = np.uint64((1 << 55) - 1)
 _OWN = mix64(np.arange(1, BINS + 1, dtype=np.uint64))
@@ -105,30 +107,53 @@ def fingerprint(text: Column) -> Column:
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, ghost, doc_id, text) in descending doc_id within each part, the part's successor last as a ghost.
+def ranges(rows: DataFrame, part_bytes: int, least: int) -> list[tuple[int | None, int]]:
+    """Cuts (doc_id, tie), ascending, between ranges of about as many bytes each: at least ``least`` ranges, more if they would be over part_bytes.
 
-    Parts are ranges of doc_id between quantiles; the first row of each part, known after one small aggregation, is
-    copied to the part before it (that of the first part to the last), so that no row needs more than its part.
+    They come from SAMPLE rows chosen by hash; only the evenness of the ranges depends on them.
     """
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}, reverse=True) if parts > 1 else []
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    sample = rows.select("doc_id", "tie", size.alias("size")).orderBy(F.xxhash64("doc_id", "tie")).limit(SAMPLE).collect()
+    held = sorted(((r.doc_id is not None, r.doc_id or 0, r.tie), r) for r in sample)
+    wanted, so_far, cuts = max(least, -(-total // part_bytes)), 0, []
+    step = sum(r.size for r in sample) / wanted
+    for _, r in held:
+        so_far += r.size
+        if so_far >= step * (len(cuts) + 1):
+            cuts.append((r.doc_id, r.tie))
+    return list(dict.fromkeys(cuts))[: wanted - 1]
+
+
+def neighbours(docs: DataFrame, least: int, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows (part, ghost, doc_id, text) in descending order within each part, the part's successor last as a ghost.
+
+    Parts are ranges of (doc_id, hash of the text); the first row of each part, known after one small aggregation, is
+    copied to the part before it (that of the first part to the last), so that no row needs more than its part. Each
+    part is a partition of its own.
+    """
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    cuts = ranges(docs, part_bytes, least)
+    key = F.struct("doc_id", "tie")
     part = F.lit(0)
-    if cuts:  # the number of cuts above doc_id, found in two steps
-        run = math.isqrt(len(cuts)) + 1
-        runs = [cuts[k : k + run] for k in range(0, len(cuts), run)]
-        above = lambda xs: F.size(F.filter(xs, lambda x: x > F.col("doc_id")))
-        head = above(F.array(*[F.lit(r[0]) for r in runs]))
-        tail = above(F.get(F.array(*[F.array(*[F.lit(x) for x in r]) for r in runs]), head - 1))
-        part = F.when(F.col("doc_id").isNull(), len(cuts)).when(head == 0, 0).otherwise((head - 1) * run + tail)
-    rows = docs.select(part.alias("part"), F.lit(False).alias("ghost"), "doc_id", "text")
-    first = sorted((r.part, r.d) for r in rows.groupBy("part").agg(F.max("doc_id").alias("d")).collect())
+    if cuts:  # the number of cuts that are not below the key, found in two steps
+        run = int(len(cuts) ** 0.5) + 1
+        above = F.array(*[F.struct(F.lit(d).cast("long").alias("doc_id"), F.lit(t).cast("long").alias("tie")) for d, t in cuts])
+        heads = F.array(*[above[k] for k in range(0, len(cuts), run)])
+        skipped = F.size(F.filter(heads, lambda x: x < key))
+        here = F.slice(above, F.greatest(skipped - 1, F.lit(0)) * run + 1, run)
+        part = F.lit(len(cuts)) - F.greatest(skipped - 1, F.lit(0)) * run - F.size(F.filter(here, lambda x: x < key))
+    rows = docs.select(part.cast("int").alias("part"), F.lit(False).alias("ghost"), "doc_id", "tie", "text")
+    top = F.max(F.struct("doc_id", "tie")).alias("top")
+    first = sorted((r.part, r.top.doc_id, r.top.tie) for r in rows.groupBy("part").agg(top).collect())
     ghosts = rows.limit(0)
     if first:
-        spec = docs.sparkSession.createDataFrame([(p, d, first[k - 1][0]) for k, (p, d) in enumerate(first)], "p int, d long, to int")
-        ghosts = rows.join(F.broadcast(spec), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")))
-        ghosts = ghosts.groupBy("to", "d").agg(F.max("text").alias("text")).select(F.col("to").alias("part"), F.lit(True).alias("ghost"), F.col("d").alias("doc_id"), "text")
-    dealt = rows.unionAll(ghosts).repartition(max(1, len(first)), "part")
-    return dealt.sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+        spec = docs.sparkSession.createDataFrame([(p, d, t, first[k - 1][0]) for k, (p, d, t) in enumerate(first)], "p int, d long, t long, to int")
+        ghosts = rows.join(F.broadcast(spec), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
+        ghosts = ghosts.groupBy("to", "d", "t").agg(F.max("text").alias("text")).select(F.col("to").alias("part"), F.lit(True).alias("ghost"), F.col("d").alias("doc_id"), F.col("t").alias("tie"), "text")
+    dealt = rows.unionAll(ghosts).repartitionById(len(cuts) + 1, F.col("part"))
+    order = (F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc_nulls_last())
+    return dealt.sortWithinPartitions("part", "ghost", *order).select("part", "ghost", "doc_id", "text")
 
 
 def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
