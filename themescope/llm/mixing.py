@@ -4,12 +4,16 @@ Every source's documents stand in a shuffled queue (md5 of a seed and doc_id) th
 times. A copy's virtual finish time is the words its source has sent up to and with it, divided by the source's
 target; the copies of all sources in the order of that time are the mix, cut where the budget is spent.
 
-Nothing is ordered in one task: the queue of a source is cut into ``parts`` hash ranges, whose sums are carried
-forward, so that a source with most of the rows is spread; the cut is found by two histograms over virtual time
-(at most ``2 * bins`` rows reach the driver), and only the copies of the one bin that holds it are sorted.
+What stands before the cut is what a global range sort and a running sum would keep, but the sort itself is spared:
+the queue of a source is cut into hash ranges of about PART_ROWS rows, whose sums are carried forward, so that a
+source with most of the rows is spread; the cut is found by two histograms over virtual time (at most ``2 * bins``
+rows reach the driver), and only the copies of the one bin that holds it are sorted. The SQL beside it does sort.
+Sources are ordered by name and by what they are short of in one task, a row each: they are held to be far fewer
+than documents.
 
 Null text: size 0. Null source: a source of its own, last. Null doc_id: hashed as the empty text, first among
-ties. Repeated rows are separate documents. Empty table: no rows. Other columns are ignored.
+ties, which stand in the order of doc_id and size; equal virtual times in the order of sources. Very long texts are
+counted whole. Repeated rows are separate documents. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored, table
 
-SEED, PARTS, BINS, EPOCHS, WEIGHTS = "mix-1", 256, 1024, 3, (5, 2, 1)
+SEED, PART_ROWS, LEAST_PARTS, BINS, EPOCHS, WEIGHTS = "mix-1", 500_000, 256, 1024, 3, (5, 2, 1)
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = EPOCHS) -> DataFrame:
@@ -41,15 +45,16 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     return s.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, parts: int = PARTS, bins: int = BINS, max_epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, part_rows: int = PART_ROWS, bins: int = BINS, max_epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text, source) with size, source_size, target and epochs: how often the mix takes the document.
 
     Columns named in ``carry`` come along; their names must not be those of the columns made here.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    part = F.floor(F.conv(F.substring("k", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("k"), *carry).withColumn("part", part), "sizes")
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("k"), *carry), "sizes")
+    parts = max(LEAST_PARTS, -(-rows.count() // part_rows))
+    rows = rows.withColumn("part", F.floor(F.conv(F.substring("k", 1, 8), 16, 10).cast("long") * parts / (1 << 32)).cast("int"))
 
     ranges = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
