@@ -197,7 +197,7 @@ def read_arc(stream: Stream) -> Iterator[Capture]:
             fields = ARC_FIELDS[int(body[0].split(" ")[0])]
             if tuple(body[1].split()) != fields:
                 raise ValueError(f"not the header fields of this version: {body[1]}")
-            made = parts[-3]
+            made = parts[2]
             continue
         over = len(parts) - len(fields)
         if over < 0:
