@@ -45,7 +45,7 @@ from .common import join_counted, shared_dir, stored, table
 #: Bytes of content in an archive, bytes from which a payload can be revisited, bytes inflated to and from in a step.
 CHUNK, REVISIT, STEP, PIECE = 24 << 20, 100, 1 << 20, 32 << 10
 #: Effort of compression.
-LEVEL = 6
+LEVEL = 4
 # Field names of the header lines by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
