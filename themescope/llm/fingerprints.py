@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, shingles, table, words
 
 BINS, BITS = 512, 4
-#: Rows that tell where to cut ranges of documents, bytes of text in a range at most.
+#: About so many rows tell where to cut ranges of documents, bytes of text in a range at most.
 SAMPLE, PART_BYTES = 20_000, 64 << 20
 _EMPTY = np.uint64(2**64 - 1)
 _LOW = np.uint64((1 << 55) - 1)
@@ -110,11 +110,12 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def ranges(rows: DataFrame, part_bytes: int, least: int) -> list[tuple[int | None, int]]:
     """Cuts (doc_id, tie), ascending, between ranges of about as many bytes each: at least ``least`` ranges, more if they would be over part_bytes.
 
-    They come from SAMPLE rows chosen by hash; only the evenness of the ranges depends on them.
+    They come from about SAMPLE rows chosen by hash; only the evenness of the ranges depends on them.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    sample = rows.select("doc_id", "tie", size.alias("size")).orderBy(F.xxhash64("doc_id", "tie")).limit(SAMPLE).collect()
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    one_in = max(1, n // SAMPLE)
+    sample = rows.select("doc_id", "tie", size.alias("size")).where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(one_in)) == 0).limit(2 * SAMPLE).collect()
     held = sorted(((r.doc_id is not None, r.doc_id or 0, r.tie), r) for r in sample)
     wanted, so_far, cuts = max(least, -(-total // part_bytes)), 0, []
     step = sum(r.size for r in sample) / wanted
