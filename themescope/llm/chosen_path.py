@@ -6,8 +6,10 @@ average, that is 1 / threshold) split it, and members go on together where they
 SMALL members are compared by brute force. In a larger one all members are compared with a pivot, one of them; if all
 are like it the bucket is done, else it is split further, without those that are so like the pivot that nothing
 unlike it can be linked to them. Runs are repeated until the chance that a pair at the threshold, whose sketch is by
-chance better or worse, stays together in some run down to the deepest level that any bucket reached is RECALL. No step makes pairs of rows: each bucket yields at most one candidate edge
-a member, and a bucket's members never meet in one task unless they are few.
+chance better or worse, stays together in some run down to the deepest level that a bucket of it reached is RECALL:
+first for DEPTH levels, then, among the nodes of deeper buckets, for as many as those reached. (A pair with a node
+that no deep bucket held has been together as long as it had to.) No step makes pairs of rows: each bucket yields at
+most one candidate edge a member, and a bucket's members never meet in one task unless they are few.
 
 Candidate edges form components, by star contraction. Inside each, every two nodes whose sizes allow a link are
 compared exactly, on their whole shingle sets: components of up to BLOCK nodes in one task, larger ones in pairs of
@@ -37,11 +39,11 @@ from pyspark.sql import functions as F
 from .common import WordHashes, join_counted, mix64, shingles, spread, stored, table, words
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
-#: Members of a bucket compared by brute force, levels split before buckets are first counted, levels from which candidates are chosen loosely and for which the first runs reach the target recall.
-SMALL, FIRST, DEPTH, RECALL = 24, 2, 5, 0.99
+#: Members of a bucket compared by brute force, levels split before buckets are counted, levels up to which the first runs reach the target recall and beyond which candidates are chosen loosely.
+SMALL, STEP, DEPTH, RECALL = 24, 2, 4, 0.99
 #: Share of equal coordinates from which a pair is a candidate: 4 standard errors below the threshold.
 GATE = 0.6
-#: GATE from DEPTH on: what still shares a large bucket there becomes a candidate sooner; the exact comparison decides.
+#: GATE beyond DEPTH: what still shares a large bucket there becomes a candidate sooner; the exact comparison decides.
 LOOSE = 0.4
 #: Nodes of a component that meet in one task; columns of its incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
@@ -137,28 +139,33 @@ def with_copy(docs: DataFrame) -> DataFrame:
 
 
 def _first_paths(nodes: DataFrame, runs: range) -> DataFrame:
-    """(key, copy) after FIRST levels of each run."""
+    """(key, copy) after STEP levels of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, names = _sigs(b.column("sig")), b.column("copy")
             for r in runs:
-                rows = np.arange(len(sig))
-                keys = np.full(len(sig), mix64(np.array([r + 1], np.uint64))[0])
-                for _ in range(FIRST):
-                    at, keys = split(keys, sig[rows])
-                    rows = rows[at]
+                rows, keys = _descend(np.full(len(sig), mix64(np.array([r + 1], np.uint64))[0]), sig)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), names.take(pa.array(rows))], names=["key", "copy"])
 
     return nodes.where("n > 0").select("copy", "sig").mapInArrow(run, "key long, copy binary")
 
 
+def _descend(keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys after STEP levels."""
+    rows = np.arange(len(sig))
+    for _ in range(STEP):
+        at, keys = split(keys, sig[rows])
+        rows = rows[at]
+    return rows, keys
+
+
 def _next_paths(rows: DataFrame) -> DataFrame:
-    """(key, copy, sig) one level on."""
+    """(key, copy, sig) STEP levels on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keys = split(b.column("key").to_numpy().view(np.uint64), _sigs(b.column("sig")))
+            at, keys = _descend(b.column("key").to_numpy().view(np.uint64), _sigs(b.column("sig")))
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("copy").take(at), b.column("sig").take(at)], names=["key", "copy", "sig"])
 
@@ -208,40 +215,44 @@ def _compare_pivot(rows: DataFrame, total: int) -> DataFrame:
     return joined.select("key", "copy", "sig", "pivot", alike("sig", "pivot_sig").alias("share"))
 
 
-def _edges_of(nodes: DataFrame, runs: range) -> tuple[list[DataFrame], int]:
-    """Candidate edges (u, v) of some runs, and the deepest level at which a bucket was compared."""
+def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], int, DataFrame | None]:
+    """Candidate edges (u, v) of some runs, the deepest level at which a bucket was compared, and the nodes of buckets beyond ``reach``."""
     sigs = nodes.select("copy", "sig")
-    level, depth = stored(_first_paths(nodes, runs), "paths"), FIRST
+    # a level holds at most two children of each row
+    level, depth, total = stored(_first_paths(nodes, runs), "paths"), STEP, nodes.count() * len(runs) << STEP
     edges: list[DataFrame] = []
-    signed = False
+    deep = None
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = join_counted(level, sizes, "key", "size", level.count())
-        rows = rows if signed else rows.join(sigs, "copy")
-        rows, signed = stored(rows, "buckets"), True
-        edges.append(stored(_compare_small(rows.where(F.col("size") <= SMALL)), "small"))
+        rows = join_counted(level, sizes, "key", "size", total)
+        rows = stored(rows if depth > STEP else rows.join(sigs, "copy"), "buckets")
+        if depth > reach and deep is None:
+            deep = rows.select("copy").distinct()  # deeper buckets hold no others
+        edges.append(_compare_small(rows.where(F.col("size") <= SMALL)))
         large = rows.where(F.col("size") > SMALL)
         total = large.count()
         if not total:
-            return edges, depth
+            return edges, depth, deep
         seen = stored(_compare_pivot(large, total), "pivots")
-        gate = GATE if depth < DEPTH else LOOSE
+        gate = GATE if depth <= DEPTH else LOOSE
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
-        # buckets that end here: all are like the pivot. A bucket goes on only with the rows that are not like it enough.
+        # a bucket whose members are all like the pivot ends here; others go on with the rows that are not like it enough
         mixed = seen.groupBy("key").agg(F.min("share").alias("least"), F.count_if(F.col("share") < core(gate)).alias("rest")).where(F.col("least") < gate)
         on = join_counted(seen.where(F.col("share") < core(gate)), mixed.select("key", "rest"), "key", "rest", total)
-        level, depth = stored(_next_paths(on), "paths"), depth + 1
+        level, depth, total = stored(_next_paths(on), "paths"), depth + STEP, total << STEP
 
 
 def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
     """Edges (u, v) between nodes that some path brought together and whose signatures are alike."""
-    done, want, deepest = 0, runs or runs_for(), 0
+    done, want, reach = 0, runs or runs_for(), DEPTH
     edges: list[DataFrame] = []
     while done < want:
-        found, depth = _edges_of(nodes, range(done, want))
+        found, depth, deep = _edges_of(nodes, range(done, want), reach)
         edges += found
-        done, deepest = want, max(deepest, depth)
-        want = runs or max(want, runs_for(depth=deepest))
+        done = want
+        if runs is None and deep is not None:
+            want, reach = max(want, runs_for(depth=depth)), max(reach, depth)
+            nodes = stored(nodes.join(deep, "copy", "left_semi"), "deep")
     return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges")
 
 
