@@ -14,7 +14,7 @@ most one candidate edge a member, and a bucket's members never meet in one task
 Candidate edges form components, by star contraction. Inside each, every two nodes whose sizes allow a link are
 compared exactly, on their whole shingle sets: components of up to BLOCK nodes in one task, larger ones in pairs of
 blocks, whose tasks return numbers of links and a spanning forest of them. So a pair that no path found is still found
-through a third text. Buckets, hubs, classes and copies that many rows share are joined in salted pieces.
+through a third text. Buckets, hubs, classes and copies that many rows share are joined without a shuffle.
 
 Results: for each document the smallest doc_id of its class (texts connected by links), the smallest doc_id with an
 equal text, the number of rows with an equal text, and the number of different texts linked to it.
@@ -204,8 +204,12 @@ def _compare_small(rows: DataFrame) -> DataFrame:
 
 
 def _compare_pivot(rows: DataFrame, total: int) -> DataFrame:
-    """Rows of large buckets with the pivot of each, one by chance, and the share of coordinates they have in common."""
-    pivots = rows.groupBy("key", "size").agg(F.min(F.struct(F.xxhash64("key", "copy").alias("chance"), "copy", "sig")).alias("p"))
+    """Rows of large buckets with the pivot of each, and the share of coordinates they have in common.
+
+    The pivot is the member that comes first in an order by chance, the same for all buckets: those of one group of
+    copies mostly have the same pivot, and their edges fall together.
+    """
+    pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("copy").alias("chance"), "copy", "sig")).alias("p"), F.count(F.lit(1)).alias("size"))
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:

@@ -70,7 +70,7 @@ def stored(df: DataFrame, label: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Keys that are salted at most; rows of a key that no salt parts.
+#: Keys that are joined by a broadcast at most, and rows of a key from which on.
 HOT, FLOOR = 10_000, 256
 
 
@@ -78,22 +78,16 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
     """``rows`` joined with ``keyed`` (one row a key) so that no key, however many rows have it, ends up in one task.
 
     ``count`` is the number of rows with a key, ``total`` at least the number of all rows. A key with more than
-    total / HOT rows (and FLOOR) is hot: its row in ``keyed`` is repeated, and each copy meets about so many rows,
-    chosen by their hash. There are at most HOT such keys, whatever the table; this list is broadcast, unless ``rows``
-    has the column ``count`` too.
+    total / HOT rows (and FLOOR) is hot. There are at most HOT such keys, whatever the table: their part of ``keyed``
+    is broadcast, and their rows stay where they are; the others are joined by a shuffle. ``rows`` may have ``count`` too.
     """
     least = max(FLOOR, total // HOT)
-    pieces = F.when(F.col(count) > least, F.ceil(F.col(count) / least).cast("int")).otherwise(1)
+    hot, cold = keyed.where(F.col(count) > least), keyed.where(F.col(count) <= least)
     if count in rows.columns:
-        keyed, marked = keyed.withColumn("pieces_", pieces), rows.withColumn("pieces_", pieces)
+        many, few = rows.where(F.col(count) > least).drop(count), rows.where(F.col(count) <= least).drop(count)
     else:
-        keyed = keyed.withColumn("pieces_", pieces)
-        marked = rows.join(F.broadcast(keyed.where("pieces_ > 1").select(key, "pieces_")), key, "left")
-    own = [c for c in rows.columns if c != key] or [key]
-    salt = F.when(F.col("pieces_") > 1, F.pmod(F.xxhash64(*own), F.col("pieces_"))).otherwise(0).cast("int")
-    marked = marked.withColumn("salt_", salt).drop("pieces_", *([count] if count in rows.columns else []))
-    keyed = keyed.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.col("pieces_") - 1))).drop("pieces_")
-    return marked.join(keyed, [key, "salt_"]).drop("salt_")
+        many, few = rows, rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(few.join(cold, key))
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, target: str, keep: Column, per_class: int, max_chars: int, max_lines: int | None = None, seed: int = 17) -> DataFrame:
