@@ -43,7 +43,7 @@ THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
 SMALL, STEP, DEPTH, RECALL = 24, 2, 4, 0.99
 #: Share of equal coordinates from which a pair is a candidate: 4 standard errors below the threshold.
 GATE = 0.6
-#: GATE beyond DEPTH: what still shares a large bucket there becomes a candidate sooner; the exact comparison decides.
+#: GATE beyond DEPTH and in the further runs: what shares a large bucket there becomes a candidate sooner; the exact comparison decides.
 LOOSE = 0.4
 #: Nodes of a component that meet in one task; columns of its incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
@@ -238,7 +238,7 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
         if not total:
             return edges, depth, deep
         seen = stored(_compare_pivot(large, total), "pivots")
-        gate = GATE if depth <= DEPTH else LOOSE
+        gate = GATE if depth <= DEPTH == reach else LOOSE
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
         # a bucket whose members are all like the pivot ends here; others go on with the rows that are not like it enough
         mixed = seen.groupBy("key").agg(F.min("share").alias("least"), F.count_if(F.col("share") < core(gate)).alias("rest")).where(F.col("least") < gate)
@@ -257,6 +257,8 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
         if runs is None and deep is not None:
             want, reach = max(want, runs_for(depth=depth)), max(reach, depth)
             nodes = stored(nodes.join(deep, "copy", "left_semi"), "deep")
+            if nodes.isEmpty():
+                break
     return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges")
 
 
