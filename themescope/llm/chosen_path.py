@@ -4,8 +4,8 @@ Equal texts become one node. A node's shingles are embedded as COORDINATES MinHa
 are split recursively: a bucket's path decides, for all of its members alike, which one or two coordinates (1.25 on
 average, that is 1 / threshold) split it, and members go on together where they share the token. Buckets of at most
 SMALL members are compared by brute force. In a larger one all members are compared with a pivot, one of them; if all
-are like it the bucket is done, else it is split further, without those that are so like the pivot that nothing
-unlike it can be linked to them. Runs are repeated until the chance that a pair at the threshold, whose sketch is by
+are like it the bucket is done, else it is split further, without those that are so like the pivot that none of the
+rows unlike it can be linked to them. Runs are repeated until the chance that a pair at the threshold, whose sketch is by
 chance better or worse, stays together in some run down to the deepest level that a bucket of it reached is RECALL:
 first for DEPTH levels, then, among the nodes of deeper buckets, for as many as those reached. (A pair with a node
 that no deep bucket held has been together as long as it had to.) No step makes pairs of rows: each bucket yields at
@@ -40,7 +40,7 @@ from .common import WordHashes, join_counted, mix64, shingles, spread, stored, t
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
 #: Members of a bucket compared by brute force, levels split before buckets are counted, levels up to which the first runs reach the target recall and beyond which candidates are chosen loosely.
-SMALL, STEP, DEPTH, RECALL = 24, 2, 4, 0.99
+SMALL, STEP, DEPTH, RECALL = 96, 2, 4, 0.99
 #: Share of equal coordinates from which a pair is a candidate: 4 standard errors below the threshold.
 GATE = 0.6
 #: GATE beyond DEPTH and in the further runs: what shares a large bucket there becomes a candidate sooner; the exact comparison decides.
@@ -75,11 +75,6 @@ def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
     return next(r for r in itertools.count(1) if recall_of(r, depth) >= recall)
 
 
-def core(gate: float) -> float:
-    """Share in common with a pivot from which a row has no pair over GATE with one that is under ``gate`` (distances add up)."""
-    return 1 - GATE + gate
-
-
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingles(hashes.of(words(text)), WIDTH))
 
@@ -138,23 +133,23 @@ def with_copy(docs: DataFrame) -> DataFrame:
 # ---- candidates
 
 
-def _first_paths(nodes: DataFrame, runs: range) -> DataFrame:
-    """(key, copy) after STEP levels of each run."""
+def _first_paths(nodes: DataFrame, runs: range, levels: int) -> DataFrame:
+    """(key, copy) after so many levels of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, names = _sigs(b.column("sig")), b.column("copy")
             for r in runs:
-                rows, keys = _descend(np.full(len(sig), mix64(np.array([r + 1], np.uint64))[0]), sig)
+                rows, keys = _descend(np.full(len(sig), mix64(np.array([r + 1], np.uint64))[0]), sig, levels)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), names.take(pa.array(rows))], names=["key", "copy"])
 
     return nodes.where("n > 0").select("copy", "sig").mapInArrow(run, "key long, copy binary")
 
 
-def _descend(keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys after STEP levels."""
+def _descend(keys: np.ndarray, sig: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys after so many levels."""
     rows = np.arange(len(sig))
-    for _ in range(STEP):
+    for _ in range(levels):
         at, keys = split(keys, sig[rows])
         rows = rows[at]
     return rows, keys
@@ -165,7 +160,7 @@ def _next_paths(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keys = _descend(b.column("key").to_numpy().view(np.uint64), _sigs(b.column("sig")))
+            at, keys = _descend(b.column("key").to_numpy().view(np.uint64), _sigs(b.column("sig")), STEP)
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("copy").take(at), b.column("sig").take(at)], names=["key", "copy", "sig"])
 
@@ -222,17 +217,18 @@ def _compare_pivot(rows: DataFrame, total: int) -> DataFrame:
 def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], int, DataFrame | None]:
     """Candidate edges (u, v) of some runs, the deepest level at which a bucket was compared, and the nodes of buckets beyond ``reach``."""
     sigs = nodes.select("copy", "sig")
+    first = STEP if reach == DEPTH else DEPTH  # nodes of deep buckets first part where most of those are left
     # a level holds at most two children of each row
-    level, depth, total = stored(_first_paths(nodes, runs), "paths"), STEP, nodes.count() * len(runs) << STEP
+    level, depth, total = stored(_first_paths(nodes, runs, first), "paths"), first, nodes.count() * len(runs) << first
     edges: list[DataFrame] = []
     deep = None
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = join_counted(level, sizes, "key", "size", total)
-        rows = stored(rows if depth > STEP else rows.join(sigs, "copy"), "buckets")
+        rows = stored(rows if depth > first else rows.join(sigs, "copy"), "buckets")
         if depth > reach and deep is None:
             deep = rows.select("copy").distinct()  # deeper buckets hold no others
-        edges.append(_compare_small(rows.where(F.col("size") <= SMALL)))
+        edges.append(stored(_compare_small(rows.where(F.col("size") <= SMALL)), "small"))
         large = rows.where(F.col("size") > SMALL)
         total = large.count()
         if not total:
@@ -240,9 +236,10 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
         seen = stored(_compare_pivot(large, total), "pivots")
         gate = GATE if depth <= DEPTH == reach else LOOSE
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
-        # a bucket whose members are all like the pivot ends here; others go on with the rows that are not like it enough
-        mixed = seen.groupBy("key").agg(F.min("share").alias("least"), F.count_if(F.col("share") < core(gate)).alias("rest")).where(F.col("least") < gate)
-        on = join_counted(seen.where(F.col("share") < core(gate)), mixed.select("key", "rest"), "key", "rest", total)
+        # a bucket whose members are all like the pivot ends here; others go on without the rows that have no pair over
+        # GATE with one that is unlike it: shares differ by less than what the two don't have in common
+        unlike = seen.groupBy("key").agg(F.max(F.when(F.col("share") < gate, F.col("share"))).alias("nearest"), F.count(F.lit(1)).alias("size")).where("nearest is not null")
+        on = join_counted(seen, unlike, "key", "size", total).where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
         level, depth, total = stored(_next_paths(on), "paths"), depth + STEP, total << STEP
 
 
