@@ -61,7 +61,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["combine_text", "skip_empty", "shipped_evidence", "network_summary", "retry_resolution", "backoff_seconds", "class_distribution", "score_vector"])
+@pytest.mark.parametrize("name", list(queries.QUERIES_SQL))
 def test_queries_match_duckdb(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)

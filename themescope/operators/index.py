@@ -1,4 +1,4 @@
-"""Row numbers over a whole table without a window in one task."""
+"""Rows dealt out over cores, and row numbers over a whole table without a window in one task."""
 
 from __future__ import annotations
 
@@ -11,17 +11,27 @@ from pyspark.sql import functions as F
 POSITION_BITS = 33
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores (one small file) is dealt out; larger ones and streams stay as read."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """``df`` with its rows counted from 0 in the order of ``key``, which is unique.
 
     Ranges of the key are sorted apart and checkpointed, since a second run of a range partitioning may cut elsewhere.
-    Only the row count of each partition reaches the driver.
+    Only the row count of each partition reaches the driver, and goes back as a table of as many rows.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local["):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        context.setCheckpointDir(tempfile.mkdtemp())
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
     ranged = df.repartitionByRange(key).sortWithinPartitions(key).checkpoint()
     ranged = ranged.withColumn(name, F.monotonically_increasing_id())
     part = F.shiftright(name, POSITION_BITS)
@@ -30,7 +40,6 @@ def row_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
         # what a position in this partition lacks to the number of its row
         offsets.append((r.part, before - (r.part << POSITION_BITS)))
         before += r["count"]
-    if not offsets:
-        return ranged
-    starts = F.map_from_arrays(F.array(*(F.lit(p).cast("long") for p, _ in offsets)), F.array(*(F.lit(o).cast("long") for _, o in offsets)))
-    return ranged.withColumn(name, F.col(name) + starts[part])
+    starts = spark.createDataFrame(offsets, "part_ long, offset_ long")
+    joined = ranged.join(F.broadcast(starts), part == F.col("part_"))
+    return joined.select(*df.columns, (F.col(name) + F.col("offset_")).alias(name))

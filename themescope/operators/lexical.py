@@ -1,16 +1,24 @@
 """Lexical scoring: an ontology compiled into SQL expressions that Catalyst and DuckDB both read.
 
 Scores are unrolled sums in the ontology's order, so that the floating-point result is one and the same everywhere;
-nothing is joined or shuffled. ``evidence()`` scans once: all themes are columns of one projection, exploded after.
+nothing is joined or shuffled. In Spark every distinct word is searched once a text: the hits are bits of a few long
+columns, and scores, labels, levels and spans test those bits. ``evidence()`` scans once: all themes are columns of one
+projection, exploded after.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themescope.operators.index import dealt
 from themescope.plans.ontology import KIND_SCORES, LEAST_SCORE, LEVEL_OF_KIND, LEVEL_WEIGHTS, SHIPPED, TYPE_WEIGHTS, Ontology, Term
 
+#: Words whose hits one long column holds.
+BITS = 62
+
 
 def real(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
@@ -20,41 +28,71 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def has(text: str, term: str) -> str:
-    return f"contains({text}, {quoted(term)})"
+@dataclass(frozen=True)
+class Text:
+    """Searches a text column for a word."""
+
+    column: str = "text_lc"
+
+    def has(self, word: str) -> str:
+        return f"contains({self.column}, {quoted(word)})"
+
+
+class Hits(Text):
+    """Looks a word up in columns of bits."""
+
+    def __init__(self, o: Ontology, column: str = "text_lc"):
+        super().__init__(column)
+        words = dict.fromkeys(w for t in o.terms for w in ([t.term.lower()] if t.kind == "keyword" else t.words))
+        words.update(dict.fromkeys(o.marker("ontological")))
+        object.__setattr__(self, "places", {w: divmod(k, BITS) for k, w in enumerate(words)})
+
+    def has(self, word: str) -> str:
+        column, bit = self.places[word]
+        return f"(hits_{column} & {1 << bit}L) <> 0"
+
+    def columns(self) -> dict[str, str]:
+        """Expressions of the columns by name."""
+        out: dict[str, list[str]] = {}
+        for word, (column, bit) in self.places.items():
+            out.setdefault(f"hits_{column}", []).append(f"CASE WHEN contains({self.column}, {quoted(word)}) THEN {1 << bit}L ELSE 0L END")
+        return {name: " | ".join(parts) for name, parts in out.items()}
 
 
-def words_hit(text: str, t: Term) -> str:
-    return "(" + " + ".join(f"CAST({has(text, w)} AS INT)" for w in t.words) + ")"
+TEXT = Text()
 
 
-def term_score(text: str, t: Term) -> str:
+def words_hit(text: Text, t: Term) -> str:
+    return "(" + " + ".join(f"CAST({text.has(w)} AS INT)" for w in t.words) + ")"
+
+
+def term_score(text: Text, t: Term) -> str:
     """What a term adds: a keyword its score if it occurs, a phrase its score by the share of its words, from two on."""
     s = real(KIND_SCORES[t.kind])
     if t.kind == "keyword":
-        return f"CASE WHEN {has(text, t.term.lower())} THEN {s} ELSE {real(0.0)} END"
+        return f"CASE WHEN {text.has(t.term.lower())} THEN {s} ELSE {real(0.0)} END"
     m = words_hit(text, t)
     return f"CASE WHEN {m} >= 2 THEN {s} * (CAST({m} AS DOUBLE) / {real(float(len(t.words)))}) ELSE {real(0.0)} END"
 
 
-def scored(text: str, t: Term) -> str:
-    return has(text, t.term.lower()) if t.kind == "keyword" else f"{words_hit(text, t)} >= 2"
+def scored(text: Text, t: Term) -> str:
+    return text.has(t.term.lower()) if t.kind == "keyword" else f"{words_hit(text, t)} >= 2"
 
 
-def level_hit(text: str, t: Term) -> str:
-    return has(text, t.term.lower()) if t.kind == "keyword" else f"{words_hit(text, t)} >= {len(t.words) // 2}"
+def level_hit(text: Text, t: Term) -> str:
+    return text.has(t.term.lower()) if t.kind == "keyword" else f"{words_hit(text, t)} >= {len(t.words) // 2}"
 
 
-def kind_score(o: Ontology, theme: str, kind: str, text: str = "text_lc") -> str:
+def kind_score(o: Ontology, theme: str, kind: str, text: Text = TEXT) -> str:
     return "(" + " + ".join([real(0.0), *(term_score(text, t) for t in o.of(theme, kind))]) + ")"
 
 
-def score(o: Ontology, theme: str, text: str = "text_lc") -> str:
+def score(o: Ontology, theme: str, text: Text = TEXT) -> str:
     terms = [t for k in KIND_SCORES for t in o.of(theme, k)]
     return "least(" + " + ".join([real(0.0), *(term_score(text, t) for t in terms)]) + f", {real(1.0)})"
 
 
-def label(o: Ontology, theme: str, duck: bool, text: str = "text_lc") -> str:
+def label(o: Ontology, theme: str, duck: bool, text: Text = TEXT) -> str:
     """The first three terms that score, joined."""
     hits = ", ".join(f"CASE WHEN {scored(text, t)} THEN {quoted(t.term)} END" for k in KIND_SCORES for t in o.of(theme, k))
     if duck:
@@ -62,21 +100,25 @@ def label(o: Ontology, theme: str, duck: bool, text: str = "text_lc") -> str:
     return f"array_join(slice(filter(array({hits}), x -> x IS NOT NULL), 1, 3), ', ')"
 
 
-def level(o: Ontology, theme: str, text: str = "text_lc") -> str:
+def level(o: Ontology, theme: str, text: Text = TEXT) -> str:
     cases = [f"WHEN {level_hit(text, t)} THEN {quoted(LEVEL_OF_KIND[k])}" for k in KIND_SCORES for t in o.of(theme, k)]
     return f"CASE {' '.join(cases)} ELSE 'nested_metaphor' END"
 
 
-def span(o: Ontology, theme: str, text: str = "text_lc") -> str:
+def span(o: Ontology, theme: str, text: Text = TEXT) -> str:
     """The entry that decided the level."""
     cases = [f"WHEN {level_hit(text, t)} THEN {quoted(t.term)}" for k in KIND_SCORES for t in o.of(theme, k)]
     return f"CASE {' '.join(cases)} ELSE '' END"
 
 
-def type_of(o: Ontology, text: str = "text_lc", span_: str = "span") -> str:
-    any_of = lambda where, kind: " OR ".join(has(where, m) for m in o.marker(kind))
-    low = f"lower({span_})"
-    return f"CASE WHEN {any_of(text, 'ontological')} THEN 'ontological' WHEN {any_of(low, 'structural')} THEN 'structural' WHEN {any_of(low, 'orientational')} THEN 'orientational' ELSE 'decorative' END"
+def any_of(text: Text, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(text.has(w) for w in words) + ")"
+
+
+def type_of(o: Ontology, ontological: str, span_: str = "span") -> str:
+    """ontological: whether the text has a marker of that kind; the other kinds are looked for in the span."""
+    low = Text(f"lower({span_})")
+    return f"CASE WHEN {ontological} THEN 'ontological' WHEN {any_of(low, o.marker('structural'))} THEN 'structural' WHEN {any_of(low, o.marker('orientational'))} THEN 'orientational' ELSE 'decorative' END"
 
 
 def weight(level_: str = "level", type_: str = "type", context: str = "score") -> str:
@@ -84,25 +126,32 @@ def weight(level_: str = "level", type_: str = "type", context: str = "score") -
     return f"least({pick(level_, LEVEL_WEIGHTS, 0.4)} * {pick(type_, TYPE_WEIGHTS, 0.5)} * {context}, {real(1.0)})"
 
 
-FIELDS = "doc_id, theory, theory_ord, score, semantic_field, level, span"
+FIELDS = ("theory", "theory_ord", "score", "semantic_field", "level", "span")
 
 
-def fields(docs: DataFrame, o: Ontology = SHIPPED) -> DataFrame:
-    """A row for each document and theme that scores above 0: (doc_id, text_lc, theory, theory_ord, score, semantic_field, level, span)."""
-    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text_lc"))
+def _scored(docs: DataFrame, o: Ontology) -> DataFrame:
+    """Fields with ``ontological``, whether the text has a marker of that kind; the text itself ends with its hits."""
+    hits = Hits(o)
+    rows = dealt(docs.select("doc_id", "text")).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text_lc"))
+    rows = rows.select("doc_id", *[F.expr(e).alias(name) for name, e in hits.columns().items()])
     found = [
-        F.expr(f"struct({quoted(t)} AS theory, {k} AS theory_ord, {score(o, t)} AS score, {label(o, t, False)} AS semantic_field, {level(o, t)} AS level, {span(o, t)} AS span)")
+        F.expr(f"struct({quoted(t)} AS theory, {k} AS theory_ord, {score(o, t, hits)} AS score, {label(o, t, False, hits)} AS semantic_field, {level(o, t, hits)} AS level, {span(o, t, hits)} AS span)")
         for k, t in enumerate(o.themes)
     ]
-    rows = rows.select("doc_id", "text_lc", F.explode(F.array(*found)).alias("f")).select("doc_id", "text_lc", "f.*")
-    return rows.where("score > 0")
+    rows = rows.select("doc_id", F.expr(any_of(hits, o.marker("ontological"))).alias("ontological"), F.explode(F.array(*found)).alias("f"))
+    return rows.select("doc_id", "ontological", "f.*").where("score > 0")
+
+
+def fields(docs: DataFrame, o: Ontology = SHIPPED) -> DataFrame:
+    """A row for each document and theme that scores above 0: (doc_id, theory, theory_ord, score, semantic_field, level, span)."""
+    return _scored(docs, o).select("doc_id", *FIELDS)
 
 
 def evidence(docs: DataFrame, o: Ontology = SHIPPED) -> DataFrame:
     """At most one row for each document and theme, from LEAST_SCORE on, with type, weight and rank."""
-    rows = fields(docs, o).where(F.col("score") >= LEAST_SCORE).where("NOT (level = 'nested_metaphor' AND span = '')")
-    rows = rows.withColumn("type", F.expr(type_of(o))).withColumn("weight", F.expr(weight()))
-    return rows.select("doc_id", "theory", "theory_ord", "score", "semantic_field", "level", "span", "type", "weight")
+    rows = _scored(docs, o).where(F.col("score") >= LEAST_SCORE).where("NOT (level = 'nested_metaphor' AND span = '')")
+    rows = rows.withColumn("type", F.expr(type_of(o, "ontological"))).withColumn("weight", F.expr(weight()))
+    return rows.select("doc_id", *FIELDS, "type", "weight")
 
 
 def fields_sql(docs: str, o: Ontology = SHIPPED) -> str:
@@ -111,5 +160,5 @@ def fields_sql(docs: str, o: Ontology = SHIPPED) -> str:
 
 
 def evidence_sql(docs: str, o: Ontology = SHIPPED) -> str:
-    typed = f"SELECT *, {type_of(o)} AS type FROM {fields_sql(docs, o)} WHERE score >= {real(LEAST_SCORE)} AND NOT (level = 'nested_metaphor' AND span = '')"
+    typed = f"SELECT *, {type_of(o, any_of(TEXT, o.marker('ontological')))} AS type FROM {fields_sql(docs, o)} WHERE score >= {real(LEAST_SCORE)} AND NOT (level = 'nested_metaphor' AND span = '')"
     return f"(SELECT doc_id, theory, theory_ord, score, semantic_field, level, span, type, {weight()} AS weight FROM ({typed}))"

@@ -8,18 +8,19 @@ that their sum doesn't depend on the order of rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from themescope.operators.lexical import real
 from themescope.plans.dialects import Duck, Spark
 from themescope.plans.ontology import HYBRID_WEIGHT
 
 
-def clusters_sql(source: str, rank: str) -> str:
-    """Counts and weight of each document and theme."""
+def clusters_sql(d: Duck, source: str, rank: str) -> str:
+    """Counts, weight and the different fields of each document and theme."""
     count = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
     return (
         f"(SELECT doc_id, theory, count(*) AS total_evidence, {count('''level = 'meta_metaphor' ''')} AS meta_metaphor_count, {count('''level = 'scientific_metaphor' ''')} AS scientific_metaphor_count, "
-        f"{count('''type = 'ontological' ''')} AS ontological_count, round(sum(weight), 9) AS total_weight, min({rank}) AS first_rank FROM {source} GROUP BY doc_id, theory)"
+        f"{count('''type = 'ontological' ''')} AS ontological_count, round(sum(weight), 9) AS total_weight, {d.distinct('semantic_field')} AS semantic_fields, min({rank}) AS first_rank FROM {source} GROUP BY doc_id, theory)"
     )
 
 
@@ -29,16 +30,37 @@ def network_sql(d: Duck, source: str, rank: str) -> str:
     return (
         "SELECT doc_id, max(CASE WHEN meta_metaphor_count >= 1 AND scientific_metaphor_count >= 1 THEN 1 ELSE 0 END) = 1 AS meta_metaphor_detected, "
         f"{d.first('theory', 'total_weight', 'first_rank')} AS dominant_pattern, CASE WHEN count({heavy}) > 1 THEN {d.ordered(heavy, 'first_rank')} ELSE '' END AS hybrid_theories "
-        f"FROM {clusters_sql(source, rank)} GROUP BY doc_id"
+        f"FROM {clusters_sql(d, source, rank)} GROUP BY doc_id"
     )
 
 
 def clusters(evidence: DataFrame, rank: str = "theory_ord") -> DataFrame:
-    fields = evidence.groupBy("doc_id", "theory").agg({"semantic_field": "collect_set"}).toDF("doc_id", "theory", "fields")
-    spark = evidence.sparkSession
-    return spark.sql(f"SELECT c.*, array_sort(f.fields) AS semantic_fields FROM {clusters_sql('{evidence}', rank)} c JOIN {{fields}} f ON c.doc_id <=> f.doc_id AND c.theory = f.theory", evidence=evidence, fields=fields)
+    """One row a document and theme; semantic_fields: the different ones, as a sorted list. A null theme is a cluster too."""
+    rows = evidence.sparkSession.sql(f"SELECT * FROM {clusters_sql(Spark(), '{evidence}', rank)}", evidence=evidence)
+    return rows.withColumn("semantic_fields", F.split("semantic_fields", "; "))
 
 
 def network(evidence: DataFrame, rank: str = "theory_ord") -> DataFrame:
     """(doc_id, meta_metaphor_detected, dominant_pattern, hybrid_theories); documents without evidence have no row."""
     return evidence.sparkSession.sql(network_sql(Spark(), "{evidence}", rank), evidence=evidence)
+
+
+def pre_analysis_sql(d: Duck, documents: str, evidence: str, fields: int = 5, previews: int = 3) -> str:
+    """For every document: number of pieces, pattern flag, dominant theme, first semantic fields and first pieces, joined.
+
+    Pieces stand in the order of their score, ties in that of the themes. Documents without any have 0, false and null.
+    """
+    ranked = f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theory_ord) AS rn FROM {evidence})"
+    first = lambda value, k: d.ordered(f"CASE WHEN rn <= {k} THEN {value} END", "rn")
+    piece = "concat(theory, ' ', level, ' ', type, ' ', substring(span, 1, 100))"
+    counted = f"(SELECT doc_id, count(*) AS n, {first('semantic_field', fields)} AS semantic_fields, {first(piece, previews)} AS evidence_preview FROM {ranked} GROUP BY doc_id)"
+    return (
+        "SELECT i.doc_id, coalesce(e.n, 0) AS detected_metaphors, coalesce(n.meta_metaphor_detected, FALSE) AS meta_metaphor_present, n.dominant_pattern AS dominant_theory, "
+        f"coalesce(e.semantic_fields, '') AS semantic_fields, coalesce(e.evidence_preview, '') AS evidence_preview FROM (SELECT doc_id FROM {documents}) i "
+        f"LEFT JOIN {counted} e ON i.doc_id = e.doc_id LEFT JOIN ({network_sql(d, evidence, 'theory_ord')}) n ON i.doc_id = n.doc_id"
+    )
+
+
+def pre_analysis(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What a prompt is told beforehand of every document of ``docs`` (doc_id)."""
+    return docs.sparkSession.sql(pre_analysis_sql(Spark(), "{docs}", "{evidence}"), docs=docs, evidence=evidence)

@@ -1,6 +1,6 @@
-"""Answers of a classifier: fences, strict JSON, the state machine of retries.
+"""Answers of a classifier: fences, strict JSON, the state machine of retries, results and the contract they keep.
 
-Attempts are a table (row_id, attempt from 0 to 2, http_status, body, exception). A good answer is a status of 200
+Attempts are a table (row_id, attempt from 0 on, http_status, body, exception). A good answer is a status of 200
 whose body, without its fence, is one JSON object; anything else leads to the next attempt, the last one to an error.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from themescope.operators.lexical import real
 from themescope.plans.dialects import Duck, Spark
 
 
@@ -21,22 +22,22 @@ def good_sql(d: Duck) -> str:
 
 
 def resolved_sql(d: Duck, source: str) -> str:
-    """The first good answer of each row, else the error of the last attempt."""
+    """The first good answer of each row, else the error of its last attempt."""
     good = good_sql(d)
     return (
         f"(SELECT row_id, min(attempt) FILTER (WHERE {good}) AS used, min_by(clean, attempt) FILTER (WHERE {good}) AS answer, "
-        "max(CASE WHEN attempt = 2 THEN CASE WHEN exception IS NOT NULL THEN exception WHEN http_status = 200 THEN 'invalid JSON' ELSE 'Max retries exceeded' END END) AS last_error "
+        "max_by(CASE WHEN exception IS NOT NULL THEN exception WHEN http_status = 200 THEN 'invalid JSON' ELSE 'Max retries exceeded' END, attempt) AS last_error "
         f"FROM {stripped_sql(d, source)} GROUP BY row_id)"
     )
 
 
 def backoff_sql(d: Duck, source: str) -> str:
-    """Seconds slept: 2^attempt after a 429 and after an exception or invalid body that isn't the last; none otherwise."""
+    """Seconds slept: 2^attempt after a 429 and after an exception or invalid body that isn't the row's last; none otherwise."""
     slept = (
-        "CASE WHEN attempt >= coalesce(used, 3) THEN 0 WHEN exception IS NULL AND http_status = 429 THEN power(2, attempt) "
-        "WHEN exception IS NULL AND http_status <> 200 THEN 0 WHEN attempt < 2 THEN power(2, attempt) ELSE 0 END"
+        "CASE WHEN used IS NOT NULL AND attempt >= used THEN 0 WHEN exception IS NULL AND http_status = 429 THEN power(2, attempt) "
+        "WHEN exception IS NULL AND http_status <> 200 THEN 0 WHEN attempt < last THEN power(2, attempt) ELSE 0 END"
     )
-    marked = f"SELECT *, min(CASE WHEN {good_sql(d)} THEN attempt END) OVER (PARTITION BY row_id) AS used FROM {stripped_sql(d, source)}"
+    marked = f"SELECT *, max(attempt) OVER (PARTITION BY row_id) AS last, min(CASE WHEN {good_sql(d)} THEN attempt END) OVER (PARTITION BY row_id) AS used FROM {stripped_sql(d, source)}"
     return f"SELECT row_id, CAST(sum({slept}) AS DOUBLE) AS seconds FROM ({marked}) GROUP BY row_id"
 
 
@@ -46,20 +47,58 @@ def resolve(attempts: DataFrame) -> DataFrame:
     return attempts.sparkSession.sql(sql, attempts=attempts)
 
 
-def classified(rows: DataFrame, attempts: DataFrame) -> DataFrame:
+#: Fields of an answer that become columns of a result.
+TOP = {"primary_class": "primary_class", "confidence": "confidence", "secondary_class": "secondary_class", "notes": "notes"}
+META = {"dominant_semantic_field": "dominant_semantic_field", "artistic_transformation": "artistic_transformation", "theoretical_grounding": "theoretical_grounding"}
+
+
+def results_sql(d: Duck, rows: str, attempts: str) -> str:
     """Results by row_id of ``rows`` (row_id, title, combined_description): classified, failed or skipped rows.
 
-    (row_id, title, primary_class, confidence, is_hybrid, status, error, description_length, answer). A blank
-    description is skipped whatever its attempts say; a row without attempts has run out of them.
+    A blank description is skipped whatever its attempts say; a row without attempts has run out of them.
     """
-    d = Spark()
     blank = f"coalesce({d.strip('i.combined_description')}, '') = ''"
-    sql = (
-        f"SELECT i.row_id, i.title, CASE WHEN NOT ({blank}) AND r.answer IS NOT NULL THEN {d.json('r.answer', 'primary_class')} ELSE 'UND' END AS primary_class, "
-        f"CASE WHEN NOT ({blank}) THEN {d.json('r.answer', 'confidence')} END AS confidence, CASE WHEN NOT ({blank}) THEN {d.json('r.answer', 'is_hybrid')} = 'true' END AS is_hybrid, "
-        f"CASE WHEN {blank} THEN 'skipped' WHEN r.answer IS NULL THEN 'error' END AS status, "
-        f"CASE WHEN {blank} THEN 'Empty description' WHEN r.answer IS NULL THEN coalesce(r.error, 'Max retries exceeded') END AS error, "
-        f"CASE WHEN NOT ({blank}) THEN CAST(length(i.combined_description) AS BIGINT) END AS description_length, CASE WHEN NOT ({blank}) THEN r.answer END AS answer "
-        "FROM {rows} i LEFT JOIN {resolved} r ON i.row_id = r.row_id"
+    used = f"CASE WHEN NOT ({blank}) THEN r.answer END"
+    joined = (
+        f"SELECT i.row_id, i.title, {blank} AS blank, {used} AS answer, r.last_error, CASE WHEN NOT ({blank}) THEN CAST(length(i.combined_description) AS BIGINT) END AS description_length "
+        f"FROM {rows} i LEFT JOIN {resolved_sql(d, attempts)} r ON i.row_id = r.row_id"
+    )
+    flag = lambda path: f"CASE WHEN answer IS NOT NULL THEN coalesce({d.json('answer', path)}, '') = 'true' END"
+    columns = [f"{d.json('answer', k)} AS {v}" for k, v in TOP.items() if k != "primary_class"] + [f"{d.json('answer', f'metaphor_analysis.{k}')} AS {v}" for k, v in META.items()]
+    return (
+        f"(SELECT row_id, title, CASE WHEN answer IS NOT NULL THEN {d.json('answer', 'primary_class')} ELSE 'UND' END AS primary_class, {', '.join(columns)}, "
+        f"{flag('is_hybrid')} AS is_hybrid, {flag('metaphor_analysis.meta_metaphor_detected')} AS meta_metaphor_detected, "
+        "CASE WHEN blank THEN 'skipped' WHEN answer IS NULL THEN 'error' END AS status, CASE WHEN blank THEN 'Empty description' WHEN answer IS NULL THEN coalesce(last_error, 'Max retries exceeded') END AS error, "
+        f"description_length, answer FROM ({joined}))"
+    )
+
+
+def classified(rows: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Results of ``rows`` (row_id, title, combined_description); the answer stays beside the columns made from it."""
+    return rows.sparkSession.sql(f"SELECT * FROM {results_sql(Spark(), '{rows}', '{attempts}')}", rows=rows, attempts=attempts)
+
+
+def tagged(results: DataFrame, analysis: DataFrame, key: str = "row_id") -> DataFrame:
+    """Results with their row number as ``index`` and the columns of the pre-analysis (doc_id, ...) of the same row."""
+    spark = results.sparkSession
+    return spark.sql(f"SELECT r.*, r.{key} AS index, a.* EXCEPT (doc_id) FROM {{r}} r LEFT JOIN {{a}} a ON r.{key} = a.doc_id", r=results, a=analysis)
+
+
+def contract_sql(d: Duck, results: str, texts: str) -> str:
+    """Which rules each answer keeps: the class is UND if no score reaches 0.5; a secondary class has 0.5; hybrid says whether
+    two classes have; a score over 0.3 has evidence; spans stand in the text, case aside. texts: (row_id, text)."""
+    half = f"score >= {real(0.5)}"
+    scores = f"(SELECT row_id, max(score) AS top, sum(CASE WHEN {half} THEN 1 ELSE 0 END) AS halves FROM {d.scores(results, 'row_id')} GROUP BY row_id)"
+    second = f"(SELECT s.row_id, max(CASE WHEN s.theory = s.secondary_class THEN s.score END) AS second FROM {d.scores(results, 'row_id, secondary_class')} s GROUP BY s.row_id)"
+    named = f"(SELECT DISTINCT row_id, class FROM {d.evidence(results, 'row_id')})"
+    bare = f"(SELECT s.row_id, sum(CASE WHEN s.score > {real(0.3)} AND e.class IS NULL THEN 1 ELSE 0 END) AS bare FROM {d.scores(results, 'row_id')} s LEFT JOIN {named} e ON s.row_id = e.row_id AND s.theory = e.class GROUP BY s.row_id)"
+    loose = f"(SELECT e.row_id, sum(CASE WHEN contains(lower(coalesce(t.text, '')), lower(e.span)) THEN 0 ELSE 1 END) AS loose FROM {d.evidence(results, 'row_id')} e LEFT JOIN {texts} t ON e.row_id = t.row_id GROUP BY e.row_id)"
+    return (
+        f"SELECT r.row_id, (coalesce(s.top, 0) >= {real(0.5)} OR r.primary_class = 'UND') AS und_rule, (r.secondary_class IS NULL OR coalesce(x.second, 0) >= {real(0.5)}) AS secondary_rule, "
+        "(coalesce(r.is_hybrid, FALSE) = (coalesce(s.halves, 0) >= 2)) AS hybrid_rule, (coalesce(b.bare, 0) = 0) AS evidence_rule, (coalesce(l.loose, 0) = 0) AS verbatim_rule "
+        f"FROM (SELECT * FROM {results} WHERE answer IS NOT NULL) r LEFT JOIN {scores} s ON r.row_id = s.row_id LEFT JOIN {second} x ON r.row_id = x.row_id LEFT JOIN {bare} b ON r.row_id = b.row_id LEFT JOIN {loose} l ON r.row_id = l.row_id"
     )
-    return rows.sparkSession.sql(sql, rows=rows, resolved=resolve(attempts))
+
+
+def contract(results: DataFrame, texts: DataFrame) -> DataFrame:
+    return results.sparkSession.sql(contract_sql(Spark(), "{results}", "{texts}"), results=results, texts=texts)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Fields of a piece of evidence in an answer.
+EVIDENCE = ("class", "metaphor_level", "metaphor_type", "span", "weight", "reasoning")
+
 
 class Duck:
     name = "duck"
@@ -15,6 +18,10 @@ class Duck:
     def ordered(self, value: str, order: str) -> str:
         return f"string_agg({value}, ', ' ORDER BY {order})"
 
+    def distinct(self, value: str) -> str:
+        """Different values in their own order, joined."""
+        return f"string_agg(DISTINCT {value}, '; ' ORDER BY {value})"
+
     def valid(self, x: str) -> str:
         return f"(json_valid({x}) AND starts_with({x}, '{{{{'))"
 
@@ -31,6 +38,17 @@ class Duck:
     def starts(self, x: str, prefix: str) -> str:
         return f"starts_with({x}, '{prefix}')"
 
+    def scores(self, source: str, keep: str) -> str:
+        """A row (keep, theory, score) for each entry of the scores of ``answer``."""
+        keys = f"SELECT {keep}, answer, unnest(json_keys(answer, '$.scores')) AS theory FROM {source} WHERE answer IS NOT NULL"
+        return f"(SELECT {keep}, theory, CAST(json_extract_string(answer, concat('$.scores.', theory)) AS DOUBLE) AS score FROM ({keys}))"
+
+    def evidence(self, source: str, keep: str) -> str:
+        """A row (keep, position from 0, EVIDENCE) for each piece of evidence of ``answer``."""
+        places = f"SELECT {keep}, answer, unnest(range(CAST(json_array_length(answer, '$.evidence') AS BIGINT))) AS position FROM {source} WHERE answer IS NOT NULL"
+        fields = ", ".join(f"CAST(json_extract_string(answer, concat('$.evidence[', position, '].{f}')) AS {'DOUBLE' if f == 'weight' else 'VARCHAR'}) AS {f}" for f in EVIDENCE)
+        return f"(SELECT {keep}, CAST(position AS INT) AS position, {fields} FROM ({places}))"
+
 
 class Spark(Duck):
     name = "spark"
@@ -44,8 +62,13 @@ class Spark(Duck):
     def ordered(self, value: str, order: str) -> str:
         return f"array_join(transform(sort_array(collect_list(CASE WHEN {value} IS NOT NULL THEN struct({order} AS k, {value} AS v) END)), x -> x.v), ', ')"
 
+    def distinct(self, value: str) -> str:
+        return f"array_join(array_sort(collect_set({value})), '; ')"
+
     def valid(self, x: str) -> str:
-        return f"(coalesce(json_array_length(concat('[', {x}, ']')), 0) = 1 AND startswith({x}, '{{{{'))"
+        """One object and nothing after it: a list closed inside the body would have as many elements with a further one behind it."""
+        size = lambda more: f"coalesce(json_array_length(concat('[', {x}, '{more}]')), 0)"
+        return f"({size('')} = 1 AND {size(', 0')} = 2 AND startswith({x}, '{{{{'))"
 
     def first(self, value: str, weight: str, rank: str) -> str:
         return f"min_by({value}, struct(-{weight} AS w, {rank} AS r))"
@@ -55,3 +78,11 @@ class Spark(Duck):
 
     def starts(self, x: str, prefix: str) -> str:
         return f"startswith({x}, '{prefix}')"
+
+    def scores(self, source: str, keep: str) -> str:
+        return f"(SELECT {keep}, theory, score FROM (SELECT {keep}, explode(from_json(get_json_object(answer, '$.scores'), 'map<string,double>')) AS (theory, score) FROM {source}))"
+
+    def evidence(self, source: str, keep: str) -> str:
+        kinds = ", ".join(f"{f}: {'double' if f == 'weight' else 'string'}" for f in EVIDENCE)
+        rows = f"SELECT {keep}, posexplode(from_json(get_json_object(answer, '$.evidence'), 'array<struct<{kinds}>>')) AS (position, e) FROM {source}"
+        return f"(SELECT {keep}, position, {', '.join(f'e.{f}' for f in EVIDENCE)} FROM ({rows}))"

@@ -2,7 +2,8 @@
 
 A query is SQL over named inputs in braces. In Spark the inputs are DataFrames (``operators.lexical`` builds the
 evidence in one scan, without a shuffle); for DuckDB they are subqueries made from the same expressions. Where the
-dialects differ, ``Spark`` and ``Duck`` say how.
+dialects differ, ``Spark`` and ``Duck`` say how. Reports aggregate parsed answers: the answers of a classifier that
+says of each document what the lexical network found in it, and fails now and then.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.operators import lexical
+from themescope.functions.text import TEXT_COLUMNS, text_columns
+from themescope.operators import lexical, reports
 from themescope.operators.index import row_index
-from themescope.operators.network import clusters_sql, network_sql
-from themescope.operators.responses import backoff_sql, resolved_sql, stripped_sql
+from themescope.operators.network import clusters_sql, network_sql, pre_analysis_sql
+from themescope.operators.responses import backoff_sql, contract_sql, resolved_sql, results_sql, stripped_sql
+from themescope.plans import prompts
 from themescope.plans.dialects import Duck, Spark
-from themescope.plans.ontology import PROXY, SHIPPED, THEMES
+from themescope.plans.ontology import PROXY, SHIPPED
 
 #: Own texts for the shipped ontology, which the synthetic tables don't contain.
 TEXTS = [
@@ -35,17 +38,21 @@ TEXTS = [
 
 Query = Callable[[Duck], str]
 
-THEORIES = [*THEMES, "UND"]
-_theory = "CASE CAST(doc_id % 8 AS INT) " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(THEORIES)) + " END"
-_values = ", ".join(f"({k}, '{t}')" for k, t in enumerate(THEORIES))
+CLASSES = [*PROXY.themes, "UND"]
+_values = ", ".join(f"({k}, '{t}')" for k, t in enumerate(CLASSES))
+
+#: Expressions of the input columns, made from documents, with holes; a table need not have all of them.
+INPUT = {
+    "title": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('T', CAST(doc_id AS STRING)) END",
+    "descr": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END",
+    "descr_en": "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '  ' ELSE replace(text, ' ', '_') END",
+    "descr_clean": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END",
+}
 
 
 def rows_(d: Duck) -> str:
-    """Input rows with holes: title and three text columns, made from documents."""
-    return (
-        "(SELECT doc_id AS row_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('T', CAST(doc_id AS STRING)) END AS title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS descr, "
-        "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '  ' ELSE replace(text, ' ', '_') END AS descr_en, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS descr_clean FROM {documents})"
-    )
+    """Input rows with holes: title and three of the four text columns, made from documents."""
+    return f"(SELECT doc_id AS row_id, {', '.join(f'{e} AS {c}' for c, e in INPUT.items())} FROM {{documents}})"
 
 
 def combined(d: Duck) -> str:
@@ -53,69 +60,89 @@ def combined(d: Duck) -> str:
     return f"(SELECT row_id, title, {d.strip(text)} AS combined_description FROM {rows_(d)})"
 
 
-def attempts(d: Duck) -> str:
-    """Up to three answers of a classifier for each document: HTTP status, body, exception."""
-    body = f"concat('{{{{\"primary_class\": \"', {_theory}, '\", \"confidence\": \"', CASE WHEN doc_id % 3 = 0 THEN 'high' WHEN doc_id % 3 = 1 THEN 'medium' ELSE 'low' END, '\", \"is_hybrid\": ', CASE WHEN doc_id % 4 = 0 THEN 'true' ELSE 'false' END, '}}}}')"
-    bad = f"CASE WHEN doc_id % 13 = 0 THEN '[1]' WHEN doc_id % 17 = 0 THEN concat({body}, ' x') WHEN doc_id % 19 = 0 THEN '' ELSE {body} END"
+def blank(d: Duck) -> str:
+    return f"{d.strip('combined_description')} = ''"
+
+
+#: Several pieces of evidence a theme, as a caller may build them: the only input on which a pattern can hold.
+MANY = "(SELECT doc_id, theory, theory_ord * 2 + v.k AS rank, semantic_field, CASE WHEN v.k = 0 THEN level WHEN doc_id % 2 = 0 THEN 'meta_metaphor' ELSE 'scientific_metaphor' END AS level, type, weight FROM {evidence} CROSS JOIN (VALUES (0), (1)) AS v(k))"
+
+
+def number(x: str) -> str:
+    """A number with three digits after the point, in the same characters everywhere."""
+    n = f"CAST(floor({x} * {lexical.real(1000.0)} + {lexical.real(0.5)}) AS INT)"
+    return f"concat(CAST(CAST(floor({n} / CAST(1000 AS DOUBLE)) AS INT) AS STRING), '.', lpad(CAST({n} % 1000 AS STRING), 3, '0'))"
+
+
+def answers(d: Duck) -> str:
+    """(row_id, body): what a classifier says of each document, from its scores, evidence and network."""
+    scores = f"(SELECT doc_id, {d.ordered('''concat('"', theory, '": ', ''' + number('score') + ')', 'theory_ord')} AS scores FROM {{fields}} GROUP BY doc_id)"
+    piece = "concat('{{\"class\": \"', theory, '\", \"metaphor_level\": \"', level, '\", \"metaphor_type\": \"', type, '\", \"span\": \"', span, '\", \"weight\": ', " + number("weight") + ", ', \"reasoning\": \"', level, ' as ', type, ' of ', semantic_field, '\"}}')"
+    pieces = f"(SELECT doc_id, count(*) AS n, min(semantic_field) AS field, {d.ordered(piece, 'theory_ord')} AS evidence FROM {{evidence}} GROUP BY doc_id)"
+    second = "CASE WHEN split_part(n.hybrid_theories, ', ', 1) = n.dominant_pattern THEN split_part(n.hybrid_theories, ', ', 2) ELSE split_part(n.hybrid_theories, ', ', 1) END"
+    hybrid = "coalesce(n.hybrid_theories, '') <> ''"
     return (
-        f"(SELECT doc_id AS row_id, a.attempt, CASE WHEN doc_id % 23 = 0 THEN 429 WHEN doc_id % 6 = 0 AND a.attempt = 0 THEN 429 WHEN doc_id % 29 = 0 THEN 500 WHEN doc_id % 10 = 0 AND a.attempt < 2 THEN 500 ELSE 200 END AS http_status, "
-        f"CASE WHEN doc_id % 2 = 0 THEN concat('```json\n', {bad}, '\n```') ELSE {bad} END AS body, CASE WHEN doc_id % 31 = 0 THEN 'timeout' END AS exception "
-        "FROM {documents} CROSS JOIN (VALUES (0), (1), (2)) AS a(attempt))"
+        "(SELECT i.doc_id AS row_id, concat('{{\"primary_class\": \"', coalesce(n.dominant_pattern, 'UND'), '\"', CASE WHEN i.doc_id % 41 = 0 THEN '' ELSE concat(', \"confidence\": \"', CASE WHEN e.n >= 3 THEN 'high' WHEN e.n = 2 THEN 'medium' ELSE 'low' END, '\"') END, "
+        f"', \"scores\": {{{{', coalesce(s.scores, ''), '}}}}, \"evidence\": [', coalesce(e.evidence, ''), '], \"secondary_class\": ', CASE WHEN {hybrid} THEN concat('\"', {second}, '\"') ELSE 'null' END, "
+        f"CASE WHEN i.doc_id % 43 = 0 THEN '' ELSE concat(', \"is_hybrid\": ', CASE WHEN {hybrid} THEN 'true' ELSE 'false' END) END, "
+        "', \"metaphor_analysis\": {{\"meta_metaphor_detected\": ', CASE WHEN coalesce(n.meta_metaphor_detected, FALSE) THEN 'true' ELSE 'false' END, ', \"dominant_semantic_field\": \"', coalesce(e.field, ''), '\", \"artistic_transformation\": \"', coalesce(n.dominant_pattern, 'none'), ' as image\"}}, \"notes\": \"\"}}') AS body "
+        f"FROM {{documents}} i LEFT JOIN {scores} s ON i.doc_id = s.doc_id LEFT JOIN {pieces} e ON i.doc_id = e.doc_id LEFT JOIN ({network_sql(d, MANY, 'rank')}) n ON i.doc_id = n.doc_id)"
     )
 
 
-def results(d: Duck) -> str:
-    """A result row for each document: classified, failed or skipped."""
-    answered = "r.row_id % 37 <> 0 AND r.used IS NOT NULL"
+def attempts(d: Duck) -> str:
+    """Up to three answers of the classifier for each document: HTTP status, body, exception."""
+    bad = "CASE WHEN row_id % 13 = 0 THEN '[1]' WHEN row_id % 17 = 0 THEN concat(body, ' x') WHEN row_id % 18 = 0 THEN concat(body, '] [', body) WHEN row_id % 19 = 0 THEN '' ELSE body END"
     return (
-        f"(SELECT r.row_id, CASE WHEN {answered} THEN {d.json('r.answer', 'primary_class')} ELSE 'UND' END AS primary_class, CASE WHEN {answered} THEN {d.json('r.answer', 'confidence')} END AS confidence, "
-        f"CASE WHEN {answered} THEN CASE {d.json('r.answer', 'is_hybrid')} WHEN 'true' THEN TRUE ELSE FALSE END END AS is_hybrid, "
-        "CASE WHEN r.row_id % 37 = 0 THEN 'skipped' WHEN r.used IS NULL THEN 'error' END AS status, CASE WHEN r.row_id % 37 = 0 THEN 'Empty description' WHEN r.used IS NULL THEN r.last_error END AS error, CASE WHEN r.row_id % 37 <> 0 THEN CAST(length(t.text) AS BIGINT) END AS description_length "
-        f"FROM {resolved_sql(d, attempts(d))} r JOIN (SELECT doc_id, text FROM {{documents}}) t ON t.doc_id = r.row_id)"
+        "(SELECT row_id, a.attempt, CASE WHEN row_id % 23 = 0 THEN 429 WHEN row_id % 6 = 0 AND a.attempt = 0 THEN 429 WHEN row_id % 29 = 0 THEN 500 WHEN row_id % 10 = 0 AND a.attempt < 2 THEN 500 ELSE 200 END AS http_status, "
+        f"CASE WHEN row_id % 2 = 0 THEN concat('```json\n', {bad}, '\n```') ELSE {bad} END AS body, CASE WHEN row_id % 31 = 0 THEN 'timeout' END AS exception "
+        f"FROM {answers(d)} CROSS JOIN (VALUES (0), (1), (2)) AS a(attempt))"
     )
 
 
-OK = "coalesce(status, '') <> 'error'"
+def inputs(d: Duck) -> str:
+    """Rows as they are classified: some descriptions are blank."""
+    return "(SELECT doc_id AS row_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('T', CAST(doc_id AS STRING)) END AS title, CASE WHEN doc_id % 37 = 0 THEN ' \n' ELSE text END AS combined_description FROM {documents})"
 
 
-def scores(d: Duck) -> str:
-    return f"(SELECT doc_id AS row_id, {_theory} AS primary_class, v.ord, v.theory, CAST((doc_id * 7 + v.ord * 13) % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS score FROM {{documents}} CROSS JOIN (VALUES {_values}) AS v(ord, theory) WHERE (doc_id + v.ord) % 5 <> 0)"
+def results(d: Duck) -> str:
+    """A result row for each document: classified, failed or skipped."""
+    return results_sql(d, inputs(d), attempts(d))
 
 
-#: Several pieces of evidence a theme, as a caller may build them: the only input on which a pattern can hold.
-MANY = "(SELECT doc_id, theory, theory_ord * 2 + v.k AS rank, semantic_field, CASE WHEN v.k = 0 THEN level WHEN doc_id % 2 = 0 THEN 'meta_metaphor' ELSE 'scientific_metaphor' END AS level, type, weight FROM {evidence} CROSS JOIN (VALUES (0), (1)) AS v(k))"
+OK = reports.OK
 
 
 def top(k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theory_ord) AS rn FROM {{evidence}}) WHERE rn <= {k}"
 
 
-def pct(n: str, total: str) -> str:
-    return f"CAST({n} AS DOUBLE) * CAST(100 AS DOUBLE) / CAST(nullif({total}, 0) AS DOUBLE)"
-
-
-def hist(col: str, source: Query, name: str) -> Query:
-    return lambda d: f"SELECT {col} AS {name}, count(*) AS n FROM {source(d)} WHERE {col} IS NOT NULL AND {OK} GROUP BY {col}"
-
-
 def _kind(kind: str) -> Query:
     cols = ", ".join(f"{lexical.kind_score(PROXY, t, kind)} AS {t.lower()}_score" for t in PROXY.themes)
     return lambda d: f"SELECT doc_id, {cols} FROM (SELECT doc_id, lower(coalesce(text, '')) AS text_lc FROM {{documents}})"
 
 
-_hits = " + ".join(f"CAST({lexical.has('text_lc', t.term.lower())} AS INT)" for t in PROXY.terms if t.kind == "keyword")
+_hits = " + ".join(f"CAST({lexical.TEXT.has(t.term.lower())} AS INT)" for t in PROXY.terms if t.kind == "keyword")
 _dim = ", ".join(f"('{t.theme}', {t.term_ord}, {lexical.quoted(t.term.lower())})" for t in PROXY.terms if t.kind == "keyword")
-PROMPT = "Classify the description by theme and answer with one JSON object."
+
+
+def prompt(d: Duck) -> str:
+    """The combined description behind the request, with a hint where the network of the document has a pattern."""
+    asked = f"concat({lexical.quoted(prompts.PROMPT)}, ' Description: ', c.combined_description, {prompts.hint_sql('n.meta_metaphor_detected', 'n.dominant_pattern')})"
+    return f"SELECT c.row_id, {asked} AS prompt FROM {combined(d)} c LEFT JOIN ({network_sql(d, MANY, 'rank')}) n ON c.row_id = n.doc_id"
+
+
+_long = "CAST(length(combined_description) AS BIGINT)"
 
 QUERIES_SQL: dict[str, Query] = {
     # sources, projections, filters
     "scan_documents": lambda d: "SELECT doc_id, text, lang, source, n_chars FROM {documents}",
-    "text_column_selection": lambda d: f"SELECT row_id, descr, descr_en, descr_clean FROM {rows_(d)}",
+    "text_column_selection": lambda d: f"SELECT row_id, {', '.join(c for c in TEXT_COLUMNS if c in INPUT)} FROM {rows_(d)}",
     "combine_text": lambda d: f"SELECT row_id, combined_description FROM {combined(d)}",
-    "skip_empty": lambda d: f"SELECT row_id, CASE WHEN {d.strip('combined_description')} = '' THEN 'skipped' END AS status, CASE WHEN {d.strip('combined_description')} = '' THEN 'UND' END AS primary_class, CASE WHEN {d.strip('combined_description')} = '' THEN 'Empty description' END AS error FROM {combined(d)}",
+    "skip_empty": lambda d: f"SELECT row_id, CASE WHEN {blank(d)} THEN 'skipped' END AS status, CASE WHEN {blank(d)} THEN 'UND' END AS primary_class, CASE WHEN {blank(d)} THEN 'Empty description' END AS error FROM {combined(d)}",
     "default_title": lambda d: "SELECT row_id, coalesce(title, concat('Item_', CAST(idx AS STRING))) AS title FROM {indexed}",
     "row_index": lambda d: "SELECT row_id, CAST(idx AS BIGINT) AS idx FROM {indexed}",
-    "description_length": lambda d: f"SELECT row_id, CAST(length(combined_description) AS BIGINT) AS description_length FROM {combined(d)}",
+    "description_length": lambda d: f"SELECT row_id, CASE WHEN NOT ({blank(d)}) THEN {_long} END AS description_length FROM {combined(d)}",
     "success_filter": lambda d: f"SELECT row_id, primary_class, status FROM {results(d)} WHERE {OK}",
     "error_filter": lambda d: f"SELECT row_id, primary_class, error FROM {results(d)} WHERE status = 'error'",
     "prune_weak": lambda d: "SELECT doc_id, theory, score FROM {fields} WHERE score >= CAST(0.2 AS DOUBLE)",
@@ -132,42 +159,51 @@ QUERIES_SQL: dict[str, Query] = {
     "evidence_weight": lambda d: "SELECT doc_id, theory, level, type, score, weight FROM {evidence}",
     "extract_evidence": lambda d: "SELECT doc_id, theory, score, semantic_field, level, span, type, weight FROM {evidence}",
     "shipped_evidence": lambda d: "SELECT doc_id, theory, score, semantic_field, level, span, type, weight FROM {shipped}",
-    "evidence_preview": lambda d: f"SELECT doc_id, rn AS position, theory, concat(substring(span, 1, 100), '...') AS span FROM {top(3)}",
+    "evidence_preview": lambda d: f"SELECT doc_id, rn AS position, theory, level, type, substring(span, 1, 100) AS span FROM {top(3)}",
+    "field_preview": lambda d: f"SELECT doc_id, rn AS position, semantic_field FROM {top(5)}",
     "topk_evidence": lambda d: f"SELECT doc_id, rn AS position, theory, weight FROM {top(5)}",
-    "theory_clusters": lambda d: f"SELECT doc_id, theory, total_evidence, meta_metaphor_count, scientific_metaphor_count, ontological_count, total_weight FROM {clusters_sql('{evidence}', 'theory_ord')}",
-    "meta_pattern": lambda d: f"SELECT doc_id, max(CASE WHEN meta_metaphor_count >= 1 AND scientific_metaphor_count >= 1 THEN 1 ELSE 0 END) = 1 AS meta_metaphor_detected FROM {clusters_sql(MANY, 'rank')} GROUP BY doc_id",
+    "theory_clusters": lambda d: f"SELECT doc_id, theory, total_evidence, meta_metaphor_count, scientific_metaphor_count, ontological_count, total_weight, semantic_fields FROM {clusters_sql(d, '{evidence}', 'theory_ord')}",
+    "meta_pattern": lambda d: f"SELECT doc_id, max(CASE WHEN meta_metaphor_count >= 1 AND scientific_metaphor_count >= 1 THEN 1 ELSE 0 END) = 1 AS meta_metaphor_detected FROM {clusters_sql(d, MANY, 'rank')} GROUP BY doc_id",
     "dominant_theory": lambda d: f"SELECT doc_id, dominant_pattern FROM ({network_sql(d, '{evidence}', 'theory_ord')})",
     "hybrid_theories": lambda d: f"SELECT doc_id, hybrid_theories FROM ({network_sql(d, MANY, 'rank')})",
     "network_summary": lambda d: network_sql(d, MANY, "rank"),
     "shipped_network": lambda d: network_sql(d, "{shipped}", "theory_ord"),
-    "pre_analysis": lambda d: f"SELECT n.doc_id, e.detected_metaphors, n.meta_metaphor_detected AS meta_metaphor_present, n.dominant_pattern AS dominant_theory FROM ({network_sql(d, '{evidence}', 'theory_ord')}) n JOIN (SELECT doc_id, count(*) AS detected_metaphors FROM {{evidence}} GROUP BY doc_id) e ON n.doc_id = e.doc_id",
+    "pre_analysis": lambda d: pre_analysis_sql(d, "{documents}", "{evidence}"),
+    "shipped_pre_analysis": lambda d: pre_analysis_sql(d, "{texts}", "{shipped}"),
     "ontology_theta_join": lambda d: f"SELECT t.doc_id, o.theory, count(*) AS hits FROM (SELECT doc_id, lower(coalesce(text, '')) AS text_lc FROM {{documents}}) t JOIN (VALUES {_dim}) AS o(theory, term_ord, term) ON contains(t.text_lc, o.term) GROUP BY t.doc_id, o.theory",
     # requests and responses
-    "build_prompt": lambda d: f"SELECT row_id, concat('{PROMPT}', ' Description: ', combined_description) AS prompt FROM {combined(d)}",
-    "prompt_extension": lambda d: "SELECT doc_id, replace(concat('Task. ANSWER FORMAT: ', source), 'ANSWER FORMAT:', 'Levels and types apply. ANSWER FORMAT:') AS prompt FROM {documents}",
+    "build_prompt": prompt,
+    "prompt_extension": lambda d: f"SELECT doc_id, replace(concat('Task of ', source, '. {prompts.MARKER} JSON'), '{prompts.MARKER}', concat({lexical.quoted(prompts.section(PROXY))}, '\n\n{prompts.MARKER}')) AS prompt FROM {{documents}}",
+    "prompt_section": lambda d: f"SELECT {lexical.quoted(prompts.system_prompt())} AS system_prompt, {lexical.quoted(prompts.section())} AS section",
+    "indicator_taxonomy": lambda d: "SELECT indicator, weight FROM (VALUES " + ", ".join(f"('{k}', {lexical.real(w)})" for k, w in prompts.INDICATORS.items()) + ") AS t(indicator, weight)",
     "strip_fence": lambda d: f"SELECT row_id, attempt, clean FROM {stripped_sql(d, attempts(d))}",
     "parse_classification": lambda d: f"SELECT row_id, attempt, {d.valid('clean')} AS valid, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'primary_class')} END AS primary_class, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'confidence')} END AS confidence FROM {stripped_sql(d, attempts(d))}",
     "retry_resolution": lambda d: f"SELECT row_id, CAST(used AS INT) AS attempt_used, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(d, attempts(d))}",
     "backoff_seconds": lambda d: backoff_sql(d, attempts(d)),
-    "contract_check": lambda d: f"SELECT row_id, max(score) >= CAST(0.5 AS DOUBLE) AS classified, sum(CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) >= 2 AS hybrid FROM {scores(d)} GROUP BY row_id",
+    "classified_results": lambda d: f"SELECT row_id, title, primary_class, confidence, secondary_class, is_hybrid, meta_metaphor_detected, dominant_semantic_field, artistic_transformation, status, error, description_length FROM {results(d)}",
+    "contract_check": lambda d: contract_sql(d, results(d), "(SELECT doc_id AS row_id, text FROM {documents})"),
     "attach_results": lambda d: f"SELECT i.row_id, i.title, r.primary_class AS result_primary_class, r.status AS result_status FROM {rows_(d)} i JOIN {results(d)} r ON i.row_id = r.row_id",
     # aggregations and reports
-    "class_distribution": lambda d: f"SELECT primary_class, count(*) AS n, {pct('count(*)', 'sum(count(*)) OVER ()')} AS percent FROM {results(d)} WHERE {OK} GROUP BY primary_class",
-    "run_totals": lambda d: f"SELECT count(*) AS processed, CAST(sum(CASE WHEN {OK} THEN 1 ELSE 0 END) AS BIGINT) AS successful, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM {results(d)}",
-    "primary_class_hist": hist("primary_class", results, "primary_class"),
-    "confidence_hist": hist("confidence", results, "confidence"),
-    "meta_rate": lambda d: f"SELECT meta_metaphor_detected, count(*) AS n FROM ({network_sql(d, MANY, 'rank')}) GROUP BY meta_metaphor_detected",
-    "hybrid_rate": lambda d: f"SELECT coalesce(is_hybrid, FALSE) AS is_hybrid, count(*) AS n FROM {results(d)} WHERE {OK} GROUP BY coalesce(is_hybrid, FALSE)",
-    "explode_scores": lambda d: f"SELECT row_id, theory, score FROM {scores(d)}",
-    "explode_evidence": lambda d: "SELECT doc_id, theory, level, type FROM {evidence}",
-    "avg_scores": lambda d: f"SELECT theory, round(avg(score), 9) AS avg_score FROM {scores(d)} GROUP BY theory",
-    "level_hist": lambda d: "SELECT level, count(*) AS n FROM {evidence} GROUP BY level",
-    "type_hist": lambda d: "SELECT type, count(*) AS n FROM {evidence} GROUP BY type",
-    "avg_length_by_class": lambda d: f"SELECT primary_class, round(avg(description_length), 6) AS avg_length FROM {results(d)} WHERE {OK} GROUP BY primary_class",
-    "length_boxplot": lambda d: f"SELECT primary_class, {d.quantile('description_length', 0.25)} AS q1, {d.quantile('description_length', 0.5)} AS median, {d.quantile('description_length', 0.75)} AS q3 FROM {results(d)} WHERE {OK} AND description_length IS NOT NULL GROUP BY primary_class",
-    "score_vector": lambda d: f"SELECT i.doc_id AS row_id, v.ord, v.theory, coalesce(s.score, CAST(0 AS DOUBLE)) AS score FROM {{documents}} i CROSS JOIN (VALUES {_values}) AS v(ord, theory) LEFT JOIN {scores(d)} s ON s.row_id = i.doc_id AND s.theory = v.theory",
-    "score_pivot": lambda d: "SELECT primary_class, " + ", ".join(f"round(avg(CASE WHEN theory = '{t}' THEN score END), 9) AS {t.lower()}" for t in THEORIES) + f" FROM {scores(d)} GROUP BY primary_class",
-    "detail_report": lambda d: f"SELECT r.row_id, coalesce(i.title, 'N/A') AS title, r.primary_class, coalesce(r.confidence, 'N/A') AS confidence, CASE WHEN r.is_hybrid THEN 'hybrid' ELSE '' END AS hybrid FROM {results(d)} r JOIN {rows_(d)} i ON i.row_id = r.row_id",
+    "class_distribution": lambda d: reports.class_distribution(results(d)),
+    "run_totals": lambda d: reports.run_totals(results(d)),
+    "primary_class_hist": lambda d: reports.histogram(results(d), "primary_class"),
+    "confidence_hist": lambda d: reports.histogram(results(d), "confidence"),
+    "meta_rate": lambda d: reports.split_of(results(d), "meta_metaphor_detected"),
+    "hybrid_rate": lambda d: reports.split_of(results(d), "is_hybrid"),
+    "pie_shares": lambda d: reports.pie_shares(results(d)),
+    "explode_scores": lambda d: f"SELECT row_id, theory, score FROM {d.scores(results(d), 'row_id')}",
+    "explode_evidence": lambda d: f"SELECT row_id, position, class, metaphor_level, metaphor_type, span, weight, reasoning FROM {d.evidence(results(d), 'row_id')}",
+    "avg_scores": lambda d: reports.avg_scores(d, results(d)),
+    "level_hist": lambda d: reports.evidence_histogram(d, results(d), "metaphor_level"),
+    "type_hist": lambda d: reports.evidence_histogram(d, results(d), "metaphor_type"),
+    "avg_length_by_class": lambda d: reports.avg_length(results(d)),
+    "length_boxplot": lambda d: reports.length_boxplot(d, results(d)),
+    "score_vector": lambda d: reports.score_vector(d, results(d), CLASSES),
+    "score_pivot": lambda d: reports.score_pivot(d, results(d)),
+    "score_matrix": lambda d: reports.score_matrix(d, results(d), CLASSES),
+    "detail_report": lambda d: reports.details(d, results(d)),
+    "detail_scores": lambda d: reports.detail_scores(d, results(d)),
+    "detail_evidence": lambda d: reports.detail_evidence(d, results(d)),
 }
 
 _texts = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {lexical.quoted(t)})" for k, t in enumerate(TEXTS)) + ") AS t(doc_id, text))"
@@ -175,27 +211,36 @@ _texts = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {lexical.quoted(t)})" for
 
 def _query(make: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql, inputs = make(Spark()), {}
+        sql, given = make(Spark()), {}
         documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        texts = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
         if "{documents}" in sql:
-            inputs["documents"] = documents
+            given["documents"] = documents
         if "{indexed}" in sql:
-            inputs["indexed"] = row_index(spark.sql(f"SELECT row_id, title FROM {rows_(Spark())}", documents=documents), "row_id")
+            given["indexed"] = row_index(spark.sql(f"SELECT row_id, title FROM {rows_(Spark())}", documents=documents), "row_id")
         if "{fields}" in sql:
-            inputs["fields"] = lexical.fields(documents, PROXY)
+            given["fields"] = lexical.fields(documents, PROXY)
         if "{evidence}" in sql:
-            inputs["evidence"] = lexical.evidence(documents, PROXY)
+            given["evidence"] = lexical.evidence(documents, PROXY)
+        if "{texts}" in sql:
+            given["texts"] = texts
         if "{shipped}" in sql:
-            inputs["shipped"] = lexical.evidence(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string"), SHIPPED)
-        return spark.sql(sql, **inputs)
+            given["shipped"] = lexical.evidence(texts, SHIPPED)
+        return spark.sql(sql, **given)
 
     return run
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()}
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text columns are those that the table has, found when the plan is made."""
+    rows = spark.sql(f"SELECT * FROM {rows_(Spark())}", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("row_id", *text_columns(rows))
+
+
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection}
 
 
 def oracle_sql() -> dict[str, str]:
     indexed = f"(SELECT row_id, title, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM {rows_(Duck()).format(documents='documents')})"
-    given = {"documents": "documents", "indexed": indexed, "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "shipped": lexical.evidence_sql(_texts, SHIPPED)}
+    given = {"documents": "documents", "indexed": indexed, "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "texts": _texts, "shipped": lexical.evidence_sql(_texts, SHIPPED)}
     return {name: make(Duck()).format(**given) for name, make in QUERIES_SQL.items()}

@@ -6,25 +6,34 @@ Write the attempts to a table before use: a lost executor would otherwise send i
 from __future__ import annotations
 
 import json
+import logging
+import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 ATTEMPTS = "row_id long, attempt int, http_status int, body string, exception string"
+# Names of the settings of a service.
+KEY, MODEL, REFERER, TITLE = "OPENROUTER_API_KEY", "OPENROUTER_MODEL", "HTTP_REFERER", "X_TITLE"
+
+log = logging.getLogger("themescope")
 
 
 @dataclass(frozen=True)
 class Service:
-    """An address and its limits; ``pause`` seconds lie between two prompts of a partition."""
+    """An address and its limits; ``pause`` seconds lie between two prompts of a partition. system: told before every prompt."""
 
     url: str
     key: str
     model: str
+    system: str | None = None
+    referer: str | None = None
+    title: str | None = None
     max_tokens: int = 3000
     timeout: float = 60.0
     pause: float = 0.5
@@ -35,10 +44,21 @@ class Service:
         if not self.key:
             raise ValueError("the service needs a key")
 
+    @classmethod
+    def from_settings(cls, url: str, settings: Mapping[str, str] | None = None, **limits) -> Service:
+        """Key, model, referer and title from the environment, or any other settings; key and model must be there."""
+        given = os.environ if settings is None else settings
+        for name in (KEY, MODEL):
+            if not given.get(name):
+                raise ValueError(f"{name} is not set")
+        return cls(url, given[KEY], given[MODEL], referer=given.get(REFERER), title=given.get(TITLE), **limits)
+
     def once(self, prompt: str) -> tuple[int | None, str | None, str | None]:
         """(status, content, exception) of one call."""
-        asked = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0.0, "max_tokens": self.max_tokens}
-        request = urllib.request.Request(self.url, json.dumps(asked).encode(), {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"})
+        told = [{"role": "system", "content": self.system}] if self.system else []
+        asked = {"model": self.model, "messages": [*told, {"role": "user", "content": prompt}], "temperature": 0.0, "max_tokens": self.max_tokens}
+        heads = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"} | ({"HTTP-Referer": self.referer} if self.referer else {}) | ({"X-Title": self.title} if self.title else {})
+        request = urllib.request.Request(self.url, json.dumps(asked).encode(), heads)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                 return answer.status, json.load(answer)["choices"][0]["message"]["content"], None
@@ -75,6 +95,7 @@ def ask(prompts: DataFrame, service: Service) -> DataFrame:
         for part in parts:
             for row_id, prompt in zip(part.row_id, part.prompt, strict=True):
                 rows = [(row_id, *a) for a in service.ask(prompt)]
+                log.info("row %s: %s attempts", row_id, len(rows))
                 out = pd.DataFrame(rows, columns=["row_id", "attempt", "http_status", "body", "exception"])
                 yield out.astype({"http_status": "Int32"})
                 time.sleep(service.pause)

@@ -1,24 +1,40 @@
-"""Writes results: JSON Lines, CSV beside the input, and a text report."""
+"""Writes results: JSON Lines, CSV and workbooks beside the input, chart tables and a text report."""
 
 from __future__ import annotations
 
+import logging
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from themescope.operators import reports
+from themescope.plans.dialects import Spark
+from themescope.sources.xlsx import write_xlsx
+
+log = logging.getLogger("themescope")
+
+
+def run_directory(base: str, when: datetime) -> str:
+    """A folder for one run, named by its time."""
+    return f"{base.rstrip('/')}/analysis_{when.strftime('%Y%m%d_%H%M%S')}"
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    return df.limit(n)
+
 
 def attached(rows: DataFrame, results: DataFrame, key: str = "row_id") -> DataFrame:
     """Input and results side by side by ``key``; names that both have get ``result_`` before those of the results.
 
-    Tables of different length are an error, as are keys that don't pair.
+    A key that only one of them has is an error when the rows are read: both are read once.
     """
-    taken = set(rows.columns)
-    renamed = results.select(F.col(key), *(F.col(c).alias(f"result_{c}" if c in taken else c) for c in results.columns if c != key))
-    joined = rows.join(renamed, key)
-    counts = rows.count(), results.count(), joined.count()
-    if len(set(counts)) > 1:
-        raise ValueError(f"{counts[0]} rows, {counts[1]} results, {counts[2]} pairs")
-    return joined
+    taken = {c.lower() for c in rows.columns}
+    renamed = results.select(F.col(key).alias("other_key_"), *(F.col(c).alias(f"result_{c}" if c.lower() in taken else c) for c in results.columns if c != key))
+    joined = rows.join(renamed, F.col(key).eqNullSafe(F.col("other_key_")) & F.col(key).isNotNull(), "full_outer")
+    paired = F.assert_true(F.col(key).isNotNull() & F.col("other_key_").isNotNull(), F.concat(F.lit("no pair for "), F.coalesce(F.col(key), F.col("other_key_")).cast("string")))
+    return joined.where(paired.isNull()).drop("other_key_")
 
 
 def write_json(results: DataFrame, path: str) -> None:
@@ -33,24 +49,50 @@ def write_csv(rows: DataFrame, results: DataFrame, path: str) -> None:
     joined.withColumns(nested).write.options(header=True, escape='"').csv(path)
 
 
-def report(results: DataFrame) -> DataFrame:
-    """Lines (part, row_id, line) of the report: totals, classes with their share, one line an item."""
-    ok = F.coalesce("status", F.lit("")) != "error"
-    totals = results.agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).select(
-        F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"), F.concat(F.lit("processed "), "n", F.lit(", successful "), "ok", F.lit(", errors "), F.col("n") - F.col("ok")).alias("line")
-    )
-    good = results.where(ok)
-    whole = good.agg(F.count("*").alias("total"))
-    classes = good.groupBy("primary_class").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")).join(F.broadcast(whole))
-    classes = classes.select(F.lit(1).alias("part"), "row_id", F.concat("primary_class", F.lit(": "), "n", F.lit(" ("), F.round(100 * F.col("n") / F.col("total"), 1), F.lit("%)")).alias("line"))
-    title, confidence = F.coalesce("title", F.lit("N/A")), F.coalesce("confidence", F.lit("N/A"))
-    items = results.select(
-        F.lit(2).alias("part"), "row_id",
-        F.concat(title, F.lit(": "), "primary_class", F.lit(", confidence "), confidence, F.when(F.col("is_hybrid"), ", hybrid").otherwise(""), F.coalesce(F.concat(F.lit(", "), "error"), F.lit(""))).alias("line"),
+def write_charts(results: DataFrame, classes: list[str], path: str) -> None:
+    """The tables behind a dashboard, each a folder of JSON Lines."""
+    for name, table in reports.charts(results, classes).items():
+        write_json(table, f"{path}/{name}")
+
+
+def report(results: DataFrame, model: str = "", when: datetime | None = None) -> DataFrame:
+    """Lines (part, row_id, place, line) of the report: totals, classes with their share, a block an item."""
+    spark, d = results.sparkSession, Spark()
+    sql = lambda q: spark.sql(q, r=results)
+    f = lambda x, n: F.format_string(f"%.{n}f", x)
+    totals = sql(reports.run_totals("{r}")).select(
+        F.explode(F.array(
+            F.lit(f"Date: {when:%Y-%m-%d %H:%M:%S}" if when else None), F.lit(f"Model: {model}" if model else None),
+            F.concat(F.lit("processed "), "processed", F.lit(", successful "), "successful", F.lit(", errors "), "errors"),
+            F.concat(F.lit("patterns "), "meta_metaphors", F.coalesce(F.concat(F.lit(" ("), f(F.col("meta_percent"), 1), F.lit("%)")), F.lit(""))),
+        )).alias("line"),
     )
-    return totals.unionByName(classes).unionByName(items)
+    totals = totals.where("line is not null").select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"), F.lit("").alias("place"), "line")
+    classes = sql(reports.class_distribution("{r}")).select(F.lit(1).alias("part"), F.col("position").cast("long").alias("row_id"), F.lit("").alias("place"), F.concat("primary_class", F.lit(": "), "n", F.lit(" ("), f(F.col("percent"), 1), F.lit("%)")).alias("line"))
+    head = F.concat("title", F.lit(": "), "primary_class", F.lit(", confidence "), "confidence", F.coalesce(F.concat(F.lit(", hybrid, secondary class "), "secondary_class"), F.lit("")))
+    meta = F.concat(F.lit("  pattern: "), "meta_semantic_field", F.lit(", "), "meta_transformation")
+    items = sql(reports.details(d, "{r}")).select("row_id", F.posexplode(F.array(head, meta)).alias("k", "line")).where("line is not null")
+    items = items.select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("a"), "k").alias("place"), "line")
+    scores = sql(reports.detail_scores(d, "{r}")).select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("b"), "theory").alias("place"), F.concat(F.lit("  "), "theory", F.lit(": "), f(F.col("score"), 2)).alias("line"))
+    piece = F.concat(F.lit("  - "), "class", F.lit(", "), "metaphor_level", F.lit(", "), "metaphor_type", F.lit(", "), f(F.col("weight"), 2), F.lit(": "), "span", F.lit(" / "), "reasoning")
+    pieces = sql(reports.detail_evidence(d, "{r}")).select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("c"), F.lpad(F.col("position").cast("string"), 3, "0")).alias("place"), piece.alias("line"))
+    errors = results.where("status = 'error'").select(F.lit(3).alias("part"), "row_id", F.lit("").alias("place"), F.concat(F.coalesce("title", F.lit("N/A")), F.lit(": "), F.coalesce("error", F.lit("error"))).alias("line"))
+    return totals.unionByName(classes).unionByName(items).unionByName(scores).unionByName(pieces).unionByName(errors)
 
 
-def write_report(results: DataFrame, path: str) -> None:
+def write_report(results: DataFrame, path: str, model: str = "", when: datetime | None = None) -> None:
     """The report as text files in order."""
-    report(results).orderBy("part", "row_id").select("line").write.text(path)
+    report(results, model, when).orderBy("part", "row_id", "place").select("line").write.text(path)
+
+
+def save(rows: DataFrame, results: DataFrame, classes: list[str], base: str, when: datetime, model: str = "", workbook: bool = False) -> str:
+    """All outputs of a run in a folder of its own; returns the folder."""
+    path = run_directory(base, when)
+    write_json(results, f"{path}/results")
+    write_csv(rows, results, f"{path}/data")
+    write_report(results, f"{path}/report", model, when)
+    write_charts(results, classes, f"{path}/charts")
+    if workbook:
+        write_xlsx(attached(rows, results), f"{path}/data.xlsx")
+    log.info("results of %s in %s", model or "the run", path)
+    return path
