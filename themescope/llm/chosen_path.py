@@ -14,7 +14,7 @@ most one candidate edge a member, and a bucket's members never meet in one task
 Candidate edges form components, by star contraction. Inside each, every two nodes whose sizes allow a link are
 compared exactly, on their whole shingle sets: components of up to BLOCK nodes in one task, larger ones in pairs of
 blocks, whose tasks return numbers of links and a spanning forest of them. So a pair that no path found is still found
-through a third text. Buckets, hubs, classes and copies that many rows share are joined without a shuffle.
+through a third text. Pivots of large buckets, hubs, classes and copies that many rows share are joined without a shuffle.
 
 Results: for each document the smallest doc_id of its class (texts connected by links), the smallest doc_id with an
 equal text, the number of rows with an equal text, and the number of different texts linked to it.
@@ -217,14 +217,13 @@ def _compare_pivot(rows: DataFrame, total: int) -> DataFrame:
 def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], int, DataFrame | None]:
     """Candidate edges (u, v) of some runs, the deepest level at which a bucket was compared, and the nodes of buckets beyond ``reach``."""
     sigs = nodes.select("copy", "sig")
-    first = STEP if reach == DEPTH else DEPTH  # nodes of deep buckets first part where most of those are left
-    # a level holds at most two children of each row
-    level, depth, total = stored(_first_paths(nodes, runs, first), "paths"), first, nodes.count() * len(runs) << first
+    first = STEP if reach == DEPTH else DEPTH + STEP  # nodes of deep buckets first part beyond DEPTH
+    level, depth = stored(_first_paths(nodes, runs, first), "paths"), first
     edges: list[DataFrame] = []
     deep = None
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = join_counted(level, sizes, "key", "size", total)
+        rows = level.join(sizes, "key")
         rows = stored(rows if depth > first else rows.join(sigs, "copy"), "buckets")
         if depth > reach and deep is None:
             deep = rows.select("copy").distinct()  # deeper buckets hold no others
@@ -238,9 +237,9 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
         # a bucket whose members are all like the pivot ends here; others go on without the rows that have no pair over
         # GATE with one that is unlike it: shares differ by less than what the two don't have in common
-        unlike = seen.groupBy("key").agg(F.max(F.when(F.col("share") < gate, F.col("share"))).alias("nearest"), F.count(F.lit(1)).alias("size")).where("nearest is not null")
-        on = join_counted(seen, unlike, "key", "size", total).where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
-        level, depth, total = stored(_next_paths(on), "paths"), depth + STEP, total << STEP
+        unlike = seen.groupBy("key").agg(F.max(F.when(F.col("share") < gate, F.col("share"))).alias("nearest")).where("nearest is not null")
+        on = seen.join(unlike, "key").where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
+        level, depth = stored(_next_paths(on), "paths"), depth + STEP
 
 
 def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
