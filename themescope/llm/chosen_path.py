@@ -198,20 +198,20 @@ def _compare_small(rows: DataFrame) -> DataFrame:
     return grouped.select("m").distinct().mapInArrow(run, "u binary, v binary")  # runs find the same groups again
 
 
-def _compare_pivot(rows: DataFrame, total: int) -> DataFrame:
-    """Rows of large buckets with the pivot of each, and the share of coordinates they have in common.
+def _pivot() -> Column:
+    """The member that comes first in an order by chance, the same for all buckets: in those of one group of copies it
+    is mostly the same one, and their edges fall together."""
+    return F.min(F.struct(F.xxhash64("copy").alias("chance"), "copy", "sig")).alias("p")
 
-    The pivot is the member that comes first in an order by chance, the same for all buckets: those of one group of
-    copies mostly have the same pivot, and their edges fall together.
-    """
-    pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("copy").alias("chance"), "copy", "sig")).alias("p"), F.count(F.lit(1)).alias("size"))
+
+def _shares(rows: DataFrame) -> DataFrame:
+    """Rows (key, copy, sig, p) of large buckets with the share of coordinates they have in common with the pivot p."""
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array((_sigs(a) == _sigs(b)).mean(1))
 
-    joined = join_counted(rows, pivots.select("key", "size", F.col("p.copy").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "key", "size", total)
-    return joined.select("key", "copy", "sig", "pivot", alike("sig", "pivot_sig").alias("share"))
+    return rows.select("key", "copy", "sig", F.col("p.copy").alias("pivot"), alike("sig", "p.sig").alias("share"))
 
 
 def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], int, DataFrame | None]:
@@ -222,23 +222,27 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
     edges: list[DataFrame] = []
     deep = None
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
-        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = level.join(sizes, "key")
-        rows = stored(rows if depth > first else rows.join(sigs, "copy"), "buckets")
+        size = F.count(F.lit(1)).alias("size")
+        if depth == first:  # where buckets are largest, and rows without signatures
+            rows = stored(level.join(level.groupBy("key").agg(size).where("size > 1"), "key").join(sigs, "copy"), "buckets")
+        else:
+            rows = stored(level.join(level.groupBy("key").agg(size, _pivot()).where("size > 1"), "key"), "buckets")
         if depth > reach and deep is None:
             deep = rows.select("copy").distinct()  # deeper buckets hold no others
-        edges.append(stored(_compare_small(rows.where(F.col("size") <= SMALL)), "small"))
+        edges.append(_compare_small(rows.where(F.col("size") <= SMALL)))
         large = rows.where(F.col("size") > SMALL)
         total = large.count()
         if not total:
             return edges, depth, deep
-        seen = stored(_compare_pivot(large, total), "pivots")
+        if depth == first:
+            large = join_counted(large, large.groupBy("key").agg(_pivot(), size), "key", "size", total)
+        seen = stored(_shares(large), "pivots")
         gate = GATE if depth <= DEPTH == reach else LOOSE
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
         # a bucket whose members are all like the pivot ends here; others go on without the rows that have no pair over
         # GATE with one that is unlike it: shares differ by less than what the two don't have in common
         unlike = seen.groupBy("key").agg(F.max(F.when(F.col("share") < gate, F.col("share"))).alias("nearest")).where("nearest is not null")
-        on = seen.join(unlike, "key").where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
+        on = seen.where(F.col("share") < gate + 1 - GATE).join(unlike, "key").where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
         level, depth = stored(_next_paths(on), "paths"), depth + STEP
 
 
