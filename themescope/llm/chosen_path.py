@@ -40,7 +40,7 @@ from .common import WordHashes, join_counted, mix64, shingles, spread, stored, t
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
 #: Members of a bucket compared by brute force, levels split before buckets are counted, levels up to which the first runs reach the target recall and beyond which candidates are chosen loosely.
-SMALL, STEP, DEPTH, RECALL = 96, 2, 4, 0.99
+SMALL, STEP, DEPTH, RECALL = 256, 2, 4, 0.99
 #: Share of equal coordinates from which a pair is a candidate: 4 standard errors below the threshold.
 GATE = 0.6
 #: GATE beyond DEPTH and in the further runs: what shares a large bucket there becomes a candidate sooner; the exact comparison decides.
