@@ -47,6 +47,8 @@ GATE = 0.6
 LOOSE = 0.4
 #: Nodes of a component that meet in one task; columns of its incidence matrix at a time.
 BLOCK, COLUMNS = 256, 8192
+#: Edges that a task reduces to stars at a time.
+CHUNK = 1 << 17
 #: Binary logarithm of the size of the bit map that tells which texts are wanted again.
 BITS = 24
 
@@ -262,21 +264,59 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
     return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, of the same components, fewer: of every CHUNK edges of a task only stars around the least nodes."""
+
+    def stars(chunk: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        above: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        for u, v in chunk:
+            u, v = top(u), top(v)
+            above[max(u, v)] = min(u, v)
+        found = [(x, top(x)) for x in list(above)]
+        found = [(x, y) for x, y in found if x != y]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: list[tuple[bytes, bytes]] = []
+        for b in batches:
+            chunk += zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)
+            if len(chunk) >= CHUNK:
+                yield stars(chunk)
+                chunk = []
+        yield stars(chunk)
+
+    return edges.select("u", "v").mapInArrow(run, "u binary, v binary")
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = e.distinct().select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("hub"))
+    ends = ends.unionAll(e.select("v").distinct().select(F.col("v").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("hub")))
+    return ends.groupBy("node").agg(F.sum("low").alias("low"), F.sum("hub").alias("hub")).where("low > 1 or (low = 1 and hub > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, least): each node of the edges (u, v) and the least of its component, by alternating large and small stars."""
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-    total, before = 2 * e.count(), None
-    while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("m", "u"))
-        e = join_counted(both, low, "u", "degree", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        small = join_counted(e, low, "u", "degree", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    """(node, least): each node of the edges (u, v) and the least of its component, by alternating large and small stars.
+
+    Tables of least neighbours are stored, so that each star is a plan of its own.
+    """
+    e = stored(_contracted(edges), "pairs")
+    low = lambda rows: rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    while not _are_stars(e):
+        total = 2 * e.count()
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = stored(low(e.unionAll(turned)).withColumn("m", F.least("m", "u")), "large")
+        e = stored(join_counted(turned, least, "u", "degree", total).select(F.col("v").alias("u"), F.col("m").alias("v")), "large_stars")  # v > u >= m
+        least = stored(low(e), "small")
+        small = join_counted(e, least, "u", "degree", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+    e = e.distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("least")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
 
 
