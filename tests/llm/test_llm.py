@@ -173,6 +173,34 @@ def test_pairs_inside_a_large_group_that_shares_passages(spark):
     assert sum(least(copies[a]) == least(copies[b]) for a, b in true) >= 0.99 * len(true)
 
 
+def test_components_match_a_plain_search(spark):
+    rng = random.Random(12)
+    names = [hashlib.md5(str(k).encode()).digest() for k in range(3000)]
+    path = list(itertools.pairwise(names[:200]))
+    star = [(max(names[200:900]), n) for n in names[200:900]]  # the hub is the last of its neighbours, and one of itself
+    bridge = [(names[10], names[300])]
+    sparse = [tuple(rng.sample(names[900:], 2)) for _ in range(1500)]
+    pairs = path + star + bridge + sparse + sparse[:50]
+    parent = {n: n for n in names}
+
+    def least(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for a, b in pairs:
+        a, b = sorted((least(a), least(b)))
+        parent[b] = a
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "u binary, v binary").repartition(8)
+    got = chosen_path.components(edges).collect()
+    want = {n: least(n) for n in names}
+    alone = {n for n in names if list(want.values()).count(want[n]) == 1}
+    assert {bytes(r.node): bytes(r.least) for r in got} == {n: c for n, c in want.items() if n not in alone}
+    assert len(got) == len(names) - len(alone)
+    assert chosen_path.components(edges.limit(0)).count() == 0
+
+
 def test_join_refuses_a_smaller_threshold():
     with pytest.raises(ValueError):
         chosen_path.join(None, 0.6)
