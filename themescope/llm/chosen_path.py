@@ -207,13 +207,13 @@ def _pivot() -> Column:
 
 
 def _shares(rows: DataFrame) -> DataFrame:
-    """Rows (key, copy, sig, p) of large buckets with the share of coordinates they have in common with the pivot p."""
+    """Rows (key, copy, sig, size, p) of large buckets with the share of coordinates they have in common with the pivot p."""
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array((_sigs(a) == _sigs(b)).mean(1))
 
-    return rows.select("key", "copy", "sig", F.col("p.copy").alias("pivot"), alike("sig", "p.sig").alias("share"))
+    return rows.select("key", "copy", "sig", "size", F.col("p.copy").alias("pivot"), alike("sig", "p.sig").alias("share"))
 
 
 def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], int, DataFrame | None]:
@@ -225,10 +225,9 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
     deep = None
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         size = F.count(F.lit(1)).alias("size")
-        if depth == first:  # where buckets are largest, and rows without signatures
-            rows = stored(level.join(level.groupBy("key").agg(size).where("size > 1"), "key").join(sigs, "copy"), "buckets")
-        else:
-            rows = stored(level.join(level.groupBy("key").agg(size, _pivot()).where("size > 1"), "key"), "buckets")
+        keyed = level.groupBy("key").agg(*([size] if depth == first else [size, _pivot()])).where("size > 1")
+        rows = join_counted(level, stored(keyed, "sizes"), "key", "size", level.count())
+        rows = stored(rows.join(sigs, "copy") if depth == first else rows, "buckets")
         if depth > reach and deep is None:
             deep = rows.select("copy").distinct()  # deeper buckets hold no others
         edges.append(_compare_small(rows.where(F.col("size") <= SMALL)))
@@ -243,8 +242,8 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
         edges.append(seen.where((F.col("share") >= gate) & (F.col("copy") != F.col("pivot"))).select(F.col("copy").alias("u"), F.col("pivot").alias("v")))
         # a bucket whose members are all like the pivot ends here; others go on without the rows that have no pair over
         # GATE with one that is unlike it: shares differ by less than what the two don't have in common
-        unlike = seen.groupBy("key").agg(F.max(F.when(F.col("share") < gate, F.col("share"))).alias("nearest")).where("nearest is not null")
-        on = seen.where(F.col("share") < gate + 1 - GATE).join(unlike, "key").where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
+        unlike = seen.groupBy("key").agg(F.max(F.when(F.col("share") < gate, F.col("share"))).alias("nearest"), F.max("size").alias("size")).where("nearest is not null")
+        on = join_counted(seen.where(F.col("share") < gate + 1 - GATE), unlike, "key", "size", total).where(F.col("share") <= F.col("nearest") + (1 - GATE) + 1e-9)
         level, depth = stored(_next_paths(on), "paths"), depth + STEP
 
 
