@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bit_sliced, bpe, chosen_path, filter_audit, fingerprints, hidden_markov, license_scan, mixing, quality_model, quality_rules, toxicity
+from . import archives, bit_sliced, bpe, chosen_path, exact_index, filter_audit, fingerprints, hidden_markov, license_scan, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_hidden_markov": hidden_markov.op9_hidden_markov,
     "op10_warc": archives.op10_warc,
+    "op11_exact_index": exact_index.op11_exact_index,
     "op12_bit_sliced_search": bit_sliced.op12_bit_sliced_search,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
-ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL, "op10_warc": archives.OP10_SQL, "op12_bit_sliced_search": bit_sliced.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
+ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL, "op10_warc": archives.OP10_SQL, "op11_exact_index": exact_index.OP11_SQL, "op12_bit_sliced_search": bit_sliced.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
