@@ -32,6 +32,8 @@ from .common import ship, spread, stored, table
 
 #: Keys of a bucket at most.
 CAP = 32
+#: Bits that a directory looks at, at most: keys that share more of them stay in one bucket, whatever their number.
+MOST_DEPTH = 16
 #: Bytes of text in a range, about.
 RANGE_BYTES = 32 << 20
 #: Keys that are salted at most, and rows of a key from which on.
@@ -102,7 +104,7 @@ class Directory:
                         return e
                 chain.append(Entry(key, data, len(chain)))
                 return chain[-1]
-            if len(bucket.chains) < self.cap:
+            if len(bucket.chains) < self.cap or bucket.depth == MOST_DEPTH:
                 bucket.chains[key] = [Entry(key, data, 0)]
                 return bucket.chains[key][0]
             self.split(self.place(key))
