@@ -129,27 +129,47 @@ def weight(level_: str = "level", type_: str = "type", context: str = "score") -
 FIELDS = ("theory", "theory_ord", "score", "semantic_field", "level", "span")
 
 
-def _scored(docs: DataFrame, o: Ontology) -> DataFrame:
-    """Fields with ``ontological``, whether the text has a marker of that kind; the text itself ends with its hits."""
+def _scored(docs: DataFrame, o: Ontology, as_list: bool) -> DataFrame:
+    """(doc_id, ontological, and fields or f): whether the text has a marker of that kind; the themes that score above 0, as
+    a list or a row each. The text itself ends with its hits.
+
+    The list of all themes is no column of its own: the optimizer would take it apart and make the hits once a theme.
+    """
     hits = Hits(o)
     rows = dealt(docs.select("doc_id", "text")).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text_lc"))
     rows = rows.select("doc_id", *[F.expr(e).alias(name) for name, e in hits.columns().items()])
-    found = [
-        F.expr(f"struct({quoted(t)} AS theory, {k} AS theory_ord, {score(o, t, hits)} AS score, {label(o, t, False, hits)} AS semantic_field, {level(o, t, hits)} AS level, {span(o, t, hits)} AS span)")
-        for k, t in enumerate(o.themes)
-    ]
-    rows = rows.select("doc_id", F.expr(any_of(hits, o.marker("ontological"))).alias("ontological"), F.explode(F.array(*found)).alias("f"))
-    return rows.select("doc_id", "ontological", "f.*").where("score > 0")
+    found = F.array(
+        *[
+            F.expr(f"struct({quoted(t)} AS theory, {k} AS theory_ord, {score(o, t, hits)} AS score, {label(o, t, False, hits)} AS semantic_field, {level(o, t, hits)} AS level, {span(o, t, hits)} AS span)")
+            for k, t in enumerate(o.themes)
+        ]
+    )
+    themes = F.filter(found, lambda f: f["score"] > 0).alias("fields") if as_list else F.explode(found).alias("f")
+    return rows.select("doc_id", F.expr(any_of(hits, o.marker("ontological"))).alias("ontological"), themes)
+
+
+def _exploded(docs: DataFrame, o: Ontology) -> DataFrame:
+    return _scored(docs, o, False).select("doc_id", "ontological", "f.*").where("score > 0")
+
+
+def analysed(docs: DataFrame, o: Ontology = SHIPPED) -> DataFrame:
+    """(doc_id, fields, evidence): one row a document with the lists of both, in the order of the themes; one scan, no shuffle."""
+    rows = _scored(docs, o, True)
+    strong = f"filter(fields, f -> f.score >= {real(LEAST_SCORE)} AND NOT (f.level = 'nested_metaphor' AND f.span = ''))"
+    same = ", ".join(f"f.{c} AS {c}" for c in FIELDS)
+    typed = f"transform({strong}, f -> struct({same}, {type_of(o, 'ontological', 'f.span')} AS type))"
+    weighed = f"transform({typed}, f -> struct({same}, f.type AS type, {weight('f.level', 'f.type', 'f.score')} AS weight))"
+    return rows.select("doc_id", "fields", F.expr(weighed).alias("evidence"))
 
 
 def fields(docs: DataFrame, o: Ontology = SHIPPED) -> DataFrame:
     """A row for each document and theme that scores above 0: (doc_id, theory, theory_ord, score, semantic_field, level, span)."""
-    return _scored(docs, o).select("doc_id", *FIELDS)
+    return _exploded(docs, o).select("doc_id", *FIELDS)
 
 
 def evidence(docs: DataFrame, o: Ontology = SHIPPED) -> DataFrame:
-    """At most one row for each document and theme, from LEAST_SCORE on, with type, weight and rank."""
-    rows = _scored(docs, o).where(F.col("score") >= LEAST_SCORE).where("NOT (level = 'nested_metaphor' AND span = '')")
+    """At most one row for each document and theme, from LEAST_SCORE on, with type and weight."""
+    rows = _exploded(docs, o).where(F.col("score") >= LEAST_SCORE).where("NOT (level = 'nested_metaphor' AND span = '')")
     rows = rows.withColumn("type", F.expr(type_of(o, "ontological"))).withColumn("weight", F.expr(weight()))
     return rows.select("doc_id", *FIELDS, "type", "weight")
 

@@ -36,8 +36,34 @@ def network_sql(d: Duck, source: str, rank: str) -> str:
 
 def clusters(evidence: DataFrame, rank: str = "theory_ord") -> DataFrame:
     """One row a document and theme; semantic_fields: the different ones, as a sorted list. A null theme is a cluster too."""
-    rows = evidence.sparkSession.sql(f"SELECT * FROM {clusters_sql(Spark(), '{evidence}', rank)}", evidence=evidence)
-    return rows.withColumn("semantic_fields", F.split("semantic_fields", "; "))
+    count = lambda c, v: F.count_if(F.col(c) == v)
+    return evidence.groupBy("doc_id", "theory").agg(
+        F.count(F.lit(1)).alias("total_evidence"), count("level", "meta_metaphor").alias("meta_metaphor_count"), count("level", "scientific_metaphor").alias("scientific_metaphor_count"),
+        count("type", "ontological").alias("ontological_count"), F.round(F.sum("weight"), 9).alias("total_weight"), F.array_sort(F.collect_set("semantic_field")).alias("semantic_fields"), F.min(rank).alias("first_rank"),
+    )
+
+
+def in_row(pieces: str) -> str:
+    """The network of a list of evidence in the row, as a struct of the columns that ``network()`` returns.
+
+    ``pieces``: an expression for an array of structs with theory, rank, level and weight; an empty one gives false, null and ''.
+    """
+    own = "filter(pieces, p -> p.theory <=> t)"
+    some = lambda level: f"exists({own}, p -> coalesce(p.level = '{level}', FALSE))"
+    cluster = (
+        f"struct(t AS theory, round(aggregate({own}, {real(0.0)}, (a, p) -> a + p.weight), 9) AS weight, array_min(transform({own}, p -> p.rank)) AS rank, "
+        f"({some('meta_metaphor')} AND {some('scientific_metaphor')}) AS pattern)"
+    )
+    by_rank = "array_sort(clusters, (a, b) -> CASE WHEN a.rank < b.rank THEN -1 WHEN a.rank > b.rank THEN 1 ELSE 0 END)"
+    first = "aggregate(slice(ordered, 2, size(ordered)), ordered[0], (a, c) -> CASE WHEN c.weight > a.weight THEN c ELSE a END)"
+    heavy = f"transform(filter(ordered, c -> c.theory IS NOT NULL AND c.weight >= {real(HYBRID_WEIGHT)}), c -> c.theory)"
+    let = lambda name, value, then: f"element_at(transform(array({value}), {name} -> {then}), 1)"
+    row = (
+        f"struct(exists(ordered, c -> c.pattern) AS meta_metaphor_detected, CASE WHEN size(ordered) > 0 THEN {first}.theory END AS dominant_pattern, "
+        f"CASE WHEN size({heavy}) > 1 THEN array_join({heavy}, ', ') ELSE '' END AS hybrid_theories)"
+    )
+    clusters_ = f"transform(array_distinct(transform(pieces, p -> p.theory)), t -> {cluster})"
+    return let("pieces", pieces, let("clusters", clusters_, let("ordered", by_rank, row)))
 
 
 def network(evidence: DataFrame, rank: str = "theory_ord") -> DataFrame:
@@ -64,3 +90,15 @@ def pre_analysis_sql(d: Duck, documents: str, evidence: str, fields: int = 5, pr
 def pre_analysis(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """What a prompt is told beforehand of every document of ``docs`` (doc_id)."""
     return docs.sparkSession.sql(pre_analysis_sql(Spark(), "{docs}", "{evidence}"), docs=docs, evidence=evidence)
+
+
+def pre_analysis_in_rows(analysed: DataFrame, fields: int = 5, previews: int = 3) -> DataFrame:
+    """``pre_analysis()`` from rows that hold their evidence (``lexical.analysed()``): a projection."""
+    order = "array_sort(evidence, (a, b) -> CASE WHEN a.score > b.score THEN -1 WHEN a.score < b.score THEN 1 WHEN a.theory_ord < b.theory_ord THEN -1 ELSE 1 END)"
+    network_ = in_row("transform(evidence, e -> struct(e.theory AS theory, e.theory_ord AS rank, e.level AS level, e.weight AS weight))")
+    rows = analysed.select("doc_id", F.expr(order).alias("e"), F.expr(network_).alias("n"))
+    piece = "concat(x.theory, ' ', x.level, ' ', x.type, ' ', substring(x.span, 1, 100))"
+    return rows.select(
+        "doc_id", F.size("e").cast("long").alias("detected_metaphors"), F.col("n.meta_metaphor_detected").alias("meta_metaphor_present"), F.col("n.dominant_pattern").alias("dominant_theory"),
+        F.expr(f"array_join(transform(slice(e, 1, {fields}), x -> x.semantic_field), ', ')").alias("semantic_fields"), F.expr(f"array_join(transform(slice(e, 1, {previews}), x -> {piece}), ', ')").alias("evidence_preview"),
+    )

@@ -91,13 +91,15 @@ def avg_length(results: str) -> str:
 
 
 def length_boxplot(d: Duck, results: str) -> str:
-    """Quartiles, the outermost lengths within 1.5 times their distance, and how many lie beyond."""
-    rows = f"(SELECT primary_class, CAST(description_length AS DOUBLE) AS x FROM {results} WHERE {OK} AND description_length IS NOT NULL)"
-    box = f"(SELECT primary_class AS c, {d.quantile('x', 0.25)} AS q1, {d.quantile('x', 0.5)} AS median, {d.quantile('x', 0.75)} AS q3 FROM {rows} GROUP BY primary_class)"
+    """Quartiles, the outermost lengths within 1.5 times their distance, and how many lie beyond.
+
+    Results are reduced to counts of equal lengths first, which both the quartiles and the whiskers read.
+    """
+    counted = f"(SELECT primary_class, CAST(description_length AS DOUBLE) AS x, count(*) AS n FROM {results} WHERE {OK} AND description_length IS NOT NULL GROUP BY primary_class, CAST(description_length AS DOUBLE))"
     inside = f"x >= q1 - {real(1.5)} * (q3 - q1) AND x <= q3 + {real(1.5)} * (q3 - q1)"
     return (
         f"SELECT primary_class, min(q1) AS q1, min(median) AS median, min(q3) AS q3, min(CASE WHEN {inside} THEN x END) AS whisker_low, max(CASE WHEN {inside} THEN x END) AS whisker_high, "
-        f"CAST(sum(CASE WHEN {inside} THEN 0 ELSE 1 END) AS BIGINT) AS outliers FROM {rows} r JOIN {box} b ON r.primary_class = b.c GROUP BY primary_class"
+        f"CAST(sum(CASE WHEN {inside} THEN 0 ELSE n END) AS BIGINT) AS outliers FROM {d.with_quantiles('x', 'n', (0.25, 0.5, 0.75), ('q1', 'median', 'q3'), counted, 'primary_class')} GROUP BY primary_class"
     )
 
 

@@ -6,7 +6,7 @@ whose body, without its fence, is one JSON object; anything else leads to the ne
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from themescope.operators.lexical import real
 from themescope.plans.dialects import Duck, Spark
@@ -17,17 +17,18 @@ def stripped_sql(d: Duck, source: str) -> str:
     return f"(SELECT *, {d.strip(bare)} AS clean FROM {source})"
 
 
-def good_sql(d: Duck) -> str:
-    return f"exception IS NULL AND http_status = 200 AND {d.valid('clean')}"
+def parsed_sql(d: Duck, source: str) -> str:
+    """Attempts with ``parsed``: the answer of a good one, null for any other."""
+    return f"(SELECT *, CASE WHEN exception IS NULL AND http_status = 200 THEN {d.parsed('clean')} END AS parsed FROM {stripped_sql(d, source)})"
 
 
 def resolved_sql(d: Duck, source: str) -> str:
-    """The first good answer of each row, else the error of its last attempt."""
-    good = good_sql(d)
+    """The first good answer of each row, as text and parsed, else the error of its last attempt."""
+    good = "parsed IS NOT NULL"
     return (
-        f"(SELECT row_id, min(attempt) FILTER (WHERE {good}) AS used, min_by(clean, attempt) FILTER (WHERE {good}) AS answer, "
+        f"(SELECT row_id, min(attempt) FILTER (WHERE {good}) AS used, min_by(clean, attempt) FILTER (WHERE {good}) AS body, min_by(parsed, attempt) FILTER (WHERE {good}) AS answer, "
         "max_by(CASE WHEN exception IS NOT NULL THEN exception WHEN http_status = 200 THEN 'invalid JSON' ELSE 'Max retries exceeded' END, attempt) AS last_error "
-        f"FROM {stripped_sql(d, source)} GROUP BY row_id)"
+        f"FROM {parsed_sql(d, source)} GROUP BY row_id)"
     )
 
 
@@ -37,14 +38,21 @@ def backoff_sql(d: Duck, source: str) -> str:
         "CASE WHEN used IS NOT NULL AND attempt >= used THEN 0 WHEN exception IS NULL AND http_status = 429 THEN power(2, attempt) "
         "WHEN exception IS NULL AND http_status <> 200 THEN 0 WHEN attempt < last THEN power(2, attempt) ELSE 0 END"
     )
-    marked = f"SELECT *, max(attempt) OVER (PARTITION BY row_id) AS last, min(CASE WHEN {good_sql(d)} THEN attempt END) OVER (PARTITION BY row_id) AS used FROM {stripped_sql(d, source)}"
+    judged = f"SELECT row_id, attempt, http_status, exception, parsed IS NOT NULL AS good FROM {parsed_sql(d, source)}"
+    marked = f"SELECT *, max(attempt) OVER (PARTITION BY row_id) AS last, min(CASE WHEN good THEN attempt END) OVER (PARTITION BY row_id) AS used FROM ({judged})"
     return f"SELECT row_id, CAST(sum({slept}) AS DOUBLE) AS seconds FROM ({marked}) GROUP BY row_id"
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """Has the parser take the last of equal keys, as JSON parsers do, instead of refusing the body."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def resolve(attempts: DataFrame) -> DataFrame:
     """(row_id, attempt_used, answer, error): ``answer`` is the JSON text, ``error`` is null where there is one."""
-    sql = f"SELECT row_id, used AS attempt_used, answer, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(Spark(), '{attempts}')}"
-    return attempts.sparkSession.sql(sql, attempts=attempts)
+    sql = f"SELECT row_id, used AS attempt_used, body AS answer, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(Spark(), '{attempts}')}"
+    return session(attempts.sparkSession).sql(sql, attempts=attempts)
 
 
 #: Fields of an answer that become columns of a result.
@@ -57,11 +65,11 @@ def results_sql(d: Duck, rows: str, attempts: str) -> str:
 
     A blank description is skipped whatever its attempts say; a row without attempts has run out of them.
     """
-    blank = f"coalesce({d.strip('i.combined_description')}, '') = ''"
-    used = f"CASE WHEN NOT ({blank}) THEN r.answer END"
+    # what is needed of a description is made before the join: texts don't pass the shuffle
+    sized = f"SELECT row_id, title, {d.blank('combined_description')} AS blank, CAST(length(combined_description) AS BIGINT) AS n FROM {rows}"
     joined = (
-        f"SELECT i.row_id, i.title, {blank} AS blank, {used} AS answer, r.last_error, CASE WHEN NOT ({blank}) THEN CAST(length(i.combined_description) AS BIGINT) END AS description_length "
-        f"FROM {rows} i LEFT JOIN {resolved_sql(d, attempts)} r ON i.row_id = r.row_id"
+        "SELECT i.row_id, i.title, i.blank, CASE WHEN NOT i.blank THEN r.answer END AS answer, r.last_error, CASE WHEN NOT i.blank THEN i.n END AS description_length "
+        f"FROM ({sized}) i LEFT JOIN {resolved_sql(d, attempts)} r ON i.row_id = r.row_id"
     )
     flag = lambda path: f"CASE WHEN answer IS NOT NULL THEN coalesce({d.json('answer', path)}, '') = 'true' END"
     columns = [f"{d.json('answer', k)} AS {v}" for k, v in TOP.items() if k != "primary_class"] + [f"{d.json('answer', f'metaphor_analysis.{k}')} AS {v}" for k, v in META.items()]
@@ -74,8 +82,8 @@ def results_sql(d: Duck, rows: str, attempts: str) -> str:
 
 
 def classified(rows: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Results of ``rows`` (row_id, title, combined_description); the answer stays beside the columns made from it."""
-    return rows.sparkSession.sql(f"SELECT * FROM {results_sql(Spark(), '{rows}', '{attempts}')}", rows=rows, attempts=attempts)
+    """Results of ``rows`` (row_id, title, combined_description); the answer stays beside the columns made from it, as a variant."""
+    return session(rows.sparkSession).sql(f"SELECT * FROM {results_sql(Spark(), '{rows}', '{attempts}')}", rows=rows, attempts=attempts)
 
 
 def tagged(results: DataFrame, analysis: DataFrame, key: str = "row_id") -> DataFrame:
@@ -101,4 +109,16 @@ def contract_sql(d: Duck, results: str, texts: str) -> str:
 
 
 def contract(results: DataFrame, texts: DataFrame) -> DataFrame:
-    return results.sparkSession.sql(contract_sql(Spark(), "{results}", "{texts}"), results=results, texts=texts)
+    """The same rules, row by row: scores and evidence are in the row of their answer, so only the texts are joined."""
+    d, half = Spark(), real(0.5)
+    answered = f"SELECT row_id, primary_class, secondary_class, is_hybrid, coalesce({d.score_map('answer')}, map()) AS scores, coalesce({d.pieces('answer')}, array()) AS evidence FROM {{results}} WHERE answer IS NOT NULL"
+    whole = "lower(coalesce(t.text, ''))"
+    return results.sparkSession.sql(
+        f"SELECT r.row_id, (coalesce(array_max(map_values(scores)), 0) >= {half} OR primary_class = 'UND') AS und_rule, "
+        f"(secondary_class IS NULL OR coalesce(scores[secondary_class], 0) >= {half}) AS secondary_rule, "
+        f"(coalesce(is_hybrid, FALSE) = (size(filter(map_values(scores), s -> s >= {half})) >= 2)) AS hybrid_rule, "
+        f"coalesce(forall(map_entries(scores), s -> coalesce(s.value, 0) <= {real(0.3)} OR coalesce(exists(evidence, e -> e.class = s.key), FALSE)), TRUE) AS evidence_rule, "
+        f"forall(evidence, e -> coalesce(contains({whole}, lower(e.span)), FALSE)) AS verbatim_rule "
+        f"FROM ({answered}) r LEFT JOIN {{texts}} t ON r.row_id = t.row_id",
+        results=results, texts=texts,
+    )

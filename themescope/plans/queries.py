@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from themescope.functions.text import TEXT_COLUMNS, text_columns
 from themescope.operators import lexical, reports
 from themescope.operators.index import row_index
-from themescope.operators.network import clusters_sql, network_sql, pre_analysis_sql
-from themescope.operators.responses import backoff_sql, contract_sql, resolved_sql, results_sql, stripped_sql
+from themescope.operators.network import clusters_sql, in_row, network_sql, pre_analysis_in_rows, pre_analysis_sql
+from themescope.operators.responses import backoff_sql, contract, contract_sql, resolved_sql, results_sql, session, stripped_sql
 from themescope.plans import prompts
 from themescope.plans.dialects import Duck, Spark
 from themescope.plans.ontology import PROXY, SHIPPED
@@ -74,8 +75,8 @@ def number(x: str) -> str:
     return f"concat(CAST(CAST(floor({n} / CAST(1000 AS DOUBLE)) AS INT) AS STRING), '.', lpad(CAST({n} % 1000 AS STRING), 3, '0'))"
 
 
-def answers(d: Duck) -> str:
-    """(row_id, body): what a classifier says of each document, from its scores, evidence and network."""
+def answers_sql(d: Duck) -> str:
+    """(row_id, body): what a classifier says of each document, from its scores, evidence and network, by joins."""
     scores = f"(SELECT doc_id, {d.ordered('''concat('"', theory, '": ', ''' + number('score') + ')', 'theory_ord')} AS scores FROM {{fields}} GROUP BY doc_id)"
     piece = "concat('{{\"class\": \"', theory, '\", \"metaphor_level\": \"', level, '\", \"metaphor_type\": \"', type, '\", \"span\": \"', span, '\", \"weight\": ', " + number("weight") + ", ', \"reasoning\": \"', level, ' as ', type, ' of ', semantic_field, '\"}}')"
     pieces = f"(SELECT doc_id, count(*) AS n, min(semantic_field) AS field, {d.ordered(piece, 'theory_ord')} AS evidence FROM {{evidence}} GROUP BY doc_id)"
@@ -90,13 +91,31 @@ def answers(d: Duck) -> str:
     )
 
 
+def answers(docs: DataFrame) -> DataFrame:
+    """The rows of ``answers_sql()``, each made where its document is read."""
+    rows = lexical.analysed(docs, PROXY)
+    many = "flatten(transform(evidence, e -> array(struct(e.theory AS theory, e.theory_ord * 2 AS rank, e.level AS level, e.weight AS weight), struct(e.theory AS theory, e.theory_ord * 2 + 1 AS rank, CASE WHEN doc_id % 2 = 0 THEN 'meta_metaphor' ELSE 'scientific_metaphor' END AS level, e.weight AS weight))))"
+    rows = rows.withColumn("n", F.expr(in_row(many)))
+    scores = "array_join(transform(fields, f -> concat('\"', f.theory, '\": ', " + number("f.score") + ")), ', ')"
+    piece = "concat('{\"class\": \"', e.theory, '\", \"metaphor_level\": \"', e.level, '\", \"metaphor_type\": \"', e.type, '\", \"span\": \"', e.span, '\", \"weight\": ', " + number("e.weight") + ", ', \"reasoning\": \"', e.level, ' as ', e.type, ' of ', e.semantic_field, '\"}')"
+    second = "CASE WHEN split_part(n.hybrid_theories, ', ', 1) = n.dominant_pattern THEN split_part(n.hybrid_theories, ', ', 2) ELSE split_part(n.hybrid_theories, ', ', 1) END"
+    parts = [
+        "'{\"primary_class\": \"'", "coalesce(n.dominant_pattern, 'UND')", "'\"'", "CASE WHEN doc_id % 41 = 0 THEN '' ELSE concat(', \"confidence\": \"', CASE WHEN size(evidence) >= 3 THEN 'high' WHEN size(evidence) = 2 THEN 'medium' ELSE 'low' END, '\"') END",
+        "', \"scores\": {'", scores, "'}, \"evidence\": ['", f"array_join(transform(evidence, e -> {piece}), ', ')", "'], \"secondary_class\": '", f"CASE WHEN n.hybrid_theories <> '' THEN concat('\"', {second}, '\"') ELSE 'null' END",
+        "CASE WHEN doc_id % 43 = 0 THEN '' ELSE concat(', \"is_hybrid\": ', CASE WHEN n.hybrid_theories <> '' THEN 'true' ELSE 'false' END) END",
+        "', \"metaphor_analysis\": {\"meta_metaphor_detected\": '", "CASE WHEN n.meta_metaphor_detected THEN 'true' ELSE 'false' END", "', \"dominant_semantic_field\": \"'", "coalesce(array_min(transform(evidence, e -> e.semantic_field)), '')",
+        "'\", \"artistic_transformation\": \"'", "coalesce(n.dominant_pattern, 'none')", "' as image\"}, \"notes\": \"\"}'",
+    ]
+    return rows.select(F.col("doc_id").alias("row_id"), F.expr(f"concat({', '.join(parts)})").alias("body"))
+
+
 def attempts(d: Duck) -> str:
     """Up to three answers of the classifier for each document: HTTP status, body, exception."""
     bad = "CASE WHEN row_id % 13 = 0 THEN '[1]' WHEN row_id % 17 = 0 THEN concat(body, ' x') WHEN row_id % 18 = 0 THEN concat(body, '] [', body) WHEN row_id % 19 = 0 THEN '' ELSE body END"
     return (
         "(SELECT row_id, a.attempt, CASE WHEN row_id % 23 = 0 THEN 429 WHEN row_id % 6 = 0 AND a.attempt = 0 THEN 429 WHEN row_id % 29 = 0 THEN 500 WHEN row_id % 10 = 0 AND a.attempt < 2 THEN 500 ELSE 200 END AS http_status, "
         f"CASE WHEN row_id % 2 = 0 THEN concat('```json\n', {bad}, '\n```') ELSE {bad} END AS body, CASE WHEN row_id % 31 = 0 THEN 'timeout' END AS exception "
-        f"FROM {answers(d)} CROSS JOIN (VALUES (0), (1), (2)) AS a(attempt))"
+        "FROM {answers} CROSS JOIN (VALUES (0), (1), (2)) AS a(attempt))"
     )
 
 
@@ -177,7 +196,7 @@ QUERIES_SQL: dict[str, Query] = {
     "prompt_section": lambda d: f"SELECT {lexical.quoted(prompts.system_prompt())} AS system_prompt, {lexical.quoted(prompts.section())} AS section",
     "indicator_taxonomy": lambda d: "SELECT indicator, weight FROM (VALUES " + ", ".join(f"('{k}', {lexical.real(w)})" for k, w in prompts.INDICATORS.items()) + ") AS t(indicator, weight)",
     "strip_fence": lambda d: f"SELECT row_id, attempt, clean FROM {stripped_sql(d, attempts(d))}",
-    "parse_classification": lambda d: f"SELECT row_id, attempt, {d.valid('clean')} AS valid, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'primary_class')} END AS primary_class, CASE WHEN {d.valid('clean')} THEN {d.json('clean', 'confidence')} END AS confidence FROM {stripped_sql(d, attempts(d))}",
+    "parse_classification": lambda d: f"SELECT row_id, attempt, parsed IS NOT NULL AS valid, {d.json('parsed', 'primary_class')} AS primary_class, {d.json('parsed', 'confidence')} AS confidence FROM (SELECT *, {d.parsed('clean')} AS parsed FROM {stripped_sql(d, attempts(d))})",
     "retry_resolution": lambda d: f"SELECT row_id, CAST(used AS INT) AS attempt_used, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(d, attempts(d))}",
     "backoff_seconds": lambda d: backoff_sql(d, attempts(d)),
     "classified_results": lambda d: f"SELECT row_id, title, primary_class, confidence, secondary_class, is_hybrid, meta_metaphor_detected, dominant_semantic_field, artistic_transformation, status, error, description_length FROM {results(d)}",
@@ -209,23 +228,25 @@ QUERIES_SQL: dict[str, Query] = {
 _texts = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {lexical.quoted(t)})" for k, t in enumerate(TEXTS)) + ") AS t(doc_id, text))"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def _query(make: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql, given = make(Spark()), {}
-        documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        documents = _documents(session(spark), sf_dir)
         texts = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
-        if "{documents}" in sql:
-            given["documents"] = documents
-        if "{indexed}" in sql:
-            given["indexed"] = row_index(spark.sql(f"SELECT row_id, title FROM {rows_(Spark())}", documents=documents), "row_id")
-        if "{fields}" in sql:
-            given["fields"] = lexical.fields(documents, PROXY)
-        if "{evidence}" in sql:
-            given["evidence"] = lexical.evidence(documents, PROXY)
-        if "{texts}" in sql:
-            given["texts"] = texts
-        if "{shipped}" in sql:
-            given["shipped"] = lexical.evidence(texts, SHIPPED)
+        inputs_ = {
+            "documents": lambda: documents,
+            "indexed": lambda: row_index(spark.sql(f"SELECT row_id, title FROM {rows_(Spark())}", documents=documents), "row_id"),
+            "fields": lambda: lexical.fields(documents, PROXY),
+            "evidence": lambda: lexical.evidence(documents, PROXY),
+            "answers": lambda: answers(documents),
+            "texts": lambda: texts,
+            "shipped": lambda: lexical.evidence(texts, SHIPPED),
+        }
+        given = {name: made() for name, made in inputs_.items() if f"{{{name}}}" in sql}
         return spark.sql(sql, **given)
 
     return run
@@ -233,14 +254,27 @@ def _query(make: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text columns are those that the table has, found when the plan is made."""
-    rows = spark.sql(f"SELECT * FROM {rows_(Spark())}", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = spark.sql(f"SELECT * FROM {rows_(Spark())}", documents=_documents(spark, sf_dir))
     return rows.select("row_id", *text_columns(rows))
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection}
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(lambda d: f"SELECT * FROM {results(d)}")(spark, sf_dir)
+
+
+def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract(_results(spark, sf_dir), _documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text"))
+
+
+def _pre_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pre_analysis_in_rows(lexical.analysed(_documents(spark, sf_dir), PROXY))
+
+
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis}
 
 
 def oracle_sql() -> dict[str, str]:
     indexed = f"(SELECT row_id, title, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM {rows_(Duck()).format(documents='documents')})"
     given = {"documents": "documents", "indexed": indexed, "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "texts": _texts, "shipped": lexical.evidence_sql(_texts, SHIPPED)}
+    given["answers"] = answers_sql(Duck()).format(**given)
     return {name: make(Duck()).format(**given) for name, make in QUERIES_SQL.items()}

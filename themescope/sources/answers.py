@@ -5,6 +5,7 @@ Write the attempts to a table before use: a lost executor would otherwise send i
 
 from __future__ import annotations
 
+import http.client
 import json
 import logging
 import os
@@ -64,7 +65,7 @@ class Service:
                 return answer.status, json.load(answer)["choices"][0]["message"]["content"], None
         except urllib.error.HTTPError as e:
             return e.code, None, None
-        except (OSError, ValueError, LookupError, TypeError) as e:
+        except (OSError, http.client.HTTPException, ValueError, LookupError, TypeError) as e:
             return None, None, f"{type(e).__name__}: {e}"
 
     def ask(self, prompt: str) -> Iterator[tuple[int, int | None, str | None, str | None]]:

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from themescope.operators import reports
 from themescope.plans.dialects import Spark
@@ -45,7 +45,7 @@ def write_json(results: DataFrame, path: str) -> None:
 def write_csv(rows: DataFrame, results: DataFrame, path: str) -> None:
     """The attached tables as CSV; nested columns become JSON."""
     joined = attached(rows, results)
-    nested = {f.name: F.to_json(f.name) for f in joined.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))}
+    nested = {f.name: F.to_json(f.name) for f in joined.schema if isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))}
     joined.withColumns(nested).write.options(header=True, escape='"').csv(path)
 
 

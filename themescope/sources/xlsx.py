@@ -19,7 +19,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StructType, VariantType
 
 #: Rows of a sheet, its header included.
 MOST_ROWS = 1_048_576
@@ -163,7 +163,7 @@ def _cell(column: int, row: int, v: object) -> str:
 
 def write_xlsx(df: DataFrame, path: str, sheet: str = "data") -> None:
     """One workbook at ``path``; nested columns become JSON, all but numbers and flags text. More rows than a sheet holds are an error."""
-    nested = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))}
+    nested = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))}
     plain = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema if f.name not in nested and not isinstance(f.dataType, (NumericType, BooleanType))}
     rows = df.withColumns(nested | plain)
     with tempfile.TemporaryDirectory() as folder:
