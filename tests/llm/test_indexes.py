@@ -199,3 +199,34 @@ def test_masks_are_those_of_the_rules():
     assert filter_audit.own_mask("A" * 3 + "b" * 97) == 1  # 3% exactly is no failure
     assert filter_audit.own_mask("A" * 4 + "b" * 96) == 1 | 4
     assert filter_audit.own_mask("x@y 5%") == 1 | 8
+
+
+# ---- ranges of documents
+
+
+def test_ranges_follow_the_bytes_at_any_size(spark, monkeypatch):
+    """As many ranges as wanted, though the sample was small once; ids that repeat, null ids and long texts in them."""
+    from pyspark.sql import functions as F
+
+    from themescope.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "SAMPLE", 50)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 5, 5, k, -k, k]), "x" * rng.choice((0, 20, 100, 400))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    ids, ties, nulls = fingerprints.ranges(docs, 2000, 4)
+    total = sum(len(t) + 16 for _, t in rows)
+    assert len(ids) + 1 <= -(-total // 2000) and len(ids) + 1 > 0.4 * total / 2000  # half of the bytes are of equal rows, which no cut parts
+    cuts = [(None if k < nulls else int(i), int(t)) for k, (i, t) in enumerate(zip(ids, ties, strict=True))]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert cuts == sorted(cuts, key=key) and len(set(cuts)) == len(cuts)
+    got = docs.select("doc_id", "tie", F.octet_length("text").alias("n"), fingerprints.part_of(spark, (ids, ties, nulls)).alias("part")).collect()
+    sizes, equal = Counter(), Counter()
+    for r in got:
+        assert r.part == sum(key(c) >= key((r.doc_id, r.tie)) for c in cuts)
+        sizes[r.part] += r.n + 16
+        equal[r.part, r.doc_id, r.tie] += r.n + 16
+    for part, size in sizes.items():
+        assert size <= 2 * 2000 + max(v for k, v in equal.items() if k[0] == part)
+    monkeypatch.setattr(fingerprints, "MOST_CUTS", 7)
+    assert len(fingerprints.ranges(docs, 2000, 4)[0]) == 7

@@ -21,14 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, shingles, table, words
+from .common import WordHashes, mix64, shingles, stored, table, words
 
 BINS, BITS = 512, 4
-#: About so many rows tell where to cut ranges of documents, bytes of text in a range at most.
-SAMPLE, PART_BYTES = 20_000, 64 << 20
+#: Bytes of text in a range at most; so many rows tell where to cut, at least and a range.
+PART_BYTES, SAMPLE, PER_CUT = 64 << 20, 20_000, 32
+#: Cuts are sent to all tasks, 16 bytes each; beyond so many (256 TB of text) ranges grow.
+MOST_CUTS = 4_000_000
 _EMPTY = np.uint64(2**64 - 1)
 _LOW = np.uint64((1 << 55) - 1)
 _OWN = mix64(np.arange(1, BINS + 1, dtype=np.uint64))
@@ -107,23 +109,57 @@ def fingerprint(text: Column) -> Column:
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def ranges(rows: DataFrame, part_bytes: int, least: int) -> list[tuple[int | None, int]]:
-    """Cuts (doc_id, tie), ascending, between ranges of about as many bytes each: at least ``least`` ranges, more if they would be over part_bytes.
+def ranges(rows: DataFrame, part_bytes: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cuts between ranges of about as many bytes each, ascending: ids, hashes, and how many of them are of null ids.
 
-    They come from about SAMPLE rows chosen by hash; only the evenness of the ranges depends on them.
+    There are at least ``least`` ranges, more if they would be over part_bytes, MOST_CUTS at most. Cuts come from rows
+    chosen by hash, SAMPLE at least and PER_CUT a range; these are sorted in ranges of their own, and only sums by range
+    and the cuts themselves reach the driver. Only the evenness of the ranges depends on the choice.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    one_in = max(1, n // SAMPLE)
-    sample = rows.select("doc_id", "tie", size.alias("size")).where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(one_in)) == 0).limit(2 * SAMPLE).collect()
-    held = sorted(((r.doc_id is not None, r.doc_id or 0, r.tie), r) for r in sample)
-    wanted, so_far, cuts = max(least, -(-total // part_bytes)), 0, []
-    step = sum(r.size for r in sample) / wanted
-    for _, r in held:
-        so_far += r.size
-        if so_far >= step * (len(cuts) + 1):
-            cuts.append((r.doc_id, r.tie))
-    return list(dict.fromkeys(cuts))[: wanted - 1]
+    wanted = min(MOST_CUTS + 1, max(least, -(-total // part_bytes)))
+    one_in = max(1, n // max(SAMPLE, PER_CUT * wanted))
+    sample = rows.select("doc_id", "tie", size.cast("long").alias("size")).where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(one_in)) == 0)
+    # rows of one id and hash are equal texts: one row of their sizes together
+    sample = sample.groupBy("doc_id", "tie").agg(F.sum("size").alias("size"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie").asc())
+    pieces = stored(sample.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "cuts")
+    sums = sorted((r.piece, r["size"]) for r in pieces.groupBy("piece").agg(F.sum("size").alias("size")).collect())
+    step, before, starts = sum(s for _, s in sums) / wanted, 0, []
+    for piece, held in sums:
+        starts.append((piece, before))
+        before += held
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    start = rows.sparkSession.createDataFrame(starts, "piece int, start long")
+    so_far = F.sum("size").over(Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = pieces.join(F.broadcast(start), "piece").withColumn("upto", so_far + F.col("start"))
+    # a row is a cut if a multiple of the step lies within it
+    cuts = placed.where(F.floor(F.col("upto") / step) > F.floor((F.col("upto") - F.col("size")) / step)).select("doc_id", "tie").toArrow()
+    known = np.array(cuts["doc_id"].is_valid(), bool)
+    ids, ties = cuts["doc_id"].fill_null(0).to_numpy().astype(np.int64), cuts["tie"].to_numpy().astype(np.int64)
+    sort = np.lexsort((ties, ids, known))[: wanted - 1]
+    return ids[sort], ties[sort], int((~known[sort]).sum())
+
+
+def part_of(spark: SparkSession, cuts: tuple[np.ndarray, np.ndarray, int]) -> Column:
+    """The number of cuts that aren't below (doc_id, tie): parts descend."""
+    held = spark.sparkContext.broadcast(cuts)
+
+    @F.arrow_udf("int")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ids, ties, nulls = held.value
+        for doc_id, tie in batches:
+            known = np.array(doc_id.is_valid(), bool)
+            x, t = doc_id.fill_null(0).to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False)
+            low = np.where(known, nulls + np.searchsorted(ids[nulls:], x, "left"), 0)
+            high = np.where(known, nulls + np.searchsorted(ids[nulls:], x, "right"), nulls)
+            for k in np.flatnonzero(low < high):  # cuts of the same id
+                low[k] += np.searchsorted(ties[low[k] : high[k]], t[k], "left")
+            yield pa.array(len(ids) - low, pa.int32())
+
+    return run(F.col("doc_id"), F.col("tie"))
 
 
 def neighbours(docs: DataFrame, least: int, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -133,26 +169,17 @@ def neighbours(docs: DataFrame, least: int, part_bytes: int = PART_BYTES) -> Dat
     copied to the part before it (that of the first part to the last), so that no row needs more than its part. Each
     part is a partition of its own.
     """
+    spark = docs.sparkSession
     docs = docs.withColumn("tie", F.xxhash64("text"))
     cuts = ranges(docs, part_bytes, least)
-    key = F.struct("doc_id", "tie")
-    part = F.lit(0)
-    if cuts:  # the number of cuts that are not below the key, found in two steps
-        run = int(len(cuts) ** 0.5) + 1
-        above = F.array(*[F.struct(F.lit(d).cast("long").alias("doc_id"), F.lit(t).cast("long").alias("tie")) for d, t in cuts])
-        heads = F.array(*[above[k] for k in range(0, len(cuts), run)])
-        skipped = F.size(F.filter(heads, lambda x: x < key))
-        here = F.slice(above, F.greatest(skipped - 1, F.lit(0)) * run + 1, run)
-        part = F.lit(len(cuts)) - F.greatest(skipped - 1, F.lit(0)) * run - F.size(F.filter(here, lambda x: x < key))
-    rows = docs.select(part.cast("int").alias("part"), F.lit(False).alias("ghost"), "doc_id", "tie", "text")
-    top = F.max(F.struct("doc_id", "tie")).alias("top")
-    first = sorted((r.part, r.top.doc_id, r.top.tie) for r in rows.groupBy("part").agg(top).collect())
-    ghosts = rows.limit(0)
-    if first:
-        spec = docs.sparkSession.createDataFrame([(p, d, t, first[k - 1][0]) for k, (p, d, t) in enumerate(first)], "p int, d long, t long, to int")
-        ghosts = rows.join(F.broadcast(spec), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
-        ghosts = ghosts.groupBy("to", "d", "t").agg(F.max("text").alias("text")).select(F.col("to").alias("part"), F.lit(True).alias("ghost"), F.col("d").alias("doc_id"), F.col("t").alias("tie"), "text")
-    dealt = rows.unionAll(ghosts).repartitionById(len(cuts) + 1, F.col("part"))
+    rows = docs.select(part_of(spark, cuts).alias("part"), F.lit(False).alias("ghost"), "doc_id", "tie", "text")
+    # one row a part: as many as there are cuts, in one window
+    tops = stored(rows.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("top")), "tops")
+    last = tops.agg(F.max("part")).first()[0]
+    spec = tops.select(F.col("part").alias("p"), F.col("top.doc_id").alias("d"), F.col("top.tie").alias("t"), F.coalesce(F.lag("part").over(Window.orderBy("part")), F.lit(last)).alias("to"))
+    ghosts = rows.join(F.broadcast(spec), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
+    ghosts = ghosts.groupBy("to", "d", "t").agg(F.max("text").alias("text")).select(F.col("to").alias("part"), F.lit(True).alias("ghost"), F.col("d").alias("doc_id"), F.col("t").alias("tie"), "text")
+    dealt = rows.unionAll(ghosts).repartitionById(len(cuts[0]) + 1, F.col("part"))
     order = (F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc_nulls_last())
     return dealt.sortWithinPartitions("part", "ghost", *order).select("part", "ghost", "doc_id", "text")
 
