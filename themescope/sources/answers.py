@@ -27,7 +27,10 @@ log = logging.getLogger("themescope")
 
 @dataclass(frozen=True)
 class Service:
-    """An address and its limits; ``pause`` seconds lie between two prompts of a partition. system: told before every prompt."""
+    """An address and its limits; ``pause`` seconds lie between two prompts of one task, ``pace`` between two of the whole run.
+
+    system: told before every prompt.
+    """
 
     url: str
     key: str
@@ -38,6 +41,7 @@ class Service:
     max_tokens: int = 3000
     timeout: float = 60.0
     pause: float = 0.5
+    pace: float = 0.0
     attempts: int = 3
     backoff: float = 1.0
 
@@ -68,6 +72,10 @@ class Service:
         except (OSError, http.client.HTTPException, ValueError, LookupError, TypeError) as e:
             return None, None, f"{type(e).__name__}: {e}"
 
+    def wait(self, attempt: int, status: int | None, exception: str | None) -> float:
+        """Seconds before the next attempt: after a 429, and after an exception or a body that is no answer unless it was the last."""
+        return self.backoff * 2**attempt if status == 429 or ((exception or status == 200) and attempt + 1 < self.attempts) else 0.0
+
     def ask(self, prompt: str) -> Iterator[tuple[int, int | None, str | None, str | None]]:
         """Attempts until a body that is a JSON object; only a 429 and an exception are waited for."""
         for k in range(self.attempts):
@@ -75,8 +83,7 @@ class Service:
             yield k, status, body, exception
             if exception is None and status == 200 and is_object(body):
                 return
-            if status == 429 or ((exception or status == 200) and k + 1 < self.attempts):
-                time.sleep(self.backoff * 2**k)
+            time.sleep(self.wait(k, status, exception))
 
 
 def is_object(body: str | None) -> bool:
@@ -90,7 +97,13 @@ def is_object(body: str | None) -> bool:
 
 
 def ask(prompts: DataFrame, service: Service) -> DataFrame:
-    """Attempts for (row_id, prompt). Blank descriptions are to be filtered out before."""
+    """Attempts for (row_id, prompt). Blank descriptions are to be filtered out before.
+
+    With a ``pace``, every task waits so long that all together keep to it: at most as many tasks ask at once as there
+    are partitions and cores.
+    """
+    at_once = max(1, min(prompts.rdd.getNumPartitions(), prompts.sparkSession.sparkContext.defaultParallelism)) if service.pace else 0
+    between = max(service.pause, service.pace * at_once)
 
     def calls(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -99,6 +112,6 @@ def ask(prompts: DataFrame, service: Service) -> DataFrame:
                 log.info("row %s: %s attempts", row_id, len(rows))
                 out = pd.DataFrame(rows, columns=["row_id", "attempt", "http_status", "body", "exception"])
                 yield out.astype({"http_status": "Int32"})
-                time.sleep(service.pause)
+                time.sleep(between)
 
     return prompts.select("row_id", "prompt").mapInPandas(calls, ATTEMPTS)
