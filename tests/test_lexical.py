@@ -56,7 +56,8 @@ def test_empty_and_null_texts_have_no_evidence(spark):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from themescope.functions.text import TEXT_COLUMNS, text_columns
 from themescope.operators import lexical, reports
+from themescope.operators.automaton import term_hits
 from themescope.operators.index import row_index
 from themescope.operators.network import clusters_sql, in_row, network_sql, pre_analysis_in_rows, pre_analysis_sql
 from themescope.operators.responses import backoff_sql, contract, contract_sql, resolved_sql, results_sql, session, stripped_sql
@@ -145,6 +146,21 @@ _hits = " + ".join(f"CAST({lexical.TEXT.has(t.term.lower())} AS INT)" for t in P
 _dim = ", ".join(f"('{t.theme}', {t.term_ord}, {lexical.quoted(t.term.lower())})" for t in PROXY.terms if t.kind == "keyword")
 
 
+#: A larger ontology, from the items of the benchmark: their words and the pairs that stand side by side, by the item's number.
+LARGE = (
+    "(SELECT concat('T', CAST(item_id % 5 AS STRING)) AS theory, lower(term) AS term FROM (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS term "
+    "FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)) WHERE term <> '')"
+)
+
+
+def large_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of LARGE."""
+    words = F.split("text", " ", -1)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", words.alias("w"))
+    pairs = F.expr("transform(slice(w, 1, size(w) - 1), (x, k) -> concat(x, ' ', w[k + 1]))")
+    return items.select(F.concat(F.lit("T"), (F.col("item_id") % 5).cast("string")).alias("theory"), F.explode(F.concat("w", pairs)).alias("term")).where("term <> ''")
+
+
 def prompt(d: Duck) -> str:
     """The combined description behind the request, with a hint where the network of the document has a pattern."""
     asked = f"concat({lexical.quoted(prompts.PROMPT)}, ' Description: ', c.combined_description, {prompts.hint_sql('n.meta_metaphor_detected', 'n.dominant_pattern')})"
@@ -190,6 +206,7 @@ QUERIES_SQL: dict[str, Query] = {
     "pre_analysis": lambda d: pre_analysis_sql(d, "{documents}", "{evidence}"),
     "shipped_pre_analysis": lambda d: pre_analysis_sql(d, "{texts}", "{shipped}"),
     "ontology_theta_join": lambda d: f"SELECT t.doc_id, o.theory, count(*) AS hits FROM (SELECT doc_id, lower(coalesce(text, '')) AS text_lc FROM {{documents}}) t JOIN (VALUES {_dim}) AS o(theory, term_ord, term) ON contains(t.text_lc, o.term) GROUP BY t.doc_id, o.theory",
+    "ontology_automaton": lambda d: f"SELECT t.doc_id, o.theory, count(*) AS hits FROM (SELECT doc_id, lower(text) AS text_lc FROM {{documents}}) t JOIN {LARGE} o ON contains(t.text_lc, o.term) GROUP BY t.doc_id, o.theory",
     # requests and responses
     "build_prompt": prompt,
     "prompt_extension": lambda d: f"SELECT doc_id, replace(concat('Task of ', source, '. {prompts.MARKER} JSON'), '{prompts.MARKER}', concat({lexical.quoted(prompts.section(PROXY))}, '\n\n{prompts.MARKER}')) AS prompt FROM {{documents}}",
@@ -270,7 +287,11 @@ def _pre_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre_analysis_in_rows(lexical.analysed(_documents(spark, sf_dir), PROXY))
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis}
+def _automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_hits(_documents(spark, sf_dir), large_ontology(spark, sf_dir))
+
+
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton}
 
 
 def oracle_sql() -> dict[str, str]:
