@@ -19,12 +19,8 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def row_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """``df`` with its rows counted from 0 in the order of ``key``, which is unique.
-
-    Ranges of the key are sorted apart and checkpointed, since a second run of a range partitioning may cut elsewhere.
-    Only the row count of each partition reaches the driver, and goes back as a table of as many rows.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the folder of spark.checkpoint.dir, read again; only a local session may do without that setting."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -32,7 +28,17 @@ def row_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
         if not shared and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(shared or tempfile.mkdtemp())
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).checkpoint()
+    return df.checkpoint()
+
+
+def row_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """``df`` with its rows counted from 0 in the order of ``key``, which is unique.
+
+    Ranges of the key are sorted apart and checkpointed, since a second run of a range partitioning may cut elsewhere.
+    Only the row count of each partition reaches the driver, and goes back as a table of as many rows.
+    """
+    spark = df.sparkSession
+    ranged = checkpointed(df.repartitionByRange(key).sortWithinPartitions(key))
     ranged = ranged.withColumn(name, F.monotonically_increasing_id())
     part = F.shiftright(name, POSITION_BITS)
     before, offsets = 0, []

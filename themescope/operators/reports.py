@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from themescope.operators.index import checkpointed
 from themescope.operators.lexical import real
 from themescope.plans.dialects import Duck, Spark
 
@@ -95,7 +96,10 @@ def length_boxplot(d: Duck, results: str) -> str:
 
     Results are reduced to counts of equal lengths first, which both the quartiles and the whiskers read.
     """
-    counted = f"(SELECT primary_class, CAST(description_length AS DOUBLE) AS x, count(*) AS n FROM {results} WHERE {OK} AND description_length IS NOT NULL GROUP BY primary_class, CAST(description_length AS DOUBLE))"
+    return _boxes(d, f"(SELECT primary_class, CAST(description_length AS DOUBLE) AS x, count(*) AS n FROM {results} WHERE {OK} AND description_length IS NOT NULL GROUP BY primary_class, CAST(description_length AS DOUBLE))")
+
+
+def _boxes(d: Duck, counted: str) -> str:
     inside = f"x >= q1 - {real(1.5)} * (q3 - q1) AND x <= q3 + {real(1.5)} * (q3 - q1)"
     return (
         f"SELECT primary_class, min(q1) AS q1, min(median) AS median, min(q3) AS q3, min(CASE WHEN {inside} THEN x END) AS whisker_low, max(CASE WHEN {inside} THEN x END) AS whisker_high, "
@@ -128,17 +132,56 @@ def detail_evidence(d: Duck, results: str, shown: int = SHOWN) -> str:
     )
 
 
-#: Colours of confidences in a chart; any other is gray.
+# Colours of confidences in a chart; any other is gray.
 CONFIDENCE_COLOURS = {"high": "lightgreen", "medium": "orange", "low": "lightcoral"}
 
 
-def charts(results: DataFrame, classes: list[str]) -> dict[str, DataFrame]:
-    """The tables behind the panels of a dashboard, by name."""
-    d, at = Spark(), "{results}"
+def summary(results: DataFrame) -> DataFrame:
+    """(measure, key, x, n, first_row, total, filled): all that the charts count, from one pass over the results.
+
+    Every successful result becomes a row for each thing it counts in: its class, flags, confidence and length, each of
+    its scores and pieces of evidence. ``x`` tells lengths apart; ``total`` and ``filled`` are sum and number of values.
+    """
+    d = Spark()
+    fact = lambda m, k, x="NULL", v="NULL": f"struct('{m}' AS measure, CAST({k} AS STRING) AS key, CAST({x} AS DOUBLE) AS x, CAST({v} AS DOUBLE) AS v)"
+    own = ", ".join([
+        fact("class", "primary_class"), fact("meta", "coalesce(meta_metaphor_detected, FALSE)"), fact("hybrid", "coalesce(is_hybrid, FALSE)"),
+        fact("confidence", "confidence"), fact("length", "primary_class", "description_length"),
+    ])
+    nested = [f"transform(coalesce(map_entries(scores), array()), s -> {fact('score', 's.key', v='s.value')})"]
+    nested += [f"transform(coalesce(pieces, array()), e -> {fact(m, f'e.metaphor_{m}')})" for m in ("level", "type")]
+    parsed = f"SELECT *, {d.score_map('answer')} AS scores, {d.pieces('answer')} AS pieces FROM {{results}} WHERE {OK}"
+    facts = f"SELECT row_id, inline(concat(array({own}), {', '.join(nested)})) FROM ({parsed})"
+    return results.sparkSession.sql(f"SELECT measure, key, x, count(*) AS n, min(row_id) AS first_row, sum(v) AS total, count(v) AS filled FROM ({facts}) GROUP BY measure, key, x", results=results)
+
+
+def charts_of(counted: DataFrame, classes: list[str]) -> dict[str, DataFrame]:
+    """The tables behind the panels of a dashboard, by name, from ``summary()``: the rows of the reports of the same things."""
+    d = Spark()
+    of = lambda m: f"(SELECT * FROM {{s}} WHERE measure = '{m}' AND key IS NOT NULL)"
+    named = lambda m, name: _frequencies(f"SELECT key AS {name}, n, first_row FROM {of(m)}", name)
+    flag = lambda m, name: f"SELECT CAST(key AS BOOLEAN) AS {name}, n FROM {of(m)}"
+    means = f"(SELECT key AS theory, round(total / filled, 9) AS avg_score FROM {of('score')})"
     colour = "CASE confidence " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONFIDENCE_COLOURS.items()) + " ELSE 'gray' END"
+    label = "CASE measure WHEN 'confidence' THEN key WHEN 'meta' THEN if(key = 'true', 'Meta-Metaphor', 'Standard') ELSE if(key = 'true', 'Hybrid', 'Single Theory') END"
+    lengths = "(SELECT key AS primary_class, x, n FROM {s} WHERE measure = 'length')"
+    values = ", ".join(f"({k}, '{t}')" for k, t in enumerate(classes))
     sql = {
-        "classes": histogram(at, "primary_class"), "meta": split_of(at, "meta_metaphor_detected"), "hybrid": split_of(at, "is_hybrid"), "scores": avg_scores(d, at), "levels": evidence_histogram(d, at, "metaphor_level"),
-        "types": evidence_histogram(d, at, "metaphor_type"), "confidence": f"SELECT *, {colour} AS colour FROM ({histogram(at, 'confidence')})", "lengths": avg_length(at), "boxes": length_boxplot(d, at),
-        "heatmap": score_vector(d, at, classes), "shares": pie_shares(at),
-    }
-    return {name: results.sparkSession.sql(q, results=results) for name, q in sql.items()}
+        "classes": named("class", "primary_class"),
+        "meta": flag("meta", "meta_metaphor_detected"),
+        "hybrid": flag("hybrid", "is_hybrid"),
+        "scores": f"SELECT theory, avg_score, row_number() OVER (ORDER BY avg_score DESC, theory) AS position FROM {means}",
+        "levels": named("level", "metaphor_level"),
+        "types": named("type", "metaphor_type"),
+        "confidence": f"SELECT *, {colour} AS colour FROM ({named('confidence', 'confidence')})",
+        "lengths": f"SELECT primary_class, round(sum(x * n) / sum(CASE WHEN x IS NOT NULL THEN n END), 6) AS avg_length FROM {lengths} GROUP BY primary_class",
+        "boxes": _boxes(d, f"(SELECT * FROM {lengths} WHERE x IS NOT NULL)"),
+        "heatmap": f"SELECT v.ord, v.theory, coalesce(m.avg_score, {real(0.0)}) AS avg_score FROM (VALUES {values}) AS v(ord, theory) LEFT JOIN {means} m ON m.theory = v.theory",
+        "shares": f"SELECT measure AS chart, {label} AS label, n, {pct('n', 'sum(n) OVER (PARTITION BY measure)')} AS percent FROM {{s}} WHERE measure IN ('confidence', 'meta', 'hybrid') AND key IS NOT NULL",
+    }
+    return {name: counted.sparkSession.sql(q, s=counted) for name, q in sql.items()}
+
+
+def charts(results: DataFrame, classes: list[str]) -> dict[str, DataFrame]:
+    """``charts_of()`` the results, which are read once: their summary is checkpointed."""
+    return charts_of(checkpointed(summary(results)), classes)

@@ -41,6 +41,10 @@ class Duck:
         quantiles = f"(SELECT {group} AS group_, {columns} FROM (SELECT {group}, {x}, unnest(range({n})) FROM {source}) GROUP BY {group})"
         return f"(SELECT * FROM {source} a JOIN {quantiles} b ON a.{group} IS NOT DISTINCT FROM b.group_)"
 
+    def fixed(self, x: str, digits: int) -> str:
+        """A double as text, its binary value rounded; in Spark ``functions.numbers.fixed()``."""
+        return f"printf('%.{digits}f', {x})"
+
     def split1(self, x: str) -> str:
         return f"split_part({x}, ',', 1)"
 

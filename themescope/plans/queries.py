@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themescope.functions.numbers import fixed
 from themescope.functions.text import TEXT_COLUMNS, text_columns
 from themescope.operators import lexical, reports
 from themescope.operators.automaton import term_hits
@@ -221,6 +222,7 @@ QUERIES_SQL: dict[str, Query] = {
     "attach_results": lambda d: f"SELECT i.row_id, i.title, r.primary_class AS result_primary_class, r.status AS result_status FROM {rows_(d)} i JOIN {results(d)} r ON i.row_id = r.row_id",
     # aggregations and reports
     "class_distribution": lambda d: reports.class_distribution(results(d)),
+    "class_shares_text": lambda d: f"SELECT primary_class, concat({d.fixed('percent', 1)}, '%') AS share, {d.fixed('percent / CAST(100 AS DOUBLE)', 2)} AS part FROM ({reports.class_distribution(results(d))})",
     "run_totals": lambda d: reports.run_totals(results(d)),
     "primary_class_hist": lambda d: reports.histogram(results(d), "primary_class"),
     "confidence_hist": lambda d: reports.histogram(results(d), "confidence"),
@@ -237,11 +239,19 @@ QUERIES_SQL: dict[str, Query] = {
     "score_vector": lambda d: reports.score_vector(d, results(d), CLASSES),
     "score_pivot": lambda d: reports.score_pivot(d, results(d)),
     "score_matrix": lambda d: reports.score_matrix(d, results(d), CLASSES),
+    "chart_scores": lambda d: reports.avg_scores(d, results(d)),
+    "chart_levels": lambda d: reports.evidence_histogram(d, results(d), "metaphor_level"),
+    "chart_boxes": lambda d: reports.length_boxplot(d, results(d)),
+    "chart_heatmap": lambda d: reports.score_vector(d, results(d), CLASSES),
+    "chart_shares": lambda d: reports.pie_shares(results(d)),
     "detail_report": lambda d: reports.details(d, results(d)),
     "detail_scores": lambda d: reports.detail_scores(d, results(d)),
     "detail_evidence": lambda d: reports.detail_evidence(d, results(d)),
 }
 
+#: Charts that are queries too: made from the summary of the results.
+CHARTS = [n.removeprefix("chart_") for n in QUERIES_SQL if n.startswith("chart_")]
+
 _texts = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {lexical.quoted(t)})" for k, t in enumerate(TEXTS)) + ") AS t(doc_id, text))"
 
 
@@ -287,11 +297,21 @@ def _pre_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre_analysis_in_rows(lexical.analysed(_documents(spark, sf_dir), PROXY))
 
 
+def _shares_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = QUERIES["class_distribution"](spark, sf_dir)
+    return shares.select("primary_class", F.concat(fixed("percent", 1), F.lit("%")).alias("share"), fixed(F.col("percent") / F.lit(100.0), 2).alias("part"))
+
+
+def _chart(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: reports.charts_of(reports.summary(_results(spark, sf_dir)), CLASSES)[name]
+
+
 def _automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_hits(_documents(spark, sf_dir), large_ontology(spark, sf_dir))
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton}
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton, "class_shares_text": _shares_text}
+QUERIES |= {f"chart_{name}": _chart(name) for name in CHARTS}
 
 
 def oracle_sql() -> dict[str, str]:

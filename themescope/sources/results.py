@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
+from themescope.functions.numbers import fixed
 from themescope.operators import reports
 from themescope.plans.dialects import Spark
 from themescope.sources.xlsx import write_xlsx
@@ -59,22 +60,21 @@ def report(results: DataFrame, model: str = "", when: datetime | None = None) ->
     """Lines (part, row_id, place, line) of the report: totals, classes with their share, a block an item."""
     spark, d = results.sparkSession, Spark()
     sql = lambda q: spark.sql(q, r=results)
-    f = lambda x, n: F.format_string(f"%.{n}f", x)
     totals = sql(reports.run_totals("{r}")).select(
         F.explode(F.array(
             F.lit(f"Date: {when:%Y-%m-%d %H:%M:%S}" if when else None), F.lit(f"Model: {model}" if model else None),
             F.concat(F.lit("processed "), "processed", F.lit(", successful "), "successful", F.lit(", errors "), "errors"),
-            F.concat(F.lit("patterns "), "meta_metaphors", F.coalesce(F.concat(F.lit(" ("), f(F.col("meta_percent"), 1), F.lit("%)")), F.lit(""))),
+            F.concat(F.lit("patterns "), "meta_metaphors", F.coalesce(F.concat(F.lit(" ("), fixed("meta_percent", 1), F.lit("%)")), F.lit(""))),
         )).alias("line"),
     )
     totals = totals.where("line is not null").select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"), F.lit("").alias("place"), "line")
-    classes = sql(reports.class_distribution("{r}")).select(F.lit(1).alias("part"), F.col("position").cast("long").alias("row_id"), F.lit("").alias("place"), F.concat("primary_class", F.lit(": "), "n", F.lit(" ("), f(F.col("percent"), 1), F.lit("%)")).alias("line"))
+    classes = sql(reports.class_distribution("{r}")).select(F.lit(1).alias("part"), F.col("position").cast("long").alias("row_id"), F.lit("").alias("place"), F.concat("primary_class", F.lit(": "), "n", F.lit(" ("), fixed("percent", 1), F.lit("%)")).alias("line"))
     head = F.concat("title", F.lit(": "), "primary_class", F.lit(", confidence "), "confidence", F.coalesce(F.concat(F.lit(", hybrid, secondary class "), "secondary_class"), F.lit("")))
     meta = F.concat(F.lit("  pattern: "), "meta_semantic_field", F.lit(", "), "meta_transformation")
     items = sql(reports.details(d, "{r}")).select("row_id", F.posexplode(F.array(head, meta)).alias("k", "line")).where("line is not null")
     items = items.select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("a"), "k").alias("place"), "line")
-    scores = sql(reports.detail_scores(d, "{r}")).select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("b"), "theory").alias("place"), F.concat(F.lit("  "), "theory", F.lit(": "), f(F.col("score"), 2)).alias("line"))
-    piece = F.concat(F.lit("  - "), "class", F.lit(", "), "metaphor_level", F.lit(", "), "metaphor_type", F.lit(", "), f(F.col("weight"), 2), F.lit(": "), "span", F.lit(" / "), "reasoning")
+    scores = sql(f"SELECT row_id, theory, score FROM {d.scores(f'(SELECT * FROM {{r}} WHERE {reports.OK})', 'row_id')}").select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("b"), "theory").alias("place"), F.concat(F.lit("  "), "theory", F.lit(": "), fixed("score", 2)).alias("line"))
+    piece = F.concat(F.lit("  - "), "class", F.lit(", "), "metaphor_level", F.lit(", "), "metaphor_type", F.lit(", "), fixed("weight", 2), F.lit(": "), "span", F.lit(" / "), "reasoning")
     pieces = sql(reports.detail_evidence(d, "{r}")).select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("c"), F.lpad(F.col("position").cast("string"), 3, "0")).alias("place"), piece.alias("line"))
     errors = results.where("status = 'error'").select(F.lit(3).alias("part"), "row_id", F.lit("").alias("place"), F.concat(F.coalesce("title", F.lit("N/A")), F.lit(": "), F.coalesce("error", F.lit("error"))).alias("line"))
     return totals.unionByName(classes).unionByName(items).unionByName(scores).unionByName(pieces).unionByName(errors)
