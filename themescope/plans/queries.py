@@ -23,6 +23,7 @@ from themescope.operators.responses import backoff_sql, contract, contract_sql,
 from themescope.plans import prompts
 from themescope.plans.dialects import Duck, Spark
 from themescope.plans.ontology import PROXY, SHIPPED
+from themescope.sources.results import zipped
 
 #: Own texts for the shipped ontology, which the synthetic tables don't contain.
 TEXTS = [
@@ -220,6 +221,7 @@ QUERIES_SQL: dict[str, Query] = {
     "classified_results": lambda d: f"SELECT row_id, title, primary_class, confidence, secondary_class, is_hybrid, meta_metaphor_detected, dominant_semantic_field, artistic_transformation, status, error, description_length FROM {results(d)}",
     "contract_check": lambda d: contract_sql(d, results(d), "(SELECT doc_id AS row_id, text FROM {documents})"),
     "attach_results": lambda d: f"SELECT i.row_id, i.title, r.primary_class AS result_primary_class, r.status AS result_status FROM {rows_(d)} i JOIN {results(d)} r ON i.row_id = r.row_id",
+    "zip_results": lambda d: "SELECT row_number() OVER () - 1 AS position, doc_id, lang, n_chars, source FROM {documents}",
     # aggregations and reports
     "class_distribution": lambda d: reports.class_distribution(results(d)),
     "class_shares_text": lambda d: f"SELECT primary_class, concat({d.fixed('percent', 1)}, '%') AS share, {d.fixed('percent / CAST(100 AS DOUBLE)', 2)} AS part FROM ({reports.class_distribution(results(d))})",
@@ -306,11 +308,16 @@ def _chart(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: reports.charts_of(reports.summary(_results(spark, sf_dir)), CLASSES)[name]
 
 
+def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return zipped(documents.select("doc_id", "lang"), documents.select("n_chars", "source"), "position")
+
+
 def _automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_hits(_documents(spark, sf_dir), large_ontology(spark, sf_dir))
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton, "class_shares_text": _shares_text}
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton, "zip_results": _zipped, "class_shares_text": _shares_text}
 QUERIES |= {f"chart_{name}": _chart(name) for name in CHARTS}
 
 

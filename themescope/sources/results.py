@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from themescope.functions.numbers import fixed
 from themescope.operators import reports
+from themescope.operators.index import numbered
 from themescope.plans.dialects import Spark
 from themescope.sources.xlsx import write_xlsx
 
@@ -26,6 +27,21 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
+def zipped(rows: DataFrame, results: DataFrame, position: str | None = None) -> DataFrame:
+    """Input and results side by side by their places in their files, without a key; unequal lengths are an error.
+
+    Names that both have get ``result_`` before those of the results; ``position``: a column to hold the place, if any.
+    """
+    place = position or "place_"
+    (left, n), (right, m) = numbered(rows, place), numbered(results, place)
+    if n != m:
+        raise ValueError(f"{n} rows can't be paired with {m} results")
+    taken = {c.lower() for c in rows.columns}
+    right = right.select(F.col(place), *(F.col(c).alias(f"result_{c}" if c.lower() in taken else c) for c in results.columns))
+    joined = left.join(right, place)
+    return joined if position else joined.drop(place)
+
+
 def attached(rows: DataFrame, results: DataFrame, key: str = "row_id") -> DataFrame:
     """Input and results side by side by ``key``; names that both have get ``result_`` before those of the results.
 
@@ -43,9 +59,9 @@ def write_json(results: DataFrame, path: str) -> None:
     results.write.option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(rows: DataFrame, results: DataFrame, path: str) -> None:
-    """The attached tables as CSV; nested columns become JSON."""
-    joined = attached(rows, results)
+def write_csv(rows: DataFrame, results: DataFrame, path: str, key: str | None = "row_id") -> None:
+    """The attached tables as CSV, without a key the zipped ones; nested columns become JSON."""
+    joined = attached(rows, results, key) if key else zipped(rows, results)
     nested = {f.name: F.to_json(f.name) for f in joined.schema if isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))}
     joined.withColumns(nested).write.options(header=True, escape='"').csv(path)
 
