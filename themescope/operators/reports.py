@@ -8,7 +8,8 @@ their first row; ``position`` says so, since a table has no order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from themescope.operators.index import checkpointed
 from themescope.operators.lexical import real
@@ -53,6 +54,18 @@ def run_totals(results: str) -> str:
     return f"SELECT count(*) AS processed, {count(OK)} AS successful, {count('''status = 'error' ''')} AS errors, {count(meta)} AS meta_metaphors, {pct(count(meta), count(OK))} AS meta_percent FROM {results}"
 
 
+def totals_metrics() -> list[Column]:
+    """The counts of ``run_totals()`` as metrics, for ``DataFrame.observe``: they are taken while the results are written."""
+    ok, meta = F.expr(OK), F.coalesce(F.col("meta_metaphor_detected"), F.lit(False))
+    return [F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("successful"), F.count_if(F.coalesce(F.col("status") == "error", F.lit(False))).alias("errors"), F.count_if(ok & meta).alias("meta_metaphors")]
+
+
+def with_percent(counts: dict[str, int]) -> dict[str, int | float | None]:
+    """The metrics as a row of ``run_totals()``."""
+    n = counts["successful"]
+    return counts | {"meta_percent": counts["meta_metaphors"] * 100.0 / n if n else None}
+
+
 def pie_shares(results: str) -> str:
     """Shares of confidence, pattern and hybrid, in one pass over the results."""
     parts = "(0, 'confidence'), (1, 'meta'), (2, 'hybrid')"

@@ -37,3 +37,8 @@ def extended(prompt: str, o: Ontology = SHIPPED) -> str:
 def hint_sql(detected: str, theme: str) -> str:
     """A line that names the dominant theme where the pre-analysis found a pattern."""
     return f"CASE WHEN {detected} THEN concat('\n\nHint: an image of an image was found; dominant theme: ', coalesce({theme}, 'UND')) ELSE '' END"
+
+
+def indicator_sql(level: str) -> str:
+    """The indicator of the plain taxonomy that a level of evidence is: a term, a scientific phrase, any other image."""
+    return f"CASE {level} WHEN 'explicit_term' THEN 'explicit' WHEN 'scientific_metaphor' THEN 'technical_cue' ELSE 'metaphor' END"

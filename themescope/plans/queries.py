@@ -25,7 +25,7 @@ from themescope.plans.dialects import Duck, Spark
 from themescope.plans.ontology import PROXY, SHIPPED
 from themescope.sources.results import zipped
 
-#: Own texts for the shipped ontology, which the synthetic tables don't contain.
+#: Sentences for the shipped ontology, whose terms the synthetic tables don't contain: each document gets one before its text.
 TEXTS = [
     "Алгоритм и код рисуют; сознание здесь не вычисление, а движение и действие тела.",
     "Эмерджентность и самоорганизация: рой, синергия, фазовый переход; природа целого.",
@@ -212,8 +212,8 @@ QUERIES_SQL: dict[str, Query] = {
     # requests and responses
     "build_prompt": prompt,
     "prompt_extension": lambda d: f"SELECT doc_id, replace(concat('Task of ', source, '. {prompts.MARKER} JSON'), '{prompts.MARKER}', concat({lexical.quoted(prompts.section(PROXY))}, '\n\n{prompts.MARKER}')) AS prompt FROM {{documents}}",
-    "prompt_section": lambda d: f"SELECT {lexical.quoted(prompts.system_prompt())} AS system_prompt, {lexical.quoted(prompts.section())} AS section",
-    "indicator_taxonomy": lambda d: "SELECT indicator, weight FROM (VALUES " + ", ".join(f"('{k}', {lexical.real(w)})" for k, w in prompts.INDICATORS.items()) + ") AS t(indicator, weight)",
+    "prompt_section": lambda d: f"SELECT lang, count(*) AS prompts, {lexical.quoted(prompts.system_prompt())} AS system_prompt, {lexical.quoted(prompts.section())} AS section FROM {{documents}} GROUP BY lang",
+    "indicator_taxonomy": lambda d: "SELECT t.indicator, t.weight, count(e.doc_id) AS pieces FROM (VALUES " + ", ".join(f"('{k}', {lexical.real(w)})" for k, w in prompts.INDICATORS.items()) + f") AS t(indicator, weight) LEFT JOIN (SELECT doc_id, {prompts.indicator_sql('level')} AS indicator FROM {{evidence}}) e ON t.indicator = e.indicator GROUP BY t.indicator, t.weight",
     "strip_fence": lambda d: f"SELECT row_id, attempt, clean FROM {stripped_sql(d, attempts(d))}",
     "parse_classification": lambda d: f"SELECT row_id, attempt, parsed IS NOT NULL AS valid, {d.json('parsed', 'primary_class')} AS primary_class, {d.json('parsed', 'confidence')} AS confidence FROM (SELECT *, {d.parsed('clean')} AS parsed FROM {stripped_sql(d, attempts(d))})",
     "retry_resolution": lambda d: f"SELECT row_id, CAST(used AS INT) AS attempt_used, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(d, attempts(d))}",
@@ -254,7 +254,7 @@ QUERIES_SQL: dict[str, Query] = {
 #: Charts that are queries too: made from the summary of the results.
 CHARTS = [n.removeprefix("chart_") for n in QUERIES_SQL if n.startswith("chart_")]
 
-_texts = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {lexical.quoted(t)})" for k, t in enumerate(TEXTS)) + ") AS t(doc_id, text))"
+_texts = "(SELECT doc_id, concat(CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {lexical.quoted(t)}" for k, t in enumerate(TEXTS)) + " ELSE '' END, ' ', coalesce(text, '')) AS text FROM {documents})"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ def _query(make: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql, given = make(Spark()), {}
         documents = _documents(session(spark), sf_dir)
-        texts = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+        texts = spark.sql(f"SELECT * FROM {_texts}", documents=documents)
         inputs_ = {
             "documents": lambda: documents,
             "indexed": lambda: row_index(spark.sql(f"SELECT row_id, title FROM {rows_(Spark())}", documents=documents), "row_id"),
@@ -323,6 +323,6 @@ QUERIES |= {f"chart_{name}": _chart(name) for name in CHARTS}
 
 def oracle_sql() -> dict[str, str]:
     indexed = f"(SELECT row_id, title, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM {rows_(Duck()).format(documents='documents')})"
-    given = {"documents": "documents", "indexed": indexed, "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "texts": _texts, "shipped": lexical.evidence_sql(_texts, SHIPPED)}
+    given = {"documents": "documents", "indexed": indexed, "fields": lexical.fields_sql("documents", PROXY), "evidence": lexical.evidence_sql("documents", PROXY), "texts": _texts.format(documents="documents"), "shipped": lexical.evidence_sql(_texts.format(documents="documents"), SHIPPED)}
     given["answers"] = answers_sql(Duck()).format(**given)
     return {name: make(Duck()).format(**given) for name, make in QUERIES_SQL.items()}

@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from themescope.functions.numbers import fixed
@@ -54,6 +55,40 @@ def attached(rows: DataFrame, results: DataFrame, key: str = "row_id") -> DataFr
     return joined.where(paired.isNull()).drop("other_key_")
 
 
+class Totals(StreamingQueryListener):
+    """Adds up the totals of a stream's batches, by the name under which they are observed; restarts go on from 0."""
+
+    def __init__(self, name: str = "totals"):
+        self.name, self.counts = name, dict.fromkeys(("processed", "successful", "errors", "meta_metaphors"), 0)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        log.info("stream %s began", event.runId)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None:
+            for name in self.counts:
+                self.counts[name] += found[name]
+            log.info("batch %s: %s", event.progress.batchId, self.counts)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        log.info("stream %s ended", event.runId)
+
+    def totals(self) -> dict[str, int | float | None]:
+        return reports.with_percent(self.counts)
+
+
+def observed(results: DataFrame, name: str = "totals") -> tuple[DataFrame, Observation | None]:
+    """The results, and the totals of what is written of them: no scan of their own. A stream has no observation but its ``Totals`` listener."""
+    if results.isStreaming:
+        return results.observe(name, *reports.totals_metrics()), None
+    seen = Observation(name)
+    return results.observe(seen, *reports.totals_metrics()), seen
+
+
 def write_json(results: DataFrame, path: str) -> None:
     """One object a line; null fields are kept."""
     results.write.option("ignoreNullFields", "false").json(path)
@@ -102,9 +137,11 @@ def write_report(results: DataFrame, path: str, model: str = "", when: datetime
 
 
 def save(rows: DataFrame, results: DataFrame, classes: list[str], base: str, when: datetime, model: str = "", workbook: bool = False) -> str:
-    """All outputs of a run in a folder of its own; returns the folder."""
+    """All outputs of a run in a folder of its own; returns the folder. The totals are taken while the results are written."""
     path = run_directory(base, when)
-    write_json(results, f"{path}/results")
+    watched, seen = observed(results)
+    write_json(watched, f"{path}/results")
+    log.info("totals: %s", reports.with_percent(seen.get))
     write_csv(rows, results, f"{path}/data")
     write_report(results, f"{path}/report", model, when)
     write_charts(results, classes, f"{path}/charts")

@@ -309,7 +309,8 @@ class Deflater:
         self.out.write(data)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -329,7 +330,7 @@ class SheetWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, folder = _store(self.folder)
+        store, folder = store_of(self.folder)
         store.create_dir(folder)
         name = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
         with store.open_output_stream(name) as out:
@@ -343,7 +344,7 @@ class SheetWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         written = sorted((m for m in messages if m), key=lambda m: m.part)
-        store, target = _store(self.path)
+        store, target = store_of(self.path)
         rows = sum(m.piece.rows for m in written)
         try:
             if rows >= MOST_ROWS:
@@ -384,7 +385,7 @@ class SheetWriter(DataSourceArrowWriter):
         self._clear()
 
     def _clear(self) -> None:
-        store, folder = _store(self.folder)
+        store, folder = store_of(self.folder)
         if store.get_file_info(folder).type == fs.FileType.Directory:
             store.delete_dir(folder)
 
@@ -400,14 +401,14 @@ class SheetReader(DataSourceReader):
         self.path, self.sheet, self.schema = path, sheet, schema
 
     def files(self) -> list[str]:
-        store, path = _store(self.path)
+        store, path = store_of(self.path)
         if store.get_file_info(path).type == fs.FileType.File:
             return [path]
         return sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.lower().endswith(".xlsx"))
 
     def partitions(self) -> list[Sheet]:
         """One sheet of one file each; ``*`` stands for all sheets of a file."""
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         found = []
         for path in self.files():
             if self.sheet != "*":
@@ -418,7 +419,7 @@ class SheetReader(DataSourceReader):
         return found
 
     def rows(self, part: Sheet) -> Iterator[list]:
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         with store.open_input_file(part.path) as f:
             yield from read_sheet(f, part.sheet)
 
