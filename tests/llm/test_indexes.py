@@ -230,3 +230,46 @@ def test_ranges_follow_the_bytes_at_any_size(spark, monkeypatch):
         assert size <= 2 * 2000 + max(v for k, v in equal.items() if k[0] == part)
     monkeypatch.setattr(fingerprints, "MOST_CUTS", 7)
     assert len(fingerprints.ranges(docs, 2000, 4)[0]) == 7
+
+
+# ---- what lies beside the queries
+
+
+def test_license_texts_come_with_the_package(spark, tmp_path):
+    """Also if the package is a zip, as executors get it; none at all is an error."""
+    import os
+    import subprocess
+    import sys
+    import zipfile
+    from pathlib import Path
+
+    from themescope.llm import common, license_scan
+
+    top = Path(common.__file__).resolve().parents[1]
+    ask = "from themescope.llm import license_scan as s; print(__import__('hashlib').md5(repr(sorted(s.TEMPLATES.items())).encode()).hexdigest())"
+    want = __import__("hashlib").md5(repr(sorted(license_scan.TEMPLATES.items())).encode()).hexdigest()
+    for kinds, good in (((".py", ".txt"), True), ((".py",), False)):
+        name = tmp_path / f"{len(kinds)}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(top.rglob("*")):
+                if f.suffix in kinds:
+                    z.write(f, f.relative_to(top.parent))
+        said = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(name)}, capture_output=True, text=True)
+        assert (said.returncode == 0) == good and (not good or said.stdout.strip() == want), said.stderr
+
+
+def test_columns_of_ids_decode_to_their_texts(spark):
+    from pyspark.sql import functions as F
+
+    from themescope.llm import bpe
+
+    path, pattern = bpe.public()
+    texts = [(1, "Hello, world"), (2, None), (3, ""), (4, "é😀 中文\n\n x"), (5, "word " * 5000), (6, "Hello, world")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = docs.select("doc_id", "text", bpe.encode(F.col("text"), path, pattern).alias("ids")).withColumn("back", bpe.decode(F.col("ids"), path, pattern)).collect()
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    plain = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    for r in got:
+        assert r.ids == plain.encode_ordinary(r.text or "") and bytes(r.back).decode() == (r.text or "")

@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
         top = Path(__file__).resolve().parents[1]
         name = f"{tempfile.mkdtemp()}/themescope.zip"
         with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(top.rglob("*.py")):
+            for f in sorted([*top.rglob("*.py"), *top.rglob("*.txt")]):
                 z.write(f, f.relative_to(top.parent))
         context.addPyFile(name)
 

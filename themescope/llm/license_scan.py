@@ -29,7 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ SHINGLE, WINDOW, STRIDE, BANDS, ROWS, EXPECTED = 3, 24, 6, 24, 2, 0.5
 #: Share of a template's shingles that a match needs.
 CONTAINMENT = 0.8
 #: Full texts by license name, read where a scan is planned and broadcast with the rest.
-FULL = Path(__file__).with_name("licenses")
+FULL = resources.files(__package__) / "licenses"  # also where the package lies in a zip
 # Short notices by license name.
 NOTICES = {
     "MIT": "Released under the MIT License.",
@@ -124,7 +124,10 @@ def reference_lines() -> dict[str, list[str]]:
 def templates() -> dict[str, str]:
     """Notices, full texts and lines; what follows # or, for words around a short name, ~ tells templates of one license apart."""
     out = dict(NOTICES)
-    out.update({f"{p.stem}#text": p.read_text(encoding="utf-8") for p in sorted(FULL.glob("*.txt"))})
+    texts = {p.name: p for p in FULL.iterdir() if p.name.endswith(".txt")} if FULL.is_dir() else {}
+    if not texts:
+        raise FileNotFoundError(f"no license texts in {FULL}")
+    out.update({f"{name.removesuffix('.txt')}#text": texts[name].read_text(encoding="utf-8") for name in sorted(texts)})
     for license, lines in reference_lines().items():
         seen = {tuple(words_of(x)[0]): x for x in reversed(lines)}
         out.update({f"{license}{'~' if x[0] == '~' else '#'}{k}": x for k, x in enumerate(reversed(seen.values()))})
