@@ -14,6 +14,7 @@ from themescope.functions.numbers import fixed
 from themescope.operators import reports
 from themescope.operators.index import numbered
 from themescope.plans.dialects import Spark
+from themescope.sources import drawing
 from themescope.sources.xlsx import write_xlsx
 
 log = logging.getLogger("themescope")
@@ -102,9 +103,12 @@ def write_csv(rows: DataFrame, results: DataFrame, path: str, key: str | None =
 
 
 def write_charts(results: DataFrame, classes: list[str], path: str) -> None:
-    """The tables behind a dashboard, each a folder of JSON Lines."""
-    for name, table in reports.charts(results, classes).items():
+    """The tables behind a dashboard, each a folder of JSON Lines, and two dashboards drawn from them, each a line of SVG in a folder of text."""
+    charts = reports.charts(results, classes)
+    for name, table in charts.items():
         write_json(table, f"{path}/{name}")
+    for name, drawn in (("dashboard", drawing.dashboard(charts)), ("plain_dashboard", drawing.plain_dashboard(charts))):
+        results.sparkSession.createDataFrame([(drawn,)], "value string").coalesce(1).write.text(f"{path}/{name}.svg")
 
 
 def report(results: DataFrame, model: str = "", when: datetime | None = None) -> DataFrame:
