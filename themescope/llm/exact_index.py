@@ -34,8 +34,8 @@ from .common import ship, spread, stored, table
 CAP = 32
 #: Bits that a directory looks at, at most: keys that share more of them stay in one bucket, whatever their number.
 MOST_DEPTH = 16
-#: Bytes of text in a range, about.
-RANGE_BYTES = 32 << 20
+#: Bytes in a range, about: its texts and what a row takes beside its text.
+RANGE_BYTES, ROW_BYTES = 32 << 20, 64
 #: Keys that are salted at most, and rows of a key from which on.
 HOT, FLOOR = 100_000, 256
 
@@ -166,9 +166,9 @@ def owner(bits: int) -> Column:
 
 
 def hot_keys(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(hot_key, salts) of the keys that many rows have, at most HOT; the bytes of all texts."""
+    """(hot_key, salts) of the keys that many rows have, at most HOT; the bytes of all rows."""
     found = spread(docs.select("text")).select(text_key(F.col("text")).alias("k")).select("k.key", F.col("k.bytes").alias("bytes"))
-    counted = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "keys")
+    counted = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bytes") + ROW_BYTES).alias("bytes")), "keys")
     rows, total = counted.agg(F.sum("n"), F.sum("bytes")).first()
     least = max(FLOOR, (rows or 0) // HOT)
     return counted.where(F.col("n") > least).select(F.col("key").alias("hot_key"), F.ceil(F.sqrt("n")).cast("int").alias("salts")), total or 0
