@@ -16,21 +16,37 @@ def fixed(c: Column | str, digits: int) -> Column:
     """
     x = F.col(c) if isinstance(c, str) else c
     scale = 10**digits
+    # each step is bound to a name, so that it is made once
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+
+    def parts(size: Column) -> Column:
+        whole = F.floor(size)  # a long, so exact below 2^63
+        return F.struct(whole.alias("whole"), (size - whole.cast("double")).alias("rest"))
+
+    def halves(p: Column) -> Column:
+        mixed = p["rest"] * F.lit(float((1 << 27) + 1))
+        return F.struct(p["whole"].alias("whole"), p["rest"].alias("rest"), (mixed - (mixed - p["rest"])).alias("high"), F.floor(p["rest"] * F.lit(float(scale))).alias("about"))
+
+    def beyond(h: Column, m: int, k: Column) -> Column:
+        """Its sign is that of rest * m - k."""
+        return (h["high"] * F.lit(float(m)) - k.cast("double")) + (h["rest"] - h["high"]) * F.lit(float(m))
+
+    def under(h: Column) -> Column:
+        k = h["about"] + F.when(beyond(h, scale, h["about"]) < 0, -1).when(beyond(h, scale, h["about"] + 1) >= 0, 1).otherwise(0)
+        return F.struct(h.alias("h"), k.alias("k"))
+
+    def rounded(u: Column) -> Column:
+        tie = beyond(u["h"], 2 * scale, u["k"] * 2 + 1)
+        odd = (u["k"] if digits else u["h"]["whole"]) % 2 == 1
+        up = F.when(tie > 0, 1).when((tie == 0) & odd, 1).otherwise(0)
+        return F.struct(u["h"]["whole"].alias("whole"), (u["k"] + up).alias("k"))
+
+    def written(r: Column) -> Column:
+        whole = (r["whole"] + F.when(r["k"] >= scale, 1).otherwise(0)).cast("string")
+        return F.concat(whole, F.lit("."), F.lpad((r["k"] % scale).cast("string"), digits, "0")) if digits else whole
+
     size = F.abs(x)
-    whole = F.floor(size)  # a long, so exact below 2^63
-    rest = size - whole.cast("double")
-    mixed = rest * F.lit(float((1 << 27) + 1))
-    high = mixed - (mixed - rest)
-    low = rest - high
-    beyond = lambda m, k: (high * F.lit(float(m)) - k.cast("double")) + low * F.lit(float(m))  # noqa: E731  its sign is that of rest * m - k
-    about = F.floor(rest * F.lit(float(scale)))
-    under = about + F.when(beyond(scale, about) < 0, -1).when(beyond(scale, about + 1) >= 0, 1).otherwise(0)
-    tie = beyond(2 * scale, under * 2 + 1)
-    even = under % 2 == 0 if digits else whole % 2 == 0
-    k = under + F.when(tie > 0, 1).when((tie == 0) & ~even, 1).otherwise(0)
-    up = whole + F.when(k >= scale, 1).otherwise(0)
+    text = let(parts(size), lambda p: let(halves(p), lambda h: let(under(h), lambda u: let(rounded(u), written))))
     sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
-    behind = F.concat(F.lit("."), F.lpad((k % scale).cast("string"), digits, "0")) if digits else F.lit("")
-    text = F.concat(sign, up.cast("string"), behind)
     odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(size >= F.lit(2.0**63), F.format_string(f"%.{digits}f", x))
-    return F.when(x.isNotNull(), F.coalesce(odd, text))
+    return F.when(x.isNotNull(), F.coalesce(odd, F.concat(sign, text)))
