@@ -201,6 +201,36 @@ def test_components_match_a_plain_search(spark):
     assert chosen_path.components(edges.limit(0)).count() == 0
 
 
+def test_the_map_of_wanted_texts_follows_their_number(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "MOST_BITS", 18)
+    sizes = []
+    for n in (0, 1, 3000, 40000):
+        rows = spark.range(n).selectExpr("xxhash64(id) AS h")
+        found, bits = chosen_path._bits(rows, n)
+        place = np.array([r.h for r in rows.collect()], np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        want = np.zeros(1 << bits, bool)
+        want[place.astype(np.int64)] = True
+        assert (np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool) == want).all()
+        sizes.append(bits)
+    assert sizes == [16, 16, 16, 18]
+
+
+def test_the_join_leaves_only_what_its_rows_are_read_from(spark, edges, tmp_path, monkeypatch):
+    folders = (f"file://{tmp_path}/{k}" for k in itertools.count())
+    monkeypatch.setattr(common, "shared_dir", lambda spark: next(folders))
+    left = lambda: sorted(p.name for p in tmp_path.glob("*/*"))
+    found = chosen_path.join(edges)
+    assert left() == ["named", "rows"]
+    assert found.count() == len(EDGES)
+    with pytest.raises(ValueError), common.scratch(spark):
+        common.stored(edges, "gone")
+        with common.scratch(spark):
+            kept = common.stored(edges, "inner", keep=True)
+        assert kept.count() == len(EDGES)
+        raise ValueError
+    assert left() == ["named", "rows"]
+
+
 def test_join_refuses_a_smaller_threshold():
     with pytest.raises(ValueError):
         chosen_path.join(None, 0.6)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, join_counted, mix64, shingles, spread, stored, table, words
+from .common import WordHashes, join_counted, mix64, scratch, shingles, spread, stored, table, words
 
 THRESHOLD, WIDTH, COORDINATES = 0.8, 5, 64
 #: Members of a bucket compared by brute force, levels split before buckets are counted, levels up to which the first runs reach the target recall and beyond which candidates are chosen loosely.
@@ -49,8 +49,8 @@ LOOSE = 0.4
 BLOCK, COLUMNS = 256, 8192
 #: Edges that a task reduces to stars at a time.
 CHUNK = 1 << 17
-#: Binary logarithm of the size of the bit map that tells which texts are wanted again.
-BITS = 24
+#: Bits for each text that is wanted again in the map that tells so; binary logarithm of the most bits, 128 MB.
+BITS_EACH, MOST_BITS = 16, 30
 
 _factors = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -109,7 +109,7 @@ def _sigs(column: pa.Array) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, copy) and nodes (copy, at, doc, copies, n, sig), both stored; at: the doc_id of one row with the text."""
+    """Documents (doc_id, copy), stored to outlive the scope, and nodes (copy, at, doc, copies, n, sig), stored; at: the doc_id of one row with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -121,7 +121,7 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "copy", "n", "sig"])
 
-    rows = stored(with_copy(docs).mapInArrow(run, "doc_id long, copy binary, n long, sig binary"), "rows")
+    rows = stored(with_copy(docs).mapInArrow(run, "doc_id long, copy binary, n long, sig binary"), "rows", keep=True)
     some = F.min(F.struct("doc_id", "n", "sig"))
     nodes = rows.groupBy("copy").agg(some.alias("m"), F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
     return rows.select("doc_id", "copy"), stored(nodes.select("copy", F.col("m.doc_id").alias("at"), "doc", "copies", "m.n", "m.sig"), "nodes")
@@ -251,16 +251,17 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
     """Edges (u, v) between nodes that some path brought together and whose signatures are alike."""
     done, want, reach = 0, runs or runs_for(), DEPTH
     edges: list[DataFrame] = []
-    while done < want:
-        found, depth, deep = _edges_of(nodes, range(done, want), reach)
-        edges += found
-        done = want
-        if runs is None and deep is not None:
-            want, reach = max(want, runs_for(depth=depth)), max(reach, depth)
-            nodes = stored(nodes.join(deep, "copy", "left_semi"), "deep")
-            if nodes.isEmpty():
-                break
-    return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges")
+    with scratch(nodes.sparkSession):
+        while done < want:
+            found, depth, deep = _edges_of(nodes, range(done, want), reach)
+            edges += found
+            done = want
+            if runs is None and deep is not None:
+                want, reach = max(want, runs_for(depth=depth)), max(reach, depth)
+                nodes = stored(nodes.join(deep, "copy", "left_semi"), "deep")
+                if nodes.isEmpty():
+                    break
+        return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges", keep=True)
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -345,14 +346,17 @@ def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return near
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """A bit map of 2^BITS bits, whatever the number of rows (h): a fuller one only lets more pass that a join then drops."""
-    place = F.shiftrightunsigned("h", 64 - BITS)
-    words = hashes.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) % 64 as int))").alias("b"))
+def _bits(hashes: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """A bit map of the ``total`` rows (h) and the binary logarithm of its bits: BITS_EACH a row, so that one text in so many
+    passes without being wanted, up to MOST_BITS; beyond, the map is fuller and more pass, which a join then drops.
+    """
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(max(total, 1) * BITS_EACH))))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    words = hashes.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) % 64 as int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    return out
+    return out, bits
 
 
 def _blocks(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -384,13 +388,13 @@ def _blocks(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def exact_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(copy, links) and edges (u, v) of a spanning forest of the links, from the components ``found`` (node, least)."""
     members = _blocks(stored(found, "found"), nodes, threshold)
-
-    sent = docs.sparkSession.sparkContext.broadcast(_bits(members.select(F.xxhash64("node", "at").alias("h"))))
+    wanted, width = _bits(members.select(F.xxhash64("node", "at").alias("h")), members.count())
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WordHashes(), sent.value
         for b in batches:
-            place = b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            place = b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - width)
             on = pa.array((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
             b = b.filter(on)
             out = [shingle_set(t, hashes).tobytes() for t in b.column("text").to_pylist()]
@@ -441,15 +445,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if threshold < THRESHOLD:
         raise ValueError(f"runs and gates are made for {THRESHOLD} or more, a smaller threshold would lose pairs")
     docs = spread(docs.select("doc_id", "text"))
-    rows, nodes = nodes_of(docs)
-    counts, edges = exact_links(docs, nodes, components(candidates(nodes)), threshold)
-    least = components(edges)
-    named = nodes.select("copy", "doc", "copies").join(least.withColumnRenamed("node", "copy"), "copy", "left").join(counts, "copy", "left")
-    named = named.select("copy", "doc", "copies", F.coalesce("least", "copy").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = stored(named, "classes")
-    classes = named.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "copy")).alias("c"), F.count(F.lit(1)).alias("texts"))
-    named = join_counted(named, classes, "class", "texts", named.count()).select("copy", F.col("c.doc").alias("class_id"), F.col("doc").alias("copy_id"), F.col("copies").alias("n_copies"), F.col("links").cast("long").alias("n_links"), F.col("c.copy").alias("class_copy"))
-    return join_counted(rows, stored(named, "named"), "copy", "n_copies", rows.count())
+    with scratch(docs.sparkSession):
+        rows, nodes = nodes_of(docs)
+        counts, edges = exact_links(docs, nodes, components(candidates(nodes)), threshold)
+        least = components(edges)
+        named = nodes.select("copy", "doc", "copies").join(least.withColumnRenamed("node", "copy"), "copy", "left").join(counts, "copy", "left")
+        named = named.select("copy", "doc", "copies", F.coalesce("least", "copy").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+        named = stored(named, "classes")
+        classes = named.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "copy")).alias("c"), F.count(F.lit(1)).alias("texts"))
+        named = join_counted(named, classes, "class", "texts", named.count()).select("copy", F.col("c.doc").alias("class_id"), F.col("doc").alias("copy_id"), F.col("copies").alias("n_copies"), F.col("links").cast("long").alias("n_links"), F.col("c.copy").alias("class_copy"))
+        return join_counted(rows, stored(named, "named", keep=True), "copy", "n_copies", rows.count())
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -62,12 +65,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str = "part") -> DataFrame:
+#: Folders that the open scopes of ``scratch()`` delete, the innermost scope last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose stored tables are deleted at its end, but for those stored with ``keep``, which the scope around it has."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, label: str = "part", keep: bool = False) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark, scopes = df.sparkSession, _scopes.get()
+    path = shared_dir(spark)
+    scopes = scopes[:-1] if keep else scopes
+    if scopes:
+        scopes[-1].append(path)
+    df.write.parquet(f"{path}/{label}")
+    return spark.read.schema(df.schema).parquet(f"{path}/{label}")
 
 
 #: Keys that are joined by a broadcast at most, and rows of a key from which on.
