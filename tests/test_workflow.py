@@ -193,3 +193,21 @@ def test_every_word_is_searched_once(spark):
     plan = lexical.evidence(spark.createDataFrame([(1, "x")], "doc_id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
     words = {w for t in SHIPPED.terms for w in ([t.term.lower()] if t.kind == "keyword" else t.words)} | set(SHIPPED.marker("ontological"))
     assert plan.count("Contains(text_lc") == len(words)
+
+
+def test_csv_keeps_white_space_quotes_and_nulls(spark, tmp_path):
+    texts = [" lead", "trail  ", "a\r\nb", "c\nd", "\ttab\t", '"q"', 'say ""', "", None, " ", "a,b", "\\", '\\"', "x\\", "é😀", "\r", "\n", "-1", "null", "#", "x" * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    done = spark.createDataFrame([(k, bool(k % 2) if k % 3 else None, k / 7) for k in range(len(texts))], "row_id long, flag boolean, x double")
+    results.write_csv(rows, done, str(tmp_path / "csv"))
+    back = tables.read_csv(spark, str(tmp_path / "csv"), results.attached(rows, done).schema).collect()
+    assert {r.row_id: (r.text, r.flag, r.x) for r in back} == {k: (t, bool(k % 2) if k % 3 else None, k / 7) for k, t in enumerate(texts)}
+
+
+def test_rows_without_a_key_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    # the last file is the largest: Spark reads it first
+    for k in range(4):
+        (tmp_path / f"{k}.csv").write_text("descr\n" + "".join(f"{k} {n} {'y' * 10 * k}\n" for n in range(5 * (k + 1))), encoding="utf-8")
+    got = tables.prepare(tables.read_csv(spark, str(tmp_path))).orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(50)) and [r.title for r in got] == [f"Item_{k}" for k in range(50)]
+    assert [tuple(map(int, r.descr.split()[:2])) for r in got] == [(k, n) for k in range(4) for n in range(5 * (k + 1))]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: monotonically_increasing_id() holds the partition above this bit and the position in it below.
@@ -19,15 +20,24 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session may do without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return shared or tempfile.mkdtemp()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path that doesn't exist yet, in the folder that the cluster shares."""
+    return f"{_shared(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows in the folder of spark.checkpoint.dir, read again; only a local session may do without that setting."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The rows in the folder that the cluster shares, read again."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        context.setCheckpointDir(shared or tempfile.mkdtemp())
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
 
 

@@ -24,22 +24,22 @@ def pct(n: str, total: str) -> str:
     return f"CAST({n} AS DOUBLE) * CAST(100 AS DOUBLE) / CAST(nullif({total}, 0) AS DOUBLE)"
 
 
-def _frequencies(counted: str, name: str, more: str = "") -> str:
+def frequencies(counted: str, name: str, more: str = "") -> str:
     return f"SELECT {name}, n{more}, row_number() OVER (ORDER BY n DESC, first_row, {name}) AS position FROM ({counted})"
 
 
 def class_distribution(results: str) -> str:
     counted = f"SELECT primary_class, count(*) AS n, min(row_id) AS first_row FROM {results} WHERE {OK} GROUP BY primary_class"
-    return _frequencies(counted, "primary_class", f", {pct('n', 'sum(n) OVER ()')} AS percent")
+    return frequencies(counted, "primary_class", f", {pct('n', 'sum(n) OVER ()')} AS percent")
 
 
 def histogram(results: str, column: str) -> str:
-    return _frequencies(f"SELECT {column}, count(*) AS n, min(row_id) AS first_row FROM {results} WHERE {column} IS NOT NULL AND {OK} GROUP BY {column}", column)
+    return frequencies(f"SELECT {column}, count(*) AS n, min(row_id) AS first_row FROM {results} WHERE {column} IS NOT NULL AND {OK} GROUP BY {column}", column)
 
 
 def evidence_histogram(d: Duck, results: str, column: str) -> str:
     rows = d.evidence(f"(SELECT * FROM {results} WHERE {OK})", "row_id")
-    return _frequencies(f"SELECT {column}, count(*) AS n, min(row_id) AS first_row FROM {rows} WHERE {column} IS NOT NULL GROUP BY {column}", column)
+    return frequencies(f"SELECT {column}, count(*) AS n, min(row_id) AS first_row FROM {rows} WHERE {column} IS NOT NULL GROUP BY {column}", column)
 
 
 def split_of(results: str, flag: str) -> str:
@@ -120,13 +120,13 @@ def _boxes(d: Duck, counted: str) -> str:
     )
 
 
-def details(d: Duck, results: str) -> str:
-    """The head of each successful item's block: class, confidence, secondary class of a hybrid, and what the pattern is."""
+def details(d: Duck, results: str, more: str = "") -> str:
+    """The head of each successful item's block: class, confidence, secondary class of a hybrid, and what the pattern is; ``more``: further columns."""
     or_na = lambda c: f"coalesce({c}, 'N/A')"
     return (
         f"SELECT row_id, {or_na('title')} AS title, {or_na('primary_class')} AS primary_class, {or_na('confidence')} AS confidence, CASE WHEN is_hybrid THEN {or_na('secondary_class')} END AS secondary_class, "
         f"CASE WHEN is_hybrid THEN 'hybrid' ELSE '' END AS hybrid, CASE WHEN meta_metaphor_detected THEN {or_na('dominant_semantic_field')} END AS meta_semantic_field, "
-        f"CASE WHEN meta_metaphor_detected THEN {or_na('artistic_transformation')} END AS meta_transformation FROM {results} WHERE {OK}"
+        f"CASE WHEN meta_metaphor_detected THEN {or_na('artistic_transformation')} END AS meta_transformation{more} FROM {results} WHERE {OK}"
     )
 
 
@@ -172,7 +172,7 @@ def charts_of(counted: DataFrame, classes: list[str]) -> dict[str, DataFrame]:
     """The tables behind the panels of a dashboard, by name, from ``summary()``: the rows of the reports of the same things."""
     d = Spark()
     of = lambda m: f"(SELECT * FROM {{s}} WHERE measure = '{m}' AND key IS NOT NULL)"
-    named = lambda m, name: _frequencies(f"SELECT key AS {name}, n, first_row FROM {of(m)}", name)
+    named = lambda m, name: frequencies(f"SELECT key AS {name}, n, first_row FROM {of(m)}", name)
     flag = lambda m, name: f"SELECT CAST(key AS BOOLEAN) AS {name}, n FROM {of(m)}"
     means = f"(SELECT key AS theory, round(total / filled, 9) AS avg_score FROM {of('score')})"
     colour = "CASE confidence " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONFIDENCE_COLOURS.items()) + " ELSE 'gray' END"

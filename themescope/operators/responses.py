@@ -81,6 +81,16 @@ def results_sql(d: Duck, rows: str, attempts: str) -> str:
     )
 
 
+def guards_sql(d: Duck, answers: str) -> str:
+    """Which nested fields of each answer have the kind that reports read, and how many entries; a field of another kind, or a missing one, has none.
+
+    Rows without an answer stay: a filter on the parsed answer would go down to where its text is made, and repeat that.
+    """
+    kinds = ", ".join(f"{d.is_kind('answer', k, kind)} AS has_{k}" for k, kind in (("scores", "OBJECT"), ("evidence", "ARRAY"), ("metaphor_analysis", "OBJECT")))
+    flag = d.json("answer", "metaphor_analysis.meta_metaphor_detected")
+    return f"SELECT row_id, attempt, answer IS NOT NULL AS answered, {kinds}, {d.entries('answer')}, coalesce({flag}, '') = 'true' AS meta_metaphor_detected FROM {answers}"
+
+
 def classified(rows: DataFrame, attempts: DataFrame) -> DataFrame:
     """Results of ``rows`` (row_id, title, combined_description); the answer stays beside the columns made from it, as a variant."""
     return session(rows.sparkSession).sql(f"SELECT * FROM {results_sql(Spark(), '{rows}', '{attempts}')}", rows=rows, attempts=attempts)

@@ -51,6 +51,14 @@ class Duck:
     def starts(self, x: str, prefix: str) -> str:
         return f"starts_with({x}, '{prefix}')"
 
+    def is_kind(self, x: str, key: str, kind: str) -> str:
+        """Whether a field of a parsed answer is there and an OBJECT or an ARRAY."""
+        return f"coalesce(json_type({x}, '$.{key}') = '{kind}', FALSE)"
+
+    def entries(self, x: str) -> str:
+        """How many scores and pieces of evidence an answer has, null where they are no object and no list."""
+        return f"CASE WHEN {self.is_kind(x, 'scores', 'OBJECT')} THEN len(json_keys({x}, '$.scores')) END AS n_scores, CASE WHEN {self.is_kind(x, 'evidence', 'ARRAY')} THEN CAST(json_array_length({x}, '$.evidence') AS BIGINT) END AS n_evidence"
+
     def scores(self, source: str, keep: str) -> str:
         """A row (keep, theory, score) for each entry of the scores of ``answer``."""
         keys = f"SELECT {keep}, answer, unnest(json_keys(answer, '$.scores')) AS theory FROM {source} WHERE answer IS NOT NULL"
@@ -93,6 +101,12 @@ class Spark(Duck):
         odd = f"((contains({x}, 'INF') OR contains({x}, '+Inf')) AND {bare} RLIKE r'[-+]INF|[+]Inf')"
         return f"CASE WHEN startswith({x}, '{{{{') AND NOT {odd} THEN {alone} END"
 
+    def is_kind(self, x: str, key: str, kind: str) -> str:
+        return f"coalesce(startswith(schema_of_variant(variant_get({x}, '$.{key}', 'variant')), '{kind}'), FALSE)"
+
+    def entries(self, x: str) -> str:
+        return f"CAST(cardinality({self.score_map(x)}) AS BIGINT) AS n_scores, CAST(cardinality({self.pieces(x)}) AS BIGINT) AS n_evidence"
+
     def first(self, value: str, weight: str, rank: str) -> str:
         return f"min_by({value}, struct(-{weight} AS w, {rank} AS r))"
 

@@ -17,13 +17,14 @@ from themescope.functions.numbers import fixed
 from themescope.functions.text import TEXT_COLUMNS, text_columns
 from themescope.operators import lexical, reports
 from themescope.operators.automaton import term_hits
-from themescope.operators.index import row_index
+from themescope.operators.index import new_folder, row_index
 from themescope.operators.network import clusters_sql, in_row, network_sql, pre_analysis_in_rows, pre_analysis_sql
-from themescope.operators.responses import backoff_sql, contract, contract_sql, resolved_sql, results_sql, session, stripped_sql
+from themescope.operators.responses import backoff_sql, contract, contract_sql, guards_sql, resolved_sql, results_sql, session, stripped_sql
 from themescope.plans import prompts
 from themescope.plans.dialects import Duck, Spark
 from themescope.plans.ontology import PROXY, SHIPPED
-from themescope.sources.results import zipped
+from themescope.sources.results import attached, report, write_csv, write_json, zipped
+from themescope.sources.tables import read_csv
 
 #: Sentences for the shipped ontology, whose terms the synthetic tables don't contain: each document gets one before its text.
 TEXTS = [
@@ -135,6 +136,33 @@ def results(d: Duck) -> str:
 OK = reports.OK
 
 
+def odd_answers(d: Duck) -> str:
+    """(row_id, attempt, answer): parsed answers, of which some have a nested field of another kind."""
+    kinds = [("scores", "{{", "\"none\""), ("evidence", "[", "3"), ("metaphor_analysis", "{{", "null")]
+    body = "CASE row_id % 7 " + " ".join(f"WHEN {k} THEN replace(clean, '\"{name}\": {opens}', '\"{name}\": {other}, \"more\": {opens}')" for k, (name, opens, other) in enumerate(kinds)) + " ELSE clean END"
+    return f"(SELECT row_id, attempt, {d.parsed('body')} AS answer FROM (SELECT row_id, attempt, {body} AS body FROM {stripped_sql(d, attempts(d))}))"
+
+
+def report_lines(d: Duck) -> str:
+    """The lines of the report, each kind by a query of its own."""
+    part = lambda k, row_id, place, line, source: f"SELECT {k} AS part, {row_id} AS row_id, {place} AS place, {line} AS line FROM {source}"
+    ok, none = f"(SELECT * FROM {results(d)} WHERE {OK})", "CAST(NULL AS BIGINT)"
+    totals, items = f"({reports.run_totals(results(d))})", f"({reports.details(d, results(d))})"
+    share = lambda x: f"concat(' (', {d.fixed(x, 1)}, '%)')"
+    second = "CASE WHEN secondary_class IS NULL THEN '' ELSE concat(', hybrid, secondary class ', secondary_class) END"
+    piece = f"concat('  - ', class, ', ', metaphor_level, ', ', metaphor_type, ', ', {d.fixed('weight', 2)}, ': ', span, ' / ', reasoning)"
+    return " UNION ALL ".join([
+        part(0, none, "''", "concat('processed ', processed, ', successful ', successful, ', errors ', errors)", totals),
+        part(0, none, "''", f"concat('patterns ', meta_metaphors, CASE WHEN meta_percent IS NULL THEN '' ELSE {share('meta_percent')} END)", totals),
+        part(1, "position", "''", f"concat(coalesce(primary_class, 'N/A'), ': ', n, {share('percent')})", f"({reports.class_distribution(results(d))})"),
+        part(2, "row_id", "'a0'", f"concat(title, ': ', primary_class, ', confidence ', confidence, {second})", items),
+        part(2, "row_id", "'a1'", "concat('  pattern: ', meta_semantic_field, ', ', meta_transformation)", f"{items} WHERE meta_semantic_field IS NOT NULL"),
+        part(2, "row_id", "concat('b', theory)", f"concat('  ', theory, ': ', {d.fixed('score', 2)})", f"{d.scores(ok, 'row_id')} WHERE score IS NOT NULL"),
+        part(2, "row_id", "concat('c', lpad(CAST(position AS STRING), 3, '0'))", piece, f"({reports.detail_evidence(d, results(d))})"),
+        part(3, "row_id", "''", "concat(coalesce(title, 'N/A'), ': ', coalesce(error, 'error'))", f"{results(d)} WHERE status = 'error'"),
+    ])
+
+
 def top(k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theory_ord) AS rn FROM {{evidence}}) WHERE rn <= {k}"
 
@@ -169,6 +197,9 @@ def prompt(d: Duck) -> str:
     return f"SELECT c.row_id, {asked} AS prompt FROM {combined(d)} c LEFT JOIN ({network_sql(d, MANY, 'rank')}) n ON c.row_id = n.doc_id"
 
 
+#: Columns of a result besides its number and its answer.
+KEPT = ("title", "primary_class", "confidence", "secondary_class", "notes", "dominant_semantic_field", "artistic_transformation", "theoretical_grounding", "is_hybrid", "meta_metaphor_detected", "status", "error", "description_length")
+
 _long = "CAST(length(combined_description) AS BIGINT)"
 
 QUERIES_SQL: dict[str, Query] = {
@@ -216,6 +247,7 @@ QUERIES_SQL: dict[str, Query] = {
     "indicator_taxonomy": lambda d: "SELECT t.indicator, t.weight, count(e.doc_id) AS pieces FROM (VALUES " + ", ".join(f"('{k}', {lexical.real(w)})" for k, w in prompts.INDICATORS.items()) + f") AS t(indicator, weight) LEFT JOIN (SELECT doc_id, {prompts.indicator_sql('level')} AS indicator FROM {{evidence}}) e ON t.indicator = e.indicator GROUP BY t.indicator, t.weight",
     "strip_fence": lambda d: f"SELECT row_id, attempt, clean FROM {stripped_sql(d, attempts(d))}",
     "parse_classification": lambda d: f"SELECT row_id, attempt, parsed IS NOT NULL AS valid, {d.json('parsed', 'primary_class')} AS primary_class, {d.json('parsed', 'confidence')} AS confidence FROM (SELECT *, {d.parsed('clean')} AS parsed FROM {stripped_sql(d, attempts(d))})",
+    "type_guards": lambda d: guards_sql(d, odd_answers(d)),
     "retry_resolution": lambda d: f"SELECT row_id, CAST(used AS INT) AS attempt_used, CASE WHEN used IS NULL THEN last_error END AS error FROM {resolved_sql(d, attempts(d))}",
     "backoff_seconds": lambda d: backoff_sql(d, attempts(d)),
     "classified_results": lambda d: f"SELECT row_id, title, primary_class, confidence, secondary_class, is_hybrid, meta_metaphor_detected, dominant_semantic_field, artistic_transformation, status, error, description_length FROM {results(d)}",
@@ -246,6 +278,9 @@ QUERIES_SQL: dict[str, Query] = {
     "chart_boxes": lambda d: reports.length_boxplot(d, results(d)),
     "chart_heatmap": lambda d: reports.score_vector(d, results(d), CLASSES),
     "chart_shares": lambda d: reports.pie_shares(results(d)),
+    "text_report": report_lines,
+    "csv_round_trip": lambda d: f"SELECT d.doc_id AS row_id, d.text, d.lang, d.source, {', '.join(f'r.{c}' for c in KEPT)} FROM {{documents}} d JOIN {results(d)} r ON d.doc_id = r.row_id",
+    "json_round_trip": lambda d: f"SELECT row_id, {', '.join(KEPT)} FROM {results(d)}",
     "detail_report": lambda d: reports.details(d, results(d)),
     "detail_scores": lambda d: reports.detail_scores(d, results(d)),
     "detail_evidence": lambda d: reports.detail_evidence(d, results(d)),
@@ -313,11 +348,29 @@ def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zipped(documents.select("doc_id", "lang"), documents.select("n_chars", "source"), "position")
 
 
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(_results(spark, sf_dir))
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and results written beside each other as CSV, and read again."""
+    rows, done, path = _documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text", "lang", "source"), _results(spark, sf_dir).drop("answer"), new_folder(spark)
+    write_csv(rows, done, path)
+    return read_csv(spark, path, attached(rows, done).schema)
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as JSON Lines, and read again."""
+    done, path = _results(spark, sf_dir), new_folder(spark)
+    write_json(done, path)
+    return spark.read.schema(done.schema).json(path).drop("answer")
+
+
 def _automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_hits(_documents(spark, sf_dir), large_ontology(spark, sf_dir))
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton, "zip_results": _zipped, "class_shares_text": _shares_text}
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton, "zip_results": _zipped, "text_report": _report, "csv_round_trip": _csv, "json_round_trip": _json, "class_shares_text": _shares_text}
 QUERIES |= {f"chart_{name}": _chart(name) for name in CHARTS}
 
 

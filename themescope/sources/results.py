@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
@@ -96,10 +96,10 @@ def write_json(results: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, results: DataFrame, path: str, key: str | None = "row_id") -> None:
-    """The attached tables as CSV, without a key the zipped ones; nested columns become JSON."""
+    """The attached tables as CSV, without a key the zipped ones; nested columns become JSON. An empty text is quoted, a null isn't."""
     joined = attached(rows, results, key) if key else zipped(rows, results)
     nested = {f.name: F.to_json(f.name) for f in joined.schema if isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))}
-    joined.withColumns(nested).write.options(header=True, escape='"').csv(path)
+    joined.withColumns(nested).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_charts(results: DataFrame, classes: list[str], path: str) -> None:
@@ -112,27 +112,46 @@ def write_charts(results: DataFrame, classes: list[str], path: str) -> None:
 
 
 def report(results: DataFrame, model: str = "", when: datetime | None = None) -> DataFrame:
-    """Lines (part, row_id, place, line) of the report: totals, classes with their share, a block an item."""
+    """Lines (part, row_id, place, line) of the report: totals, classes with their share, a block an item, errors.
+
+    Totals and classes come from one count of the results, an item's block is made in its row. A score that is no
+    number has no line; a row without a class counts as N/A.
+    """
     spark, d = results.sparkSession, Spark()
-    sql = lambda q: spark.sql(q, r=results)
-    totals = sql(reports.run_totals("{r}")).select(
-        F.explode(F.array(
-            F.lit(f"Date: {when:%Y-%m-%d %H:%M:%S}" if when else None), F.lit(f"Model: {model}" if model else None),
-            F.concat(F.lit("processed "), "processed", F.lit(", successful "), "successful", F.lit(", errors "), "errors"),
-            F.concat(F.lit("patterns "), "meta_metaphors", F.coalesce(F.concat(F.lit(" ("), fixed("meta_percent", 1), F.lit("%)")), F.lit(""))),
-        )).alias("line"),
+    line = lambda place, text: F.struct(F.lit(place).alias("place") if isinstance(place, str) else place.alias("place"), text.alias("line"))
+    counted = spark.sql(
+        f"SELECT coalesce(primary_class, 'N/A') AS primary_class, {reports.OK} AS ok, coalesce(status = 'error', FALSE) AS failed, coalesce(meta_metaphor_detected, FALSE) AS meta, count(*) AS n, min(row_id) AS first_row "
+        "FROM {r} GROUP BY 1, 2, 3, 4",
+        r=results,
+    )
+    of = lambda c: f"coalesce(sum(CASE WHEN {c} THEN n END), 0)"
+    totals = counted.selectExpr(f"{of('TRUE')} AS processed", f"{of('ok')} AS successful", f"{of('failed')} AS errors", f"{of('ok AND meta')} AS meta_metaphors", f"{reports.pct(of('ok AND meta'), of('ok'))} AS meta_percent")
+    head = F.array(
+        F.lit(f"Date: {when:%Y-%m-%d %H:%M:%S}" if when else None), F.lit(f"Model: {model}" if model else None),
+        F.concat(F.lit("processed "), "processed", F.lit(", successful "), "successful", F.lit(", errors "), "errors"),
+        F.concat(F.lit("patterns "), "meta_metaphors", F.coalesce(F.concat(F.lit(" ("), fixed("meta_percent", 1), F.lit("%)")), F.lit(""))),
     )
-    totals = totals.where("line is not null").select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"), F.lit("").alias("place"), "line")
-    classes = sql(reports.class_distribution("{r}")).select(F.lit(1).alias("part"), F.col("position").cast("long").alias("row_id"), F.lit("").alias("place"), F.concat("primary_class", F.lit(": "), "n", F.lit(" ("), fixed("percent", 1), F.lit("%)")).alias("line"))
-    head = F.concat("title", F.lit(": "), "primary_class", F.lit(", confidence "), "confidence", F.coalesce(F.concat(F.lit(", hybrid, secondary class "), "secondary_class"), F.lit("")))
-    meta = F.concat(F.lit("  pattern: "), "meta_semantic_field", F.lit(", "), "meta_transformation")
-    items = sql(reports.details(d, "{r}")).select("row_id", F.posexplode(F.array(head, meta)).alias("k", "line")).where("line is not null")
-    items = items.select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("a"), "k").alias("place"), "line")
-    scores = sql(f"SELECT row_id, theory, score FROM {d.scores(f'(SELECT * FROM {{r}} WHERE {reports.OK})', 'row_id')}").select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("b"), "theory").alias("place"), F.concat(F.lit("  "), "theory", F.lit(": "), fixed("score", 2)).alias("line"))
-    piece = F.concat(F.lit("  - "), "class", F.lit(", "), "metaphor_level", F.lit(", "), "metaphor_type", F.lit(", "), fixed("weight", 2), F.lit(": "), "span", F.lit(" / "), "reasoning")
-    pieces = sql(reports.detail_evidence(d, "{r}")).select(F.lit(2).alias("part"), "row_id", F.concat(F.lit("c"), F.lpad(F.col("position").cast("string"), 3, "0")).alias("place"), piece.alias("line"))
+    first = totals.select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"), F.lit("").alias("place"), F.explode(head).alias("line"))
+    classes = spark.sql(reports.frequencies("SELECT primary_class, sum(n) AS n, min(first_row) AS first_row FROM {c} WHERE ok GROUP BY primary_class", "primary_class", f", {reports.pct('n', 'sum(n) OVER ()')} AS percent"), c=counted)
+    classes = classes.select(F.lit(1).alias("part"), F.col("position").cast("long").alias("row_id"), F.lit("").alias("place"), F.concat("primary_class", F.lit(": "), "n", F.lit(" ("), fixed("percent", 1), F.lit("%)")).alias("line"))
+
+    named = F.concat("title", F.lit(": "), "primary_class", F.lit(", confidence "), "confidence", F.coalesce(F.concat(F.lit(", hybrid, secondary class "), "secondary_class"), F.lit("")))
+    pattern = F.concat(F.lit("  pattern: "), "meta_semantic_field", F.lit(", "), "meta_transformation")
+
+    def score(s: Column) -> Column:
+        return line(F.concat(F.lit("b"), s["key"]), F.concat(F.lit("  "), s["key"], F.lit(": "), fixed(s["value"], 2)))
+
+    def piece(e: Column, k: Column) -> Column:
+        known = lambda c: F.coalesce(e[c], F.lit("N/A"))
+        cut = lambda c, n: F.concat(F.substring(known(c), 1, n), F.lit("..."))
+        parts = [F.lit("  - "), known("class"), F.lit(", "), known("metaphor_level"), F.lit(", "), known("metaphor_type"), F.lit(", "), fixed(F.coalesce(e["weight"], F.lit(0.0)), 2), F.lit(": ")]
+        return line(F.concat(F.lit("c"), F.lpad(k.cast("string"), 3, "0")), F.concat(*parts, cut("span", reports.SPAN), F.lit(" / "), cut("reasoning", reports.REASON)))
+
+    items = spark.sql(reports.details(d, "{r}", f", coalesce(map_entries({d.score_map('answer')}), array()) AS scores, slice(coalesce({d.pieces('answer')}, array()), 1, {reports.SHOWN}) AS pieces"), r=results)
+    lines = F.concat(F.array(line("a0", named), line("a1", pattern)), F.transform("scores", score), F.transform("pieces", piece))
+    items = items.select(F.lit(2).alias("part"), "row_id", F.inline(lines))
     errors = results.where("status = 'error'").select(F.lit(3).alias("part"), "row_id", F.lit("").alias("place"), F.concat(F.coalesce("title", F.lit("N/A")), F.lit(": "), F.coalesce("error", F.lit("error"))).alias("line"))
-    return totals.unionByName(classes).unionByName(items).unionByName(scores).unionByName(pieces).unionByName(errors)
+    return first.unionByName(classes).unionByName(items).unionByName(errors).where("line IS NOT NULL")
 
 
 def write_report(results: DataFrame, path: str, model: str = "", when: datetime | None = None) -> None:
