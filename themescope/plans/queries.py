@@ -17,7 +17,7 @@ from themescope.functions.numbers import fixed
 from themescope.functions.text import TEXT_COLUMNS, text_columns
 from themescope.operators import lexical, reports
 from themescope.operators.automaton import term_hits
-from themescope.operators.index import new_folder, row_index
+from themescope.operators.index import checkpointed, new_folder, row_index
 from themescope.operators.network import clusters_sql, in_row, network_sql, pre_analysis_in_rows, pre_analysis_sql
 from themescope.operators.responses import backoff_sql, contract, contract_sql, guards_sql, resolved_sql, results_sql, session, stripped_sql
 from themescope.plans import prompts
@@ -349,7 +349,8 @@ def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_results(spark, sf_dir))
+    """Results are kept once, as the table that they are in a run: the report reads them several times."""
+    return report(checkpointed(_results(spark, sf_dir)))
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
