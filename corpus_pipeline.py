@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame; run()
 writes each as Parquet into the shared folder and reads it again. All stages but the last return the columns of
-documents. Models learn from documents and labels in sf_dir, as the queries of the single operators do.
+documents. Models learn from the rows that their stage is given and labels in sf_dir: no stage reads documents there,
+which need not be there any more once the first stage is written.
 
 Null and empty texts fail the base quality rules. Rows that repeat a doc_id with the same text are copies, of which
 the join keeps one. A document that the mix takes several times comes out as often. Empty table: no rows. Columns
@@ -28,7 +29,7 @@ def _free(name: str, docs: DataFrame) -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
-    lexicon = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     found = _free("toxicity", docs)
     scored = spread(docs).withColumn(found, toxicity.toxicity(F.col("text"), lexicon, spark))
     return scored.where(F.col(f"{found}.score") < 0.5).select(*docs.columns)
@@ -36,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are mostly content lines."""
-    field = quality_rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    field = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     found = _free("judged", docs)
     judged = spread(docs).withColumn(found, quality_rules.judge(F.col("text"), field, spark))
     return judged.where(f"{found}.kept").select(*docs.columns)
