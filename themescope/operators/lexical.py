@@ -1,16 +1,18 @@
 """Lexical scoring: an ontology compiled into SQL expressions that Catalyst and DuckDB both read.
 
 Scores are unrolled sums in the ontology's order, so that the floating-point result is one and the same everywhere;
-nothing is joined or shuffled. In Spark every distinct word is searched once a text: the hits are bits of a few long
-columns, and scores, labels, levels and spans test those bits. ``evidence()`` scans once: all themes are columns of one
-projection, exploded after.
+nothing is joined or shuffled. In Spark a text passes an automaton of all words once, however many there are: the hits
+are bits of a few long columns, and scores, labels, levels and spans test those bits. ``evidence()`` scans once: all
+themes are columns of one projection, exploded after.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themescope.operators.index import dealt
@@ -51,12 +53,29 @@ class Hits(Text):
         column, bit = self.places[word]
         return f"(hits_{column} & {1 << bit}L) <> 0"
 
-    def columns(self) -> dict[str, str]:
-        """Expressions of the columns by name."""
-        out: dict[str, list[str]] = {}
-        for word, (column, bit) in self.places.items():
-            out.setdefault(f"hits_{column}", []).append(f"CASE WHEN contains({self.column}, {quoted(word)}) THEN {1 << bit}L ELSE 0L END")
-        return {name: " | ".join(parts) for name, parts in out.items()}
+    def found(self) -> Column:
+        """A struct of the columns of bits: one pass over the text finds all words."""
+        places = self.places
+        names = [f"hits_{k}" for k in range(max(column for column, _ in places.values()) + 1)]
+
+        @F.arrow_udf(", ".join(f"{name} long" for name in names))
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word, (column, bit) in places.items():
+                automaton.add_word(word, (column, 1 << bit))
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for text in batch.to_pylist():
+                    bits = [0] * len(names)
+                    for _, (column, bit) in automaton.iter(text):
+                        bits[column] |= bit
+                    rows.append(bits)
+                yield pa.StructArray.from_arrays([pa.array([bits[k] for bits in rows], pa.int64()) for k in range(len(names))], names=names)
+
+        return run(F.col(self.column))
 
 
 TEXT = Text()
@@ -137,7 +156,7 @@ def _scored(docs: DataFrame, o: Ontology, as_list: bool) -> DataFrame:
     """
     hits = Hits(o)
     rows = dealt(docs.select("doc_id", "text")).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text_lc"))
-    rows = rows.select("doc_id", *[F.expr(e).alias(name) for name, e in hits.columns().items()])
+    rows = rows.select("doc_id", hits.found().alias("hits")).select("doc_id", "hits.*")
     found = F.array(
         *[
             F.expr(f"struct({quoted(t)} AS theory, {k} AS theory_ord, {score(o, t, hits)} AS score, {label(o, t, False, hits)} AS semantic_field, {level(o, t, hits)} AS level, {span(o, t, hits)} AS span)")

@@ -334,6 +334,10 @@ def _pre_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre_analysis_in_rows(lexical.analysed(_documents(spark, sf_dir), PROXY))
 
 
+def _shipped_pre_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pre_analysis_in_rows(lexical.analysed(_query(lambda d: "SELECT * FROM {texts}")(spark, sf_dir)))
+
+
 def _shares_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = QUERIES["class_distribution"](spark, sf_dir)
     return shares.select("primary_class", F.concat(fixed("percent", 1), F.lit("%")).alias("share"), fixed(F.col("percent") / F.lit(100.0), 2).alias("part"))
@@ -371,7 +375,7 @@ def _automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_hits(_documents(spark, sf_dir), large_ontology(spark, sf_dir))
 
 
-QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "ontology_automaton": _automaton, "zip_results": _zipped, "text_report": _report, "csv_round_trip": _csv, "json_round_trip": _json, "class_shares_text": _shares_text}
+QUERIES = {name: _query(make) for name, make in QUERIES_SQL.items()} | {"text_column_selection": _selection, "contract_check": _contract, "pre_analysis": _pre_analysis, "shipped_pre_analysis": _shipped_pre_analysis, "ontology_automaton": _automaton, "zip_results": _zipped, "text_report": _report, "csv_round_trip": _csv, "json_round_trip": _json, "class_shares_text": _shares_text}
 QUERIES |= {f"chart_{name}": _chart(name) for name in CHARTS}
 
 
