@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from themescope.llm import archives, bpe, chosen_path, common, fingerprints, hidden_markov, license_scan, mixing, quality_model, quality_rules, registry, toxicity
 
@@ -201,6 +202,23 @@ def test_components_match_a_plain_search(spark):
     assert chosen_path.components(edges.limit(0)).count() == 0
 
 
+def test_few_edges_in_many_pieces_take_no_star_rounds(spark, monkeypatch):
+    """A chain dealt over 40 pieces; and the buckets of all levels are compared in one step."""
+    labels, compared = [], []
+    keep, small = chosen_path.stored, chosen_path._compare_small
+    monkeypatch.setattr(chosen_path, "stored", lambda df, label="part", **k: labels.append(label) or keep(df, label, **k))
+    monkeypatch.setattr(chosen_path, "_compare_small", lambda rows: compared.append(1) or small(rows))
+    chain = spark.range(400).select(*[F.unhex(F.lpad(F.hex(F.col("id") + k), 8, "0")).alias(c) for k, c in ((1, "u"), (0, "v"))]).repartition(40, F.rand(7))
+    got = chosen_path.components(chain).collect()
+    assert len(got) == 401 and {bytes(r.least) for r in got} == {bytes(4)}
+    assert "large" not in labels
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, f"{text} v{i}") for i in range(300)] + [(300, "alone in here")], "doc_id long, text string")
+    ids = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.join(docs).collect()}
+    assert ids == {i: (0, 299) for i in range(300)} | {300: (300, 0)} and "pivots" in labels
+    assert len(compared) == 1
+
+
 def test_the_map_of_wanted_texts_follows_their_number(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "MOST_BITS", 18)
     sizes = []

@@ -216,12 +216,13 @@ def _shares(rows: DataFrame) -> DataFrame:
     return rows.select("key", "copy", "sig", "size", F.col("p.copy").alias("pivot"), alike("sig", "p.sig").alias("share"))
 
 
-def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], int, DataFrame | None]:
-    """Candidate edges (u, v) of some runs, the deepest level at which a bucket was compared, and the nodes of buckets beyond ``reach``."""
+def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame], list[DataFrame], int, DataFrame | None]:
+    """Of some runs: candidate edges (u, v), buckets (key, copy, sig) to compare, the deepest level of one, and the nodes of buckets beyond ``reach``."""
     sigs = nodes.select("copy", "sig")
     first = STEP if reach == DEPTH else DEPTH + STEP  # nodes of deep buckets first part beyond DEPTH
     level, depth = stored(_first_paths(nodes, runs, first), "paths"), first
     edges: list[DataFrame] = []
+    small: list[DataFrame] = []
     deep = None
     while True:  # members that are unlike part at each level with a chance of 0.4 or more, so the levels end
         size = F.count(F.lit(1)).alias("size")
@@ -230,11 +231,11 @@ def _edges_of(nodes: DataFrame, runs: range, reach: int) -> tuple[list[DataFrame
         rows = stored(rows.join(sigs, "copy") if depth == first else rows, "buckets")
         if depth > reach and deep is None:
             deep = rows.select("copy").distinct()  # deeper buckets hold no others
-        edges.append(_compare_small(rows.where(F.col("size") <= SMALL)))
+        small.append(rows.where(F.col("size") <= SMALL).select("key", "copy", "sig"))
         large = rows.where(F.col("size") > SMALL)
         total = large.count()
         if not total:
-            return edges, depth, deep
+            return edges, small, depth, deep
         if depth == first:
             large = join_counted(large, large.groupBy("key").agg(_pivot(), size), "key", "size", total)
         seen = stored(_shares(large), "pivots")
@@ -251,17 +252,19 @@ def candidates(nodes: DataFrame, runs: int | None = None) -> DataFrame:
     """Edges (u, v) between nodes that some path brought together and whose signatures are alike."""
     done, want, reach = 0, runs or runs_for(), DEPTH
     edges: list[DataFrame] = []
+    small: list[DataFrame] = []  # of all runs and levels, so that they are dealt out once: keys of no two of them are the same
     with scratch(nodes.sparkSession):
         while done < want:
-            found, depth, deep = _edges_of(nodes, range(done, want), reach)
+            found, buckets, depth, deep = _edges_of(nodes, range(done, want), reach)
             edges += found
+            small += buckets
             done = want
             if runs is None and deep is not None:
                 want, reach = max(want, runs_for(depth=depth)), max(reach, depth)
                 nodes = stored(nodes.join(deep, "copy", "left_semi"), "deep")
                 if nodes.isEmpty():
                     break
-        return stored(reduce(DataFrame.unionAll, edges).distinct(), "edges", keep=True)
+        return stored(reduce(DataFrame.unionAll, [_compare_small(reduce(DataFrame.unionAll, small)), *edges]).distinct(), "edges", keep=True)
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -296,17 +299,20 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 def _are_stars(e: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u."""
-    ends = e.distinct().select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("hub"))
-    ends = ends.unionAll(e.select("v").distinct().select(F.col("v").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("hub")))
-    return ends.groupBy("node").agg(F.sum("low").alias("low"), F.sum("hub").alias("hub")).where("low > 1 or (low = 1 and hub > 0)").isEmpty()
+    ends = e.select(F.col("u").alias("node"), "v", F.lit(0).alias("hub")).unionAll(e.select(F.col("v").alias("node"), F.lit(None).cast("binary").alias("v"), F.lit(1).alias("hub")))
+    return ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("hub").alias("hub")).where("low <> high or (low is not null and hub > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, least): each node of the edges (u, v) and the least of its component, by alternating large and small stars.
 
+    Edges are first reduced where they lie, then, if few are left in each piece, once more in pieces of about CHUNK.
     Tables of least neighbours are stored, so that each star is a plan of its own.
     """
     e = stored(_contracted(edges), "pairs")
+    pieces = -(-e.count() // CHUNK)
+    if pieces < e.rdd.getNumPartitions():
+        e = stored(_contracted(e.coalesce(max(1, pieces))), "fewer")
     low = lambda rows: rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
     while not _are_stars(e):
         total = 2 * e.count()
